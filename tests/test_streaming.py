@@ -41,8 +41,11 @@ def test_feed_merges_batches(spark, tmp_path):
     folder = pipelines.new_folder(spark, "t-feed")
     stream = pipelines.source(spark, f"{tmp_path}/in", a.schema, files_per_batch=10)
     pipelines.replayed(stream, pipelines.feed_sink(folder, 2), "feed")
-    got = [(r["id"], r["views"]) for r in pipelines.latest_feed(spark, folder, 1).orderBy(F.col("views").desc()).collect()]
+    got = [(r["id"], r["views"]) for r in pipelines.latest_feed(spark, folder).orderBy(F.col("views").desc()).collect()]
     assert got == [(1, 10.0), (2, 5.0)]
+    again = pipelines.new_folder(spark, "t-feed")
+    pipelines.replayed(pipelines.source(spark, f"{tmp_path}/in", a.schema, files_per_batch=1), pipelines.feed_sink(again, 3), "feed")
+    assert {r["id"] for r in pipelines.latest_feed(spark, again).collect()} == {1, 2, 4}
     merged = pipelines.feed_merge(pipelines.feed_merge(None, a, 80), b, 80)
     assert {r["id"] for r in merged.collect()} == {1, 2, 4}
 

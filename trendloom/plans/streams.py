@@ -47,7 +47,7 @@ def stream_feed(spark, sf_dir):
     rows = _stream(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("value").alias("views"), (F.col("event_type") != "error").alias("eligible"))
     folder = pipelines.new_folder(spark, "feed")
     pipelines.replayed(rows, pipelines.feed_sink(folder), "feed")
-    return pipelines.latest_feed(spark, folder, 1).select("id", "version", "views")
+    return pipelines.latest_feed(spark, folder).select("id", "version", "views")
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS opened, max(ts) + INTERVAL 12 HOUR AS closed, count(*) AS n FROM s GROUP BY user_id, k")

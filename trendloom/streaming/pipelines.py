@@ -167,14 +167,16 @@ def feed_sink(folder: str, size: int = 80) -> Callable[[DataFrame, int], None]:
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{folder}/{number - 1}") if number else None
-        feed_merge(old, batch, size).write.mode("overwrite").parquet(f"{folder}/{number}")
+        old = spark.read.parquet(f"{folder}/batch={number - 1}") if number else None
+        feed_merge(old, batch, size).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
     return write
 
 
-def latest_feed(spark: SparkSession, folder: str, batches: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{batches - 1}")
+def latest_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The feed after the last batch."""
+    feeds = spark.read.parquet(folder)
+    return feeds.join(F.broadcast(feeds.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")  # one row
 
 
 def top_of_windows(sums: DataFrame, by: str, k: int) -> DataFrame:
