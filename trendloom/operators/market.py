@@ -79,7 +79,8 @@ def holder_concentration(accounts: DataFrame, owner: str, amount: str, top: int
     per = accounts.where(F.col(amount) != 0).groupBy(*by, owner).agg(F.sum(F.col(amount).cast("decimal(38,0)")).cast("decimal(38,0)").alias("amount"))
     total = per.groupBy(*by).agg(F.sum("amount").cast("decimal(38,0)").alias("total"), F.count(F.lit(1)).alias("holders"))
     w = Window.partitionBy(*by).orderBy(F.col("amount").desc(), owner)
-    ranked = per.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    best = per if by else per.orderBy(F.col("amount").desc(), owner).limit(top)  # a window over all owners would be one task
+    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     out = ranked.join(total, by) if by else ranked.crossJoin(F.broadcast(total))  # one row
     share = F.when(F.col("total") > 0, F.expr("cast(amount * 10000 div total as double)") / 100).otherwise(0.0)
     out = out.withColumn("pct", share)
