@@ -197,3 +197,17 @@ def test_schema_registry(spark):
         schemas.checked("post_snapshots", "nope")
     for t in schemas.TABLES:
         assert schemas.empty(spark, t).columns == schemas.columns(t)
+
+
+def test_feeds(spark, one):
+    from trendloom.operators import feeds, health
+
+    n = spark.createDataFrame([(1, 5.0, 9), (2, 7.0, 1), (3, 7.0, 5)], "id int, combined_views double, age_min int")
+    assert [r["id"] for r in feeds.sorted_narratives(n, "views", "id").collect()] == [2, 3, 1]
+    assert [r["id"] for r in feeds.sorted_narratives(n, "age", "id", F.col("id") == 1).collect()] == [1, 2, 3]
+    p = spark.createDataFrame([(1, "n", "@A", "the giant elephants run", 10, "x"), (2, "n", "b", "short", 5, "x"), (3, "m", "c", "zebras", 1, "tt")], "post_id long, narrative_id string, handle string, text string, views long, platform string")
+    assert [r["term"] for r in feeds.confirmation_terms(p, 5).collect()] == ["elephants giant"]
+    v = feeds.view_rows(p.withColumn("posted_at", F.lit("2024-01-01 00:00:00").cast("timestamp")), F.lit("2024-01-01 02:00:00").cast("timestamp")).orderBy("post_id").first()
+    assert (v["handle"], v["age"], v["views"]) == ("@a", "2h", "10")
+    b = health.billed(spark.createDataFrame([(2, "requests"), (2, "posts")], "reads long, unit string"), price=1.0).collect()
+    assert [(r["reads"], r["cost_usd"]) for r in b] == [(40, 40.0), (2, 2.0)]

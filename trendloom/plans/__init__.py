@@ -1,6 +1,6 @@
 """Queries over the test tables, and their SQL."""
 
-from . import lab, market, relational, series, streams, texts  # noqa: F401
+from . import desk, lab, market, relational, series, streams, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
