@@ -82,7 +82,8 @@ def test_urls_and_html(one):
     assert one(text.platform_of_url(L("https://notx.com/"))) == "web"
     assert one(text.strip_html(L("<p>a &amp;lt; b</p><script>x<y</script> c"))) == "a &lt; b c"
     assert one(text.ipfs_url(L("ipfs://abc/1.png"))) == "https://ipfs.io/ipfs/abc/1.png"
-    assert one(text.trend_term(F.array(*map(L, ["aaaa", "bbbbbb", "cccc", "bbbbbb", "ddddd"])))) == "bbbbbb ddddd aaaa"
+    assert one(text.trend_term(F.array(*map(L, ["cccc", "bbbbbb", "aaaa", "bbbbbb", "ddddd"])))) == "bbbbbb ddddd aaaa"
+    assert one(text.title_words(L("Watch the 'giant' sea-dragon of $WIF"))) == ["giant", "sea-dragon"]
 
 
 @pytest.mark.parametrize("value,want", [("1700000000", 1700000000000), ("1700000000000", 1700000000000), ("0", None), ("", None), ("2024-01-01T00:00:00Z", 1704067200000), ("junk", None)])
@@ -95,16 +96,18 @@ def test_numbers(one):
     assert one(values.engagement_rate(L(10), L(5), L(1), L(1000))) == pytest.approx(0.021)
     assert one(values.engagement_rate(L(10), L(5), L(1), L(0))) is None
     assert one(values.parse_count(L("1.2K"))) == 1200 and one(values.parse_count(L("3m"))) == 3_000_000 and one(values.parse_count(L("x"))) is None
-    assert one(values.format_count(L(1234))) == "1.2k" and one(values.format_usd(L(2_500_000))) == "$2.5M"
-    assert one(values.format_age(L(59))) == "59m" and one(values.format_age(L(120))) == "2h" and one(values.format_age(L(2880))) == "2d"
+    assert [one(values.format_count(L(n))) for n in (999, 1234, 12345, 2_000_000, 25_400_000)] == ["999", "1.2K", "12K", "2M", "25M"] and one(values.format_usd(L(2_500_000))) == "$2.50M"
+    assert one(values.format_rate(L(1500.0))) == "1.5k/min" and one(values.format_rate(L(None).cast("double"))) == "—"
+    assert one(values.format_age(L(59))) == "59m" and one(values.format_age(L(120))) == "2h" and one(values.format_age(L(1440))) == "1d"
     assert [one(values.ternary(L(v).cast("string"))) for v in ("Y", "0", "?", "maybe", "", None)] == ["yes", "no", "unclear", "unclear", "missing", "missing"]
     assert one(values.number(L("1e3"))) == 1000.0 and one(values.number(L("NaN"))) is None
     assert one(values.model_reply(L('```json\n{"meme_score": 1.4, "suggested_ticker": "WIF"}\n```')))["score"] == 1.0
     assert one(values.within_max_age(L(None).cast("long"), 10, L(10**9))) is False and one(values.within_max_age(L(None).cast("long"), 0, L(10**9))) is True
     assert one(values.age_minutes(L(120_000), L(60_000))) == 0.0
-    assert one(values.timeframe_seconds(L("4H"))) == 14400 and one(values.timeframe_seconds(L("2m"))) == 900
+    assert one(values.timeframe_seconds(L("4H"))) == 14400 and one(values.timeframe_seconds(L("2m"))) == 3600
     assert one(values.quote_kind(L("usdc"))) == "stable"
-    assert one(values.token_cost(L(1_000_000), L(0), L(None).cast("long"))) == 3.0
+    assert one(values.token_cost(L(1_000_000), L(0), L(None).cast("long"), L(1_000_000))) == 6.75
+    assert one(values.safety(L(None), L("x"), L(None).cast("boolean"), L(96), L(12.5))) == (True, False, True, 12.5)
 
 
 GATE = dict(views=300_000, meme=0.9, velocity=5.0, platforms=["x"], age=10.0, authors=1, av=0.0, proposals=0, pickup=False, unreliable=False)
@@ -133,6 +136,9 @@ def test_gates(one):
     assert [one(gates.score_band(L(s), [0.0, 0.5, 1.01])) for s in (0.0, 0.5, 1.0, 2.0)] == [0, 1, 1, None]
     assert one(gates.vision_gate(L(10), L(200_000), L("nice"), L(2))) == "replication" and one(gates.vision_gate(L(None).cast("int"), L(200_000), L("nice"), L(2))) == "too_old"
     assert one(gates.organic_score(L(0.5), L(2), L(3), L(25000.0), L(True), L(5.0))) == 100
+    phase = lambda age, token, cap: one(gates.timing_phase(L(False), L(age), L(token), L(cap)))
+    assert (phase(2, False, 0), phase(5, False, 0), phase(13, False, 0), phase(1, True, 900_000), phase(1, True, 1), phase(17, True, 1)) == ("early", "mid", "late", "late", "early", "mid")
+    assert one(gates.trend_score(L(300.0), L(100.0), L(4800), L(85.0), L(-5.0))) == pytest.approx(0.85)
     assert one(gates.cohort(L("b"), L("a"), ["a", "b"])) == "b" and one(gates.cohort(L("z"), L(None).cast("string"), ["a", "b"])) == "a"
 
 

@@ -60,9 +60,9 @@ def test_due_and_prune(spark, one):
 
 
 def test_series(spark):
-    up = spark.createDataFrame([(1, [float(i) for i in range(26)]), (2, [5.0, 1.0]), (3, [])], "k int, series array<double>")
+    up = spark.createDataFrame([(1, [float(i) for i in range(26)]), (2, [9.0, 5.0, 1.0]), (3, [])], "k int, series array<double>")
     got = {r[0]: r[1:] for r in up.select("k", velocity.gain_24(F.col("series")), velocity.lifecycle_of_series(F.col("series")), velocity.tail_direction(F.col("series"))).collect()}
-    assert got[1] == (24.0, "peaking", "rising") and got[2] == (0.0, "peaking", "falling") and got[3][0] == 0.0
+    assert got[1] == (24.0, "peaking", "flat") and got[2] == (0.0, "peaking", "falling") and got[3] == (0.0, "peaking", "flat")
 
 
 def test_early_features(spark):
@@ -102,7 +102,7 @@ def test_holders_and_peaks(spark):
 def test_pairs(spark):
     p = spark.createDataFrame([("m", "p1", False, 9.0, 1.0), ("m", "p2", True, 1.0, 1.0), ("m", "p3", True, 1.0, 1.0)], "mint string, pair string, sol_quote boolean, volume double, liquidity double")
     assert market.best_pair(p).first()["pair"] == "p2"
-    pools = spark.createDataFrame([("m", "a", 10.0, 0.0, False, 0, 0), ("m", "b", 0.0, 0.0, True, 0, 0)], "mint string, pool string, reserve double, volume double, is_pump boolean, created_ms long, launch_ms long")
+    pools = spark.createDataFrame([("m", "a", 10.0, 0.0, False, 0, 0), ("m", "b", 1.0, 0.0, True, 0, 0), ("m", "c", 0.0, 1e9, True, 0, 0)], "mint string, pool string, reserve double, volume double, is_pump boolean, created_ms long, launch_ms long")
     assert market.best_pool(pools).first()["pool"] == "b"
 
 

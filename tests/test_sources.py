@@ -45,8 +45,8 @@ def test_post_parsers(spark):
 def test_series_parsers(spark):
     raw = spark.createDataFrame([("a", "[[1,1,2,0.5,1.5,9],[2,1,1,1,0,1]]"), ("b", '[{"unix_time":3,"o":1,"h":1,"l":1,"c":2,"v":1}]')], "k string, p string")
     assert sorted((r["k"], r["unixTime"], r["c"]) for r in files.parse_candles(raw, "k", "p").collect()) == [("a", 1, 1.5), ("b", 3, 2.0)]
-    tl = spark.createDataFrame([("t", '{"timeline":[{"values":[{"extracted_value":3}]},{"values":[]}]}'), ("u", "x")], "term string, p string")
-    assert {r["term"]: r["series"] for r in files.parse_trend(tl, "term", "p").collect()} == {"t": [3.0, 0.0], "u": []}
+    tl = spark.createDataFrame([("t", '{"interest_over_time":{"timeline_data":[{"values":[{"value":"3"},{"extracted_value":3}]},{"values":[]}]}}'), ("u", "x")], "term string, p string")
+    assert {r["term"]: r["series"] for r in files.parse_trend(tl, "term", "p").collect()} == {"t": [3.0, 0.0]}
     pair = {"pairAddress": "p", "priceUsd": "0.5", "baseToken": {"address": "m", "symbol": "wif"}, "quoteToken": {"symbol": "SOL"}, "liquidity": {"usd": 5}}
     r = files.map_pairs(spark.createDataFrame([(json.dumps(pair),)], "value string")).first()
     assert (r["mint"], r["symbol"], r["sol_quote"], r["price"], r["liquidity"]) == ("m", "WIF", True, 0.5, 5.0)

@@ -19,10 +19,13 @@ def lifecycle(velocity: Column, accel: Column) -> Column:
     return F.when((v <= 0) & (a <= 0), "peaking").when((rel > 0.12) & (v > 0), "heating").when((rel < -0.07) | (a < -500), "cooling").otherwise("peaking")
 
 
-def trend_score(velocity: Column, meme: Column, gain: Column, authors: Column) -> Column:
-    """Weighted sum of clamped signals, 0 to 100."""
-    part = lambda x, top, weight: F.least(F.greatest(F.coalesce(x, F.lit(0.0)) / top, F.lit(0.0)), F.lit(1.0)) * weight
-    return part(velocity, 5000.0, 40.0) + part(meme, 1.0, 30.0) + part(gain, 500_000.0, 20.0) + part(authors, 10.0, 10.0)
+def trend_score(volume: Column, mcap: Column, txns: Column, change_24h: Column, change_1h: Column) -> Column:
+    """Weighted sum of clamped signals, 0 to 1: turnover, trades, and rises of the day and the hour."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return (
+        F.least(F.coalesce(volume, zero) / F.greatest(F.coalesce(mcap, zero), one) / 3, one) * 0.4 + F.least(F.coalesce(txns, F.lit(0)) / 4800, one) * 0.25
+        + F.least(F.greatest(F.coalesce(change_24h, zero), zero) / 85, one) * 0.2 + F.least(F.greatest(F.coalesce(change_1h, zero), zero) / 55, one) * 0.15
+    )
 
 
 def organic_score(avg_meme: Column, n_platforms: Column, n_posts: Column, gain: Column, cross: Column, author_velocity: Column, cross_boost: float = 25.0) -> Column:
@@ -139,9 +142,12 @@ def effective_floor(base: Column, window_min: Column, lane_min: Column, default:
     return F.greatest(least, F.least(F.lit(floor_max), F.floor(base * share + 0.5))).cast("long")
 
 
-def timing_phase(age_min: Column, life: Column, has_token: Column) -> Column:
-    """early, live, crowded or late."""
-    return F.when(life == "cooling", "late").when(F.coalesce(has_token, F.lit(False)), "crowded").when(age_min <= 60, "early").otherwise("live")
+def timing_phase(live: Column, age_hours: Column, has_token: Column, mcap: Column) -> Column:
+    """live, early, mid or late: by age while there is no token, else by how far that has run."""
+    run = F.when(mcap > 800_000, 8).when(mcap > 250_000, 5).when(mcap > 80_000, 3).when(mcap > 20_000, 2).otherwise(1)
+    alone = F.when(age_hours < 3, "early").when(age_hours < 12, "mid").otherwise("late")
+    led = F.when(run >= 6, "late").when((age_hours < 4) & (run < 3), "early").when((age_hours > 16) | (run >= 3), "mid").otherwise("early")
+    return F.when(F.coalesce(live, F.lit(False)), "live").when(F.coalesce(has_token, F.lit(False)), led).otherwise(alone)
 
 
 def cohort(requested: Column, stored: Column, known: list[str]) -> Column:

@@ -12,6 +12,14 @@ there their been being were where which while only also very some more most much
 the for you are was has had can all one out get got its our how why who she his her any may way new now too
 """.split()
 
+# Further stop words of titles.
+TITLE_STOP_WORDS = """
+says said viral video watch breaking news story trend trending post posts tweet thread update live real time
+""".split()
+
+# Titles that say nothing.
+GENERIC_TITLES = ["viral story", "emerging narrative cluster", "cluster"]
+
 # Tickers too general to name a subject.
 GENERIC_TICKERS = """
 MEME VIRAL THIS NEWS COIN TOKEN CRYPTO SOLANA SOL MOON PUMP LFG CT FYP TREND TRENDING STORY VIDEO TIKTOK POST LATEST
@@ -222,11 +230,19 @@ def subject_entity(ticker: Column, name: Column, stored: Column, text: Column, h
 
 
 def trend_term(words: Column) -> Column:
-    """Up to three longest distinct words, joined; ties keep their order."""
-    ranked = F.array_sort(F.transform(F.array_distinct(words), lambda w, i: F.struct((-F.length(w)).alias("k"), i.alias("i"), w.alias("w"))))
+    """Up to three longest distinct words, joined; words of a length in alphabetical order."""
+    ranked = F.array_sort(F.transform(F.array_distinct(words), lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
     return F.array_join(F.transform(F.slice(ranked, 1, 3), lambda x: x["w"]), " ")
 
 
+def title_words(title: Column) -> Column:
+    """Words of a title that may make a search term: three characters or more, no stop words, no quotes around them."""
+    clean = F.regexp_replace(F.lower(strip_noise(title)), r"[^a-z0-9\s'-]", " ")
+    words = F.transform(F.split(clean, r"\s+"), lambda w: F.regexp_replace(w, "^'+|'+$", ""))
+    stop = F.array(*map(F.lit, STOP_WORDS + TITLE_STOP_WORDS))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
+
+
 def proposal_count(text: Column) -> Column:
     """Distinct tickers mentioned plus phrases that propose a token (F16)."""
     hits = F.lit(0)

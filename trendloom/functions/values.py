@@ -57,27 +57,41 @@ def cycle_budget(left: Column, ms_left: Column, cycle_ms: int) -> Column:
 
 
 def parse_count(text: Column) -> Column:
-    """1.2K, 3M and 4B as numbers; null if there is none."""
+    """1.2K, 3M and 4B as numbers; null if it is none."""
     clean = F.upper(F.regexp_replace(F.trim(text.cast("string")), ",", ""))
-    number = F.regexp_extract(clean, r"^([0-9]+(?:\.[0-9]+)?)\s*([KMB]?)", 1).try_cast("double")
-    unit = F.regexp_extract(clean, r"^([0-9]+(?:\.[0-9]+)?)\s*([KMB]?)", 2)
-    return js_round(number * F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)).cast("long")
+    pattern = r"^([0-9.]+)([KMB]?)$"
+    unit = F.regexp_extract(clean, pattern, 2)
+    factor = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
+    return js_round(F.regexp_extract(clean, pattern, 1).try_cast("double") * factor).cast("long")
+
+
+def _decimals(n: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", n.cast("double"))
 
 
 def format_count(n: Column) -> Column:
-    """1234 as 1.2k, 2500000 as 2.5M."""
-    one = lambda x, unit: F.concat(F.format_string("%.1f", x), F.lit(unit))
-    return F.when(n >= 1e9, one(n / 1e9, "B")).when(n >= 1e6, one(n / 1e6, "M")).when(n >= 1e3, one(n / 1e3, "k")).otherwise(js_round(n.cast("double")).cast("string"))
+    """1234 as 1.2K, 12345 as 12K, 2000000 as 2M."""
+    whole = js_round(n.cast("double"))
+    short = lambda x, large, unit: F.concat(F.when(large, _decimals(x, 0)).otherwise(F.regexp_replace(_decimals(x, 1), r"\.0$", "")), F.lit(unit))
+    return F.when(whole >= 1e6, short(whole / 1e6, whole >= 1e7, "M")).when(whole >= 1e3, short(whole / 1e3, whole >= 1e4, "K")).otherwise(whole.cast("string"))
 
 
 def format_usd(n: Column) -> Column:
-    return F.concat(F.lit("$"), format_count(n))
+    """Dollars in B, M (two decimals) and K (one decimal)."""
+    part = lambda x, digits, unit: F.concat(F.lit("$"), _decimals(x, digits), F.lit(unit))
+    return F.when(n >= 1e9, part(n / 1e9, 2, "B")).when(n >= 1e6, part(n / 1e6, 2, "M")).when(n >= 1e3, part(n / 1e3, 1, "K")).otherwise(part(n, 0, ""))
+
+
+def format_rate(n: Column) -> Column:
+    """A count a minute; a dash if unknown."""
+    part = lambda x, digits, unit: F.concat(_decimals(x, digits), F.lit(unit))
+    return F.when(n >= 1e6, part(n / 1e6, 2, "M/min")).when(n >= 1e3, part(n / 1e3, 1, "k/min")).when(n.isNotNull(), F.concat(js_round(n.cast("double")).cast("string"), F.lit("/min"))).otherwise("—")
 
 
 def format_age(minutes: Column) -> Column:
-    """Minutes, hours below two days, else days."""
+    """Days from a day on, hours from an hour on, else minutes."""
     whole = lambda x, unit: F.concat(F.floor(x).cast("string"), F.lit(unit))
-    return F.when(minutes < 60, whole(minutes, "m")).when(minutes < 2880, whole(minutes / 60, "h")).when(minutes.isNotNull(), whole(minutes / 1440, "d"))
+    return F.when(minutes >= 1440, whole(minutes / 1440, "d")).when(minutes >= 60, whole(minutes / 60, "h")).when(minutes.isNotNull(), whole(minutes, "m"))
 
 
 def engagement(likes: Column, retweets: Column, replies: Column) -> Column:
@@ -116,17 +130,20 @@ def model_reply(reply: Column) -> Column:
     return F.struct(F.least(F.greatest(parsed["meme_score"], F.lit(0.0)), F.lit(1.0)).alias("score"), parsed["suggested_ticker"].alias("ticker"), parsed["reason"].alias("reason"))
 
 
-def token_cost(input_tokens: Column, output_tokens: Column, cached_tokens: Column, input_price: float = 3.0, output_price: float = 15.0, cached_price: float = 0.3) -> Column:
-    """Dollars for a model call, prices per million tokens."""
-    zero = F.lit(0)
-    return (F.coalesce(input_tokens, zero) * input_price + F.coalesce(output_tokens, zero) * output_price + F.coalesce(cached_tokens, zero) * cached_price) / 1e6
+def token_cost(input_tokens: Column, output_tokens: Column, cache_read: Column, cache_write: Column, input_price: float = 3.0, output_price: float = 15.0) -> Column:
+    """Dollars for a model call, prices per million tokens; reads from a cache cost a tenth, writes a quarter more."""
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return F.greatest(F.lit(0.0), (n(input_tokens) * input_price + n(output_tokens) * output_price + n(cache_read) * input_price * 0.1 + n(cache_write) * input_price * 1.25) / 1e6)
+
+
+# Seconds of the known timeframes.
+TIMEFRAMES = {"1m": 60, "3m": 180, "5m": 300, "15m": 900, "30m": 1800, "1H": 3600, "1h": 3600, "2H": 7200, "4H": 14400, "6H": 21600, "8H": 28800, "12H": 43200, "1D": 86400, "1d": 86400}
 
 
 def timeframe_seconds(name: Column) -> Column:
-    """1m ... 1D as seconds; anything else is 15 minutes."""
-    known = {"1m": 60, "5m": 300, "15m": 900, "30m": 1800, "1H": 3600, "4H": 14400, "1D": 86400}
-    table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, name), F.lit(900))
+    """A timeframe as seconds; anything else is an hour."""
+    table = F.create_map(*[F.lit(x) for kv in TIMEFRAMES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.trim(name)), F.lit(3600))
 
 
 def quote_kind(symbol: Column) -> Column:
@@ -135,7 +152,9 @@ def quote_kind(symbol: Column) -> Column:
     return F.when(s.isin("SOL", "WSOL"), "sol").when(s.isin("USDC", "USDT", "USD"), "stable").otherwise("other")
 
 
-def safety(mintable: Column, freezable: Column, top10_pct: Column) -> Column:
-    """struct of renounced and risk flags; unknown flags count as unsafe."""
-    safe = lambda c: ~F.coalesce(c, F.lit(True))
-    return F.struct(safe(mintable).alias("mint_renounced"), safe(freezable).alias("freeze_renounced"), F.coalesce(top10_pct > 50, F.lit(True)).alias("concentrated"))
+def safety(mint_authority: Column, freeze_authority: Column, lp_locked: Column, lp_locked_pct: Column, top10_pct: Column) -> Column:
+    """struct(mint_revoked, freeze_revoked, lp_burned, top10): no authority is a revoked one; unknown liquidity stays unknown."""
+    locked = F.coalesce(lp_locked, F.lit(False)) | F.coalesce(lp_locked_pct >= 95, F.lit(False))
+    return F.struct(
+        mint_authority.isNull().alias("mint_revoked"), freeze_authority.isNull().alias("freeze_revoked"),
+        F.when(lp_locked.isNotNull() | lp_locked_pct.isNotNull(), locked).alias("lp_burned"), top10_pct.cast("double").alias("top10"))

@@ -146,11 +146,11 @@ def best_pair(pairs: DataFrame, mint: str = "mint", pair: str = "pair", quote_is
 
 
 def best_pool(pools: DataFrame, mint: str = "mint") -> DataFrame:
-    """One pool for each token by reserve, a hundredth of volume, a bonus for launch pads and nearness to launch (K9)."""
-    hours = F.abs(F.col("created_ms") - F.col("launch_ms")) / 3_600_000
-    score = F.coalesce("reserve", F.lit(0.0)) + F.coalesce("volume", F.lit(0.0)) * 0.01 + F.when(F.col("is_pump"), 5000.0).otherwise(0.0) - F.least(F.coalesce(hours, F.lit(0.0)), F.lit(1000.0)) * 10
+    """One pool with a reserve for each token: by reserve, a hundredth of volume, a bonus for launch pads, and nearness to launch in minutes (K9)."""
+    minutes = F.abs(F.col("created_ms") - F.col("launch_ms")) / 60_000
+    score = F.col("reserve") + F.coalesce("volume", F.lit(0.0)) * 0.01 + F.when(F.col("is_pump"), 50_000.0).otherwise(0.0) - F.least(F.coalesce(minutes, F.lit(0.0)), F.lit(10_000.0))
     w = Window.partitionBy(mint).orderBy(F.col("score").desc(), "pool")
-    return pools.withColumn("score", score).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    return pools.where("reserve > 0").withColumn("score", score).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
 def dedup_by_ticker(tokens: DataFrame, seeds: DataFrame | None = None, ticker: str = "ticker") -> DataFrame:

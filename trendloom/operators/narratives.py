@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gates, text
@@ -118,6 +118,7 @@ def closing_reason(narratives: DataFrame, members: DataFrame, now, max_age_x: in
     return out.withColumn("closing", F.when(F.col("newest").isNull(), "empty").when(age > limit, "aged_out")).drop("newest", "platforms")
 
 
-def copy_is_due(existing_title, members_added, n_members, match) -> object:
-    """Whether a narrative's title and blurb are written anew: none yet, or its members doubled, or a cashtag joined."""
-    return existing_title.isNull() | (existing_title == "") | (members_added * 2 >= n_members) | F.coalesce(match == "cashtag", F.lit(False))
+def copy_is_due(existing_title: Column, members_added: Column, match: Column) -> Column:
+    """Whether a narrative's title and blurb are written anew: no title that says something, new members, or a new narrative."""
+    title = F.lower(F.trim(F.coalesce(existing_title, F.lit(""))))
+    return (title == "") | title.isin(text.GENERIC_TITLES) | (F.coalesce(members_added, F.lit(0)) > 0) | F.coalesce(match == "new", F.lit(False))

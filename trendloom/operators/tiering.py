@@ -66,9 +66,9 @@ def prunable(tier: Column, first_seen: Column, views: Column, velocity: Column,
 
 
 def score_batch(posts: DataFrame, n: int = 10, key: str = "post_id") -> DataFrame:
-    """The n posts to score next: by velocity, or views / 1000 where a fast-lane post has none yet (K1)."""
-    urgency = F.coalesce("views_velocity", F.when(F.col("fast_lane"), F.col("views") / 1000), F.lit(0.0))
-    return posts.withColumn("urgency", urgency).orderBy(F.col("urgency").desc(), key).limit(n)
+    """The n posts to score next: by velocity, or views / 1000 where a fast-lane post has none yet; others have to wait (K1)."""
+    urgency = F.coalesce("views_velocity", F.when(F.col("fast_lane"), F.col("views") / 1000))
+    return posts.withColumn("urgency", urgency).where("urgency is not null").orderBy(F.col("urgency").desc(), key).limit(n)
 
 
 def velocity_report(velocity: DataFrame, k: int = 20, key: str = "post_id") -> DataFrame:

@@ -90,13 +90,12 @@ def lifecycle_of_series(series: Column) -> Column:
     return F.when(n < 4, "peaking").when((slope > 0.12) & (mid < 0.45), "heating").when(slope < -0.07, "cooling").otherwise("peaking")
 
 
-def tail_direction(series: Column, rise: float = 0.1) -> Column:
-    """rising, falling or flat: slope over the last third, against the series' peak."""
+def tail_direction(series: Column, steep: float = 1.5) -> Column:
+    """rising, falling or flat: mean step over the last third of the series, two points of it at least."""
     n = F.size(series)
-    third = F.greatest(F.lit(2), F.ceil(n / 3).cast("int"))
-    first, last, peak = F.get(series, F.greatest(n - third, F.lit(0))), F.get(series, n - 1), F.greatest(F.array_max(series), F.lit(1.0))
-    slope = (last - first) / peak
-    return F.when(n < 2, "flat").when(slope > rise, "rising").when(slope < -rise, "falling").otherwise("flat")
+    tail = F.greatest(F.lit(2), F.floor(n / 3).cast("int"))
+    slope = (F.get(series, n - 1) - F.get(series, n - tail)) / (tail - 1)
+    return F.when(n < 3, "flat").when(slope > steep, "rising").when(slope < -steep, "falling").otherwise("flat")
 
 
 def early_features(posts: DataFrame, snaps: DataFrame, window_min: int = 30) -> DataFrame:

@@ -88,7 +88,7 @@ def gain_24_buckets(spark, sf_dir):
     return s.select("post_id", F.size("series").cast("long").alias("n"), F.round(velocity.gain_24(F.col("series")), 4).alias("gain"))
 
 
-@query(SERIES + ", x AS (SELECT post_id, s, len(s) AS n FROM s), y AS (SELECT post_id, n, (s[n] - s[n - 3]) / greatest(s[n - 3], 1) AS slope, (s[n // 2 + 1] - s[1]) / greatest(s[1], 1) AS mid, (s[n] - s[greatest(n - greatest(2, ceil(n / 3)::BIGINT), 0) + 1]) / greatest(list_max(s), 1) AS tail FROM x) SELECT post_id, CASE WHEN n < 4 THEN 'peaking' WHEN slope > 0.12 AND mid < 0.45 THEN 'heating' WHEN slope < -0.07 THEN 'cooling' ELSE 'peaking' END AS lifecycle, CASE WHEN n < 2 THEN 'flat' WHEN tail > 0.1 THEN 'rising' WHEN tail < -0.1 THEN 'falling' ELSE 'flat' END AS direction FROM y", "snaps")
+@query(SERIES + ", x AS (SELECT post_id, s, len(s) AS n FROM s), y AS (SELECT post_id, n, (s[n] - s[n - 3]) / greatest(s[n - 3], 1) AS slope, (s[n // 2 + 1] - s[1]) / greatest(s[1], 1) AS mid, (s[n] - s[n - greatest(2, n // 3) + 1]) / (greatest(2, n // 3) - 1) AS tail FROM x) SELECT post_id, CASE WHEN n < 4 THEN 'peaking' WHEN slope > 0.12 AND mid < 0.45 THEN 'heating' WHEN slope < -0.07 THEN 'cooling' ELSE 'peaking' END AS lifecycle, CASE WHEN n < 3 THEN 'flat' WHEN tail > 1.5 THEN 'rising' WHEN tail < -1.5 THEN 'falling' ELSE 'flat' END AS direction FROM y", "snaps")
 def series_lifecycle(spark, sf_dir):
     """W11, W12."""
     s = velocity.series_arrays(velocity.bucket_series(snapshots(spark, sf_dir), "post_id"), "post_id")
@@ -219,7 +219,7 @@ def eligibility_latency(spark, sf_dir):
     return posts(spark, sf_dir).groupBy("narrative_id").agg(F.median(m).alias("median_latency"), F.round(F.percentile("views", F.lit(0.9)), 6).alias("p90_views"))
 
 
-@query("SELECT post_id, round(coalesce(views_velocity, CASE WHEN views >= 100 THEN views / 1000 END, 0), 6) AS urgency FROM speed ORDER BY urgency DESC, post_id LIMIT 10", "snaps", "ok", "vel", "speed")
+@query("SELECT post_id, round(coalesce(views_velocity, CASE WHEN views >= 100 THEN views / 1000 END), 6) AS urgency FROM speed WHERE views_velocity IS NOT NULL OR views >= 100 ORDER BY urgency DESC, post_id LIMIT 10", "snaps", "ok", "vel", "speed")
 def score_queue(spark, sf_dir):
     """K1: the next ten posts to score."""
     s = _speed(spark, sf_dir).withColumn("fast_lane", F.col("views") >= 100)

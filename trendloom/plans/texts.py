@@ -123,12 +123,11 @@ def sheet_export(spark, sf_dir):
     return p.select("p_partkey").join(files.sheet(p.withColumn("k", F.col("p_partkey")), ["k", "name", "brand", "size"], 8).withColumn("p_partkey", F.col("k").cast("long")).drop("k"), "p_partkey")
 
 
-@query("WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations) SELECT conv_id, turn, trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '' AS filled, CASE WHEN lower(trim(role)) = 'user' THEN 'unclear' WHEN role = '' THEN 'missing' ELSE 'unclear' END AS label, CASE role WHEN 'system' THEN 'early' ELSE 'live' END AS phase FROM t")
+@query("WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS x FROM conversations) SELECT conv_id, turn, trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '' AS filled, CASE WHEN lower(trim(role)) = 'user' THEN 'unclear' WHEN role = '' THEN 'missing' ELSE 'unclear' END AS label, CASE WHEN turn >= 12 THEN 'late' WHEN turn >= 3 THEN 'mid' ELSE 'early' END AS phase FROM t")
 def turn_labels(spark, sf_dir):
     """F38, F43 over turns."""
     t = table(spark, sf_dir, "conversations")
-    age = F.when(F.col("role") == "system", 30).otherwise(90)
-    return t.select("conv_id", "turn", (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) != "").alias("filled"), values.ternary(F.col("role")).alias("label"), gates.timing_phase(age, F.lit("peaking"), F.lit(False)).alias("phase"))
+    return t.select("conv_id", "turn", (F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) != "").alias("filled"), values.ternary(F.col("role")).alias("label"), gates.timing_phase(F.lit(False), F.col("turn"), F.lit(False), F.lit(0)).alias("phase"))
 
 
 @query("WITH c AS (SELECT conv_id, list({'turn': turn, 'role': role} ORDER BY turn, role) AS t FROM conversations GROUP BY conv_id) SELECT conv_id, len(t)::BIGINT AS n, array_to_string(list_transform(t, lambda x: x.role), '>') AS roles FROM c")
@@ -139,7 +138,7 @@ def embedded_turns(spark, sf_dir):
     return out.select("conv_id", F.size("t").cast("long").alias("n"), F.array_join(F.transform("t", lambda x: x["role"]), ">").alias("roles"))
 
 
-@query(f"WITH t AS (SELECT item_id, {tokens_sql('text')} AS w FROM benchmark), u AS (SELECT item_id, w, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t), d AS (SELECT item_id, x, min(i) AS i FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(x) DESC, i) AS k FROM d) SELECT item_id, string_agg(x, ' ' ORDER BY k) AS term FROM r WHERE k <= 3 GROUP BY item_id")
+@query(f"WITH t AS (SELECT item_id, {tokens_sql('text')} AS w FROM benchmark), u AS (SELECT item_id, w, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t), d AS (SELECT item_id, x, min(i) AS i FROM u GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(x) DESC, x) AS k FROM d) SELECT item_id, string_agg(x, ' ' ORDER BY k) AS term FROM r WHERE k <= 3 GROUP BY item_id")
 def trend_terms(spark, sf_dir):
     """F15."""
     return table(spark, sf_dir, "benchmark").select("item_id", text.trend_term(text.tokens(F.col("text"))).alias("term")).where("term <> ''")

@@ -75,10 +75,15 @@ def with_includes(posts: DataFrame, users: DataFrame, media: DataFrame) -> DataF
 
 
 def parse_trend(raw: DataFrame, term: str, payload: str) -> DataFrame:
-    """(term, series, peak) of a JSON timeline {"timeline": [{"values": [{"extracted_value": n}]}]}."""
-    j = F.from_json(payload, "timeline array<struct<date:string,values:array<struct<extracted_value:double>>>>")
-    series = F.transform(F.coalesce(j["timeline"], F.array().cast("array<struct<date:string,values:array<struct<extracted_value:double>>>>")), lambda t: F.coalesce(F.get(t["values"], F.lit(0))["extracted_value"], F.lit(0.0)))
-    return raw.select(term, series.alias("series")).withColumn("peak", F.array_max("series"))
+    """(term, series, peak) of {"interest_over_time": {"timeline_data": [{"values": [{"extracted_value": n}]}]}}.
+
+    A point takes the first value that is extracted, else zero. Payloads without a point, or with zeros only, drop out.
+    """
+    kind = "array<struct<values:array<struct<extracted_value:double>>>>"
+    points = F.from_json(payload, f"interest_over_time struct<timeline_data:{kind}>")["interest_over_time"]["timeline_data"]
+    first = lambda t: F.coalesce(F.get(F.filter(t["values"], lambda v: v["extracted_value"].isNotNull()), F.lit(0))["extracted_value"], F.lit(0.0))
+    out = raw.select(term, F.transform(F.coalesce(points, F.array().cast(kind)), first).alias("series"))
+    return out.withColumn("peak", F.array_max("series")).where(F.exists("series", lambda v: v != 0))
 
 
 def parse_candles(raw: DataFrame, key: str, payload: str) -> DataFrame:
