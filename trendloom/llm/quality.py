@@ -66,9 +66,14 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
+def held_out(id_: Column) -> Column:
+    """A third of the ids, by hash: labels that the model isn't fitted to and that the threshold is."""
+    return F.pmod(F.xxhash64(id_, F.lit("held out")), F.lit(3)) == 0
+
+
 def trusted_ids(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
     """Ids of trusted documents, those of smallest hash if there are more than `most`: the bound that lets them be broadcast."""
-    ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    ids = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id")).where("id is not null").where(~held_out(F.col("id"))).distinct()
     return ids.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
@@ -95,23 +100,22 @@ def score(words: Column, ratios: list[float]) -> Column:
 
 
 def best_threshold(scored: DataFrame, cells: int = 2000, low: float = -5.0, high: float = 5.0) -> float | None:
-    """scored(score, label 0 or 1): the cut with the fewest mistakes, each class weighing the same; the middle of such cuts.
+    """scored(score, label 0 or 1): the cut with the fewest mistakes, every document weighing the same; the middle of such cuts.
 
     None without both classes. The driver gets a row a cell and class at most.
     """
     cell = F.floor((F.least(F.greatest("score", F.lit(low)), F.lit(high)) - low) * cells / (high - low))
     rows = scored.where("label in (0, 1)").groupBy(cell.alias("c"), "label").count().collect()
     count = {(r[0], r[1]): r[2] for r in rows}
-    all0, all1 = (sum(n for (_, k), n in count.items() if k == label) for label in (0, 1))
-    if not all0 or not all1:
+    if len({label for _, label in count}) < 2:
         return None
-    wrong, best, least = 1.0, [], 2.0
+    wrong, best, least = sum(n for (_, label), n in count.items() if label == 0), [], None
     for c in range(cells + 2):
-        if wrong < least - 1e-12:
+        if least is None or wrong < least:
             least, best = wrong, []
-        if wrong <= least + 1e-12:
+        if wrong == least:
             best.append(c)
-        wrong += count.get((c, 1), 0) / all1 - count.get((c, 0), 0) / all0
+        wrong += count.get((c, 1), 0) - count.get((c, 0), 0)
     run = next((i for i, (a, b) in enumerate(zip(best, best[1:])) if b > a + 1), len(best) - 1)
     return low + (best[0] + best[run]) / 2 * (high - low) / cells
 
@@ -120,8 +124,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) for every row.
 
     A document is kept if it passes the base rules and its length-normalised log-likelihood ratio reaches the threshold,
-    which is fitted to the labelled documents that pass the base rules. The trusted side of the model is a sample of
-    most_trusted labelled documents at most, the raw side all documents. Null texts count as empty: no words, base_failed.
+    which is fitted to labelled documents that pass the base rules: all bad ones, and those good ones, a third by hash, that the
+    model hasn't seen. The trusted side of the model is a sample of most_trusted of the other good ones at most, the raw side
+    all documents. Null texts count as empty: no words, base_failed.
     Without trusted documents, or without labels of both kinds, the ratio has no vote. Rows stay as often as they come; a
     null id is judged like any other; other columns aren't read.
     """
@@ -133,6 +138,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = keep(counted.select("id", *counts, score(F.col("words"), ratios).alias("score")), "judged")
     known = ids.groupBy("doc_id").agg(F.min("label").alias("label"))
-    threshold = best_threshold(judged.where("not base_failed").join(known, judged.id == known.doc_id).select("score", "label"))
+    unseen = known.where((F.col("label") == 0) | held_out(F.col("doc_id")))
+    threshold = best_threshold(judged.where("not base_failed").join(unseen, judged.id == unseen.doc_id).select("score", "label"))
     passes = F.lit(True) if threshold is None else F.col("score") >= F.lit(threshold)
     return judged.select(F.col("id").alias(id_col), *counts, "score", (~F.col("base_failed") & passes).alias("kept"))
