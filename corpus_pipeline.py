@@ -15,9 +15,8 @@ from trendloom.llm.queries import table, tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; a null doc_id stays if some document without an id is kept."""
-    kept = quality.judge_quality(docs, table(spark, sf_dir, "labels")).where("kept").select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Documents that the quality rules keep; each row is judged by itself, also without an id."""
+    return quality.judge_quality(docs, table(spark, sf_dir, "labels"), carry=True).where("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

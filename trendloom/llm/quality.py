@@ -120,7 +120,7 @@ def best_threshold(scored: DataFrame, cells: int = 2000, low: float = -5.0, high
     return low + (best[0] + best[run]) / 2 * (high - low) / cells
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 1 << 14, most_trusted: int = 20_000) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 1 << 14, most_trusted: int = 20_000, carry: bool = False) -> DataFrame:
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) for every row.
 
     A document is kept if it passes the base rules and its length-normalised log-likelihood ratio reaches the threshold,
@@ -128,17 +128,20 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     model hasn't seen. The trusted side of the model is a sample of most_trusted of the other good ones at most, the raw side
     all documents. Null texts count as empty: no words, base_failed.
     Without trusted documents, or without labels of both kinds, the ratio has no vote. Rows stay as often as they come; a
-    null id is judged like any other; other columns aren't read.
+    null id is judged like any other; other columns aren't read. With carry they stay, all columns of docs in a struct `row`, so
+    that nobody has to join texts to verdicts.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    more = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), *more)
+    carried = ["row"] if carry else []
     ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     trusted = keep(trusted_ids(ids, "doc_id", "label", most_trusted), "trusted")
     ratios = log_ratios(rows, trusted, "id", "text", buckets)
     counted = base_counts(rows, "text")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    judged = keep(counted.select("id", *counts, score(F.col("words"), ratios).alias("score")), "judged")
+    judged = keep(counted.select("id", *counts, score(F.col("words"), ratios).alias("score"), *carried), "judged")
     known = ids.groupBy("doc_id").agg(F.min("label").alias("label"))
     unseen = known.where((F.col("label") == 0) | held_out(F.col("doc_id")))
     threshold = best_threshold(judged.where("not base_failed").join(unseen, judged.id == unseen.doc_id).select("score", "label"))
     passes = F.lit(True) if threshold is None else F.col("score") >= F.lit(threshold)
-    return judged.select(F.col("id").alias(id_col), *counts, "score", (~F.col("base_failed") & passes).alias("kept"))
+    return judged.select(F.col("id").alias(id_col), *counts, "score", (~F.col("base_failed") & passes).alias("kept"), *carried)
