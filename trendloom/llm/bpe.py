@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, let, text_column
 
-#: Cells of the literal rank map; each holds a few tokens.
-CELLS = 1 << 14
+#: Cells of the literal rank map; each holds a few pairs of tokens. A prime, so that remainders of pairs spread.
+CELLS = 262_147
+#: A pair of ids as one number: (left + 1) * PAIR + right, which is larger than any rank.
+PAIR = 1_000_003
 #: The split pattern's parts, in order. \s is Unicode white space, as in the tokenizer.
 PATTERN = r"(?U)('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+)"
 
@@ -28,49 +30,62 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """A rank file as literals of a plan: byte strings are written as hexadecimal digits, so that concatenation agrees."""
+    """A rank file as literals of a plan: ids of bytes, ranks of pairs of tokens whose bytes join to a token, and tokens."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        from xxhash import xxh64_intdigest
-
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"bytes without a token: {missing}")
-        cells = [{} for _ in range(CELLS)]
+        cells = [None] * CELLS  # a cell: null, then each pair before its rank
         for token, rank in ranks.items():
-            word = token.hex().upper()
-            cells[xxh64_intdigest(word.encode(), 42) % CELLS][word] = rank
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    pair = (left + 1) * PAIR + right
+                    cells[pair % CELLS] = [*(cells[pair % CELLS] or [None]), pair, rank]
         tokens = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token.hex().upper()
-        self.map = F.from_json(F.lit(json.dumps(cells)), "array<map<string,int>>")
+        self.pairs = F.from_json(F.lit(json.dumps(cells)), "array<array<bigint>>")
+        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
         self.tokens = F.split(F.lit(",".join(tokens)), ",")
 
-    def rank(self, word: Column) -> Column:
-        """Rank of a byte string, or null."""
-        return F.try_element_at(F.get(self.map, F.pmod(F.xxhash64(word), F.lit(CELLS)).cast("int")), word)
+    def rank(self, pair: Column) -> Column:
+        """Rank of two tokens' joined bytes, which is the id of the token they become; null if there is none."""
+        cell = F.get(self.pairs, F.pmod(pair, F.lit(CELLS)).cast("int"))
+        return F.get(cell, F.array_position(cell, pair).cast("int"))  # what follows the pair; a pair that isn't there has place 0
+
+    def fold(self, raw: Column) -> Column:
+        """Token ids of one piece's bytes: merge the leftmost neighbours of lowest rank until none has a rank.
 
-    def fold(self, word: Column) -> Column:
-        """Token ids of one piece: merge the leftmost neighbours of lowest rank until none has a rank."""
+        p holds the tokens, r the ranks of each with the one before, and a null at both ends. A merge puts the rank, being the
+        new token's id, in the place of two tokens, and ranks only that with its neighbours anew. (flatten, as concat is slow
+        within a fold.)
+        """
+        most = F.lit(1 << 30)
+        pair = lambda left, right: (left + 1) * PAIR + right
 
         def step(acc, _):
-            def merged(ranks):
-                best = F.array_min(ranks)
+            p, r = acc["p"], acc["r"]
 
+            def merged(best):
                 def joined(i):
-                    p = acc["p"]
-                    return F.concat(F.slice(p, F.lit(1), i - 1), F.array(F.concat(F.get(p, i - 1), F.get(p, i))), F.slice(p, i + 2, F.size(p)))
+                    near = F.transform(F.array(pair(F.get(p, i - 3), best), pair(best, F.get(p, i))), self.rank)
+                    around = lambda x, new, after: F.flatten(F.array(F.slice(x, F.lit(1), i - 2), new, F.slice(x, after, most)))
+                    return F.struct(around(p, F.array(best), i + 1).alias("p"), around(r, near, i + 2).alias("r"))
+
+                return F.when(best.isNull(), acc).otherwise(let(F.array_position(r, best).cast("int"), joined))
 
-                found = let(F.array_position(ranks, best).cast("int"), joined)
-                return F.when(best.isNull(), F.struct(acc["p"].alias("p"), F.lit(True).alias("done"))).otherwise(F.struct(found.alias("p"), F.lit(False).alias("done")))
+            return let(F.array_min(r), merged)
 
-            pairs = F.zip_with(acc["p"], F.slice(acc["p"], F.lit(2), F.size(acc["p"])), lambda a, b: self.rank(F.concat(a, b)))
-            return F.when(acc["done"], acc).otherwise(let(pairs, merged))
+        def folded(p):
+            end = F.array(F.lit(None).cast("bigint"))
+            pairs = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), most), pair)
+            start = F.struct(p.alias("p"), F.concat(end, F.transform(pairs, self.rank), end).alias("r"))
+            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2))), start, step, lambda acc: F.transform(acc["p"], lambda i: i.cast("int")))
 
-        pieces = F.regexp_extract_all(word, F.lit("(..)"), F.lit(1))
-        start = F.struct(pieces.alias("p"), F.lit(False).alias("done"))
-        folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.length(word) / 2, F.lit(2)).cast("int")), start, step, lambda acc: F.transform(acc["p"], self.rank))
-        return let(self.rank(word), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(folded))
+        letters = F.split(F.decode(raw, "ISO-8859-1"), "")
+        return let(F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c))), folded)
 
     def decode(self, ids: Column) -> Column:
         """Bytes of a sequence of ids: the tokens' binary pieces, joined."""
@@ -171,7 +186,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(docs[id_col].cast("long").alias("id"), pieces.alias("pieces"))
     numbered = rows.mapInArrow(_number_pieces(most_words, 1 << 20), PIECES)
     raw = F.encode("word", "UTF-8")
-    folded = numbered.withColumn("ids", F.when(F.octet_length("word") <= longest, vocabulary.fold(F.hex(raw))))
+    folded = numbered.withColumn("ids", F.when(F.octet_length("word") <= longest, vocabulary.fold(raw)))
     return folded.mapInArrow(_place_ids(long_piece), "id long, ids array<int>").toDF(id_col, "ids")
 
 

@@ -70,7 +70,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, decoded again: counts and digests."""
     path = tokenizer_file("byte_bpe_50k.tiktoken")
     rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
