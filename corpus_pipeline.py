@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import packing, quality, secrets, simhash
-from trendloom.llm.common import keep
+from trendloom.llm import minhash, packing, quality, secrets
+from trendloom.llm.common import keep, text_column
 from trendloom.llm.queries import table, tokenizer_file
 
 
@@ -20,14 +20,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates; documents without an id stay."""
-    found = keep(simhash.near_duplicates(docs), "found")
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more.
+
+    Rows are judged by their own text, also where they share a doc_id; the smallest (doc_id, digest of the text) of a group
+    stays. Documents without an id stay.
+    """
+    keyed = docs.withColumn("text_key", F.md5(text_column(docs, "text").cast("binary")))
+    found = keep(minhash.repeats(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text_key").alias("key"), text_column(docs, "text").alias("text"))), "found")
+    dropped = found.where("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("key").alias("dropped_key"))
+    kept = keyed.join(dropped.hint("merge"), (F.col("doc_id") == F.col("dropped_id")) & (F.col("text_key") == F.col("dropped_key")), "left_anti")
+    if not found.where("kept and n > 1").isEmpty():
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text_key"]).unionByName(kept.where("doc_id is null"))
+    return kept.select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
