@@ -1,12 +1,13 @@
-"""Counts of whole texts against the tokenizer's own."""
+"""Counts and packed ids of whole texts against the tokenizers' own."""
 
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from trendloom.llm import queries, unigram  # noqa: E402
+from trendloom.llm import packing, queries, unigram  # noqa: E402
 
-from .test_tokens import NASTY, documents  # noqa: E402
+from .test_tokens import NASTY, documents, word_ids  # noqa: E402
 
 
 def test_counts_equal_the_models_own(spark, docs):
@@ -20,3 +21,12 @@ def test_counts_equal_the_models_own(spark, docs):
     rows = [*enumerate(NASTY), (None, "null id"), (3, "again")]
     assert sorted((str(r[0]), r[1]) for r in unigram.count_encoded(docs(rows), path).collect()) == sorted((str(i), len(own.encode(t or ""))) for i, t in rows)
     assert unigram.count_encoded(docs([]), path).count() == 0
+
+
+def test_every_letter_before_every_mark():
+    words = packing.Words(public_tokenizers.path("word_bpe_49k.json"), 100_000)
+    chars = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x180))]
+    texts = [f"3{c}4{c}{mark}{gap}y x{c}{mark}{gap}" for c in chars for mark in (".", ",", ";", ":", "!", "?", "?!") for gap in (" ", "\n")]
+    ids, cuts = packing.token_ids(pa.array(texts), words)
+    for k, t in enumerate(texts):
+        assert ids[cuts[k] : cuts[k + 1]].tolist() == word_ids(t)[:-1], t
