@@ -31,11 +31,14 @@ def _mask(turns: Column, trained: str) -> Column:
 
 
 def gather_turns(turns: DataFrame, key: Column, side: Column) -> DataFrame:
-    """(pair_id, chosen, rejected): turn arrays in order of turn, role and text; null roles and texts are empty."""
+    """(pair_id, chosen, rejected): turn arrays in order of turn, role and text; null roles and texts are empty.
+
+    Turns without a key belong to no known pair: each is a row of its own with a null pair_id, and they aren't gathered.
+    """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = turns.select(key.alias("pair_id"), side.alias("side"), turn.alias("t"))
+    rows = turns.select(key.alias("pair_id"), side.alias("side"), turn.alias("t"), F.when(key.isNull(), F.monotonically_increasing_id()).alias("alone"))
     pick = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("t"))))
-    return rows.groupBy("pair_id").agg(pick("chosen").alias("chosen"), pick("rejected").alias("rejected"))
+    return rows.groupBy("pair_id", "alone").agg(pick("chosen").alias("chosen"), pick("rejected").alias("rejected")).drop("alone")
 
 
 def format_preferences(pairs: DataFrame, trained: str = "assistant") -> DataFrame:
