@@ -46,6 +46,17 @@ def test_bpe_numbering_begins_anew(docs, tiktoken_library):
     assert got == {i: tiktoken_library.encode_ordinary(t) for i, t in rows}
 
 
+@pytest.mark.parametrize("longest", [0, 256])
+def test_bpe_of_long_pieces_and_new_scripts(docs, tiktoken_library, longest):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rng = random.Random(1)
+    alphabets = ["abcdefgh", "aab", "the ing on er", "é漢字かな", "\U0001e030\U0001ccf0\u1c89\U00016d40's 1", "<>=-_#*!?", "ACGT", "    \n\t"]
+    rows = [(i, "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(60)))) for i in range(300)]
+    rows += [(1000, "a" * 5000), (1001, " " * 5000 + "x"), (1002, "".join(rng.choice("ACGT") for _ in range(2000))), (1003, "".join(rng.choice("etaoinshrdlu") for _ in range(600)))]
+    got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode(docs(rows), path, longest=longest, most_words=500).collect()}
+    assert got == {i: tiktoken_library.encode_ordinary(t) for i, t in rows}
+
+
 @pytest.fixture(scope="module")
 def unigram_library():
     from tokenizers import Tokenizer, models

@@ -1,7 +1,7 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of distinct words.
 
-Between the two, plain Python only numbers the distinct pieces of a task's documents and puts the folded pieces back in
-their places; nothing is shuffled.
+Each task numbers the distinct pieces of its documents and writes both; every distinct piece of the whole corpus is folded
+once, its ids go back to the tasks that hold it, and plain Python puts them in their places.
 """
 
 from __future__ import annotations
@@ -11,17 +11,43 @@ import json
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, let, text_column
+from .common import by_bytes, keep, let, text_column
 
 #: Cells of the literal rank map; each holds a few pairs of tokens. A prime, so that remainders of pairs spread.
 CELLS = 262_147
 #: A pair of ids as one number: (left + 1) * PAIR + right, which is larger than any rank.
 PAIR = 1_000_003
-#: The split pattern's parts, in order. \s is Unicode white space, as in the tokenizer.
-PATTERN = r"(?U)('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+)"
+#: Letters and numbers of the tokenizer's Unicode tables (16.0) that a JVM may not know yet (17 has 13.0).
+NEW_LETTERS = (
+    "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3 A7D5-A7DC A7F2-A7F4 "
+    "10570-1057A 1057C-1058A 1058C-10592 10594-10595 10597-105A1 105A3-105B1 105B3-105B9 105BB-105BC 105C0-105F3 10780-10785 10787-107B0 107B2-107BA "
+    "10D4A-10D65 10D6F-10D85 10EC2-10EC4 10F70-10F81 11071-11072 11075 1123F-11240 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11740-11746 "
+    "11AB0-11ABF 11BC0-11BE0 11F02 11F04-11F10 11F12-11F33 12F90-12FF0 1342F 13441-13446 13460-143FA 16100-1611D 16A70-16ABE 16D40-16D6C 18CFF "
+    "1AFF0-1AFF3 1AFF5-1AFFB 1AFFD-1AFFE 1B11F-1B122 1B132 1B155 1DF00-1DF1E 1DF25-1DF2A 1E030-1E06D 1E290-1E2AD 1E4D0-1E4EB 1E5D0-1E5ED 1E5F0 "
+    "1E7E0-1E7E6 1E7E8-1E7EB 1E7ED-1E7EE 1E7F0-1E7FE 2A6DE-2A6DF 2B735-2B739 2EBF0-2EE5D 31350-323AF"
+)
+NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 11F50-11F59 16130-16139 16AC0-16AC9 16D70-16D79 1CCF0-1CCF9 1D2C0-1D2D3 1E4F0-1E4F9 1E5F1-1E5FA"
+
+
+def _class(ranges: str) -> str:
+    return "".join("-".join(rf"\x{{{c}}}" for c in r.split("-")) for r in ranges.split())
+
+
+LETTER, NUMBER = rf"\p{{L}}{_class(NEW_LETTERS)}", rf"\p{{N}}{_class(NEW_NUMBERS)}"
+#: The split pattern's parts, in order. \s is Unicode white space, as in the tokenizer.
+PATTERN = rf"(?U)('s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+)"
+
+
+def _pair(left: Column, right: Column) -> Column:
+    return (left + 1) * PAIR + right
+
+
+def _settled(acc: Column) -> Column:
+    return F.struct(acc["p"].alias("p"), F.array().cast("array<bigint>").alias("r"))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -50,64 +76,112 @@ class Vocabulary:
         self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
         self.tokens = F.split(F.lit(",".join(tokens)), ",")
 
-    def rank(self, pair: Column) -> Column:
+    @staticmethod
+    def rank(pairs: Column, pair: Column) -> Column:
         """Rank of two tokens' joined bytes, which is the id of the token they become; null if there is none."""
-        cell = F.get(self.pairs, F.pmod(pair, F.lit(CELLS)).cast("int"))
+        cell = F.get(pairs, F.pmod(pair, F.lit(CELLS)).cast("int"))
         return F.get(cell, F.array_position(cell, pair).cast("int"))  # what follows the pair; a pair that isn't there has place 0
 
-    def fold(self, raw: Column) -> Column:
+    def fold(self, raw: Column, longest: int) -> Column:
         """Token ids of one piece's bytes: merge the leftmost neighbours of lowest rank until none has a rank.
 
-        p holds the tokens, r the ranks of each with the one before, and a null at both ends. A merge puts the rank, being the
-        new token's id, in the place of two tokens, and ranks only that with its neighbours anew. (flatten, as concat is slow
-        within a fold.)
+        p holds the tokens, r the ranks of each with the one before, and a null at both ends; r is emptied once no merge is
+        left, so that the steps that remain cost nothing. Pieces of up to `longest` bytes make a merge a step, longer ones,
+        where each step would copy much, all merges of one rank in a step.
+        """
+
+        def folded(pairs, p):
+            end = F.array(F.lit(None).cast("bigint"))
+            ranks = F.transform(F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), _pair), lambda x: self.rank(pairs, x))
+            start = F.struct(p.alias("p"), F.concat(end, ranks, end).alias("r"))
+            steps = F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2)))
+            run = lambda step: F.aggregate(steps, start, step, lambda acc: F.transform(acc["p"], lambda i: i.cast("int")))
+            return F.when(F.size(p) <= longest, run(self._one_merge(pairs))).otherwise(run(self._merges_of_a_rank(pairs)))
+
+        letters = F.split(F.decode(raw, "ISO-8859-1"), "")
+        tokens = F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c)))
+        return let(self.pairs, lambda pairs: let(tokens, lambda p: folded(pairs, p)))
+
+    def _one_merge(self, pairs: Column):
+        """A step: the rank, being the new token's id, takes the place of two tokens; only its two neighbours are ranked anew.
+
+        (flatten, as concat is slow within a fold.)
         """
-        most = F.lit(1 << 30)
-        pair = lambda left, right: (left + 1) * PAIR + right
 
         def step(acc, _):
             p, r = acc["p"], acc["r"]
 
-            def merged(best):
-                def joined(i):
-                    near = F.transform(F.array(pair(F.get(p, i - 3), best), pair(best, F.get(p, i))), self.rank)
-                    around = lambda x, new, after: F.flatten(F.array(F.slice(x, F.lit(1), i - 2), new, F.slice(x, after, most)))
-                    return F.struct(around(p, F.array(best), i + 1).alias("p"), around(r, near, i + 2).alias("r"))
+            def joined(best, i):
+                near = F.transform(F.array(_pair(F.get(p, i - 3), best), _pair(best, F.get(p, i))), lambda x: self.rank(pairs, x))
+                around = lambda x, new, after: F.flatten(F.array(F.slice(x, F.lit(1), i - 2), new, F.slice(x, after, F.size(x))))
+                return F.struct(around(p, F.array(best), i + 1).alias("p"), around(r, near, i + 2).alias("r"))
 
-                return F.when(best.isNull(), acc).otherwise(let(F.array_position(r, best).cast("int"), joined))
+            return let(F.array_min(r), lambda best: F.when(best.isNull(), _settled(acc)).otherwise(let(F.array_position(r, best).cast("int"), lambda i: joined(best, i))))
 
-            return let(F.array_min(r), merged)
+        return step
 
-        def folded(p):
-            end = F.array(F.lit(None).cast("bigint"))
-            pairs = F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), most), pair)
-            start = F.struct(p.alias("p"), F.concat(end, F.transform(pairs, self.rank), end).alias("r"))
-            return F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2))), start, step, lambda acc: F.transform(acc["p"], lambda i: i.cast("int")))
+    def _merges_of_a_rank(self, pairs: Column):
+        """A step: all neighbours of the lowest rank merge from left to right.
 
-        letters = F.split(F.decode(raw, "ISO-8859-1"), "")
-        return let(F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c))), folded)
+        Where a pair that comes up on the way has a lower rank yet, which must go before the others, only the leftmost merge.
+        """
+
+        def step(acc, _):
+            p, r = acc["p"], acc["r"]
+
+            def merged(best, marks):
+                """marks: a 1 where a token joins the one before it, one more mark than tokens."""
+                gone = lambda i: F.get(marks, i) == "1"
+                left = F.filter(F.transform(p, lambda x, i: F.when(~gone(i), F.when(gone(i + 1), F.struct(best.alias("t"), F.lit(None).cast("bigint").alias("r"), F.lit(True).alias("new"))).otherwise(F.struct(x.alias("t"), F.get(r, i).alias("r"), F.lit(False).alias("new"))))), lambda x: x.isNotNull())
+                fresh = lambda q: F.transform(q, lambda x, i: F.when(x["new"] | F.get(q, i - 1)["new"], self.rank(pairs, _pair(F.get(q, i - 1)["t"], x["t"]))).otherwise(x["r"]))
+                # A merged token stands beside the next merge's first token for a while.
+                between = F.transform(F.filter(F.transform(p, lambda x, i: F.when(gone(i - 1) & gone(i + 1), x)), lambda x: x.isNotNull()), lambda x: self.rank(pairs, _pair(best, x)))
+                ranked = lambda q: F.struct(F.transform(q, lambda x: x["t"]).alias("p"), F.concat(fresh(q), F.array(F.lit(None).cast("bigint"))).alias("r"), between.alias("b"))
+                return let(left, ranked)
+
+            def chosen(best):
+                all_marks = F.split(F.regexp_replace(F.array_join(F.transform(r, lambda x: F.when(x == best, "1").otherwise("0")), ""), "11", "10"), "")
+                one_mark = let(F.array_position(r, best) - 1, lambda first: F.transform(r, lambda x, i: F.when(i == first, "1").otherwise("0")))
+                lower = lambda x: F.coalesce(F.array_min(F.concat(x["r"], x["b"])) < best, F.lit(False))
+                plain = lambda x: F.struct(x["p"].alias("p"), x["r"].alias("r"))
+                joined = lambda marks: let(marks, lambda m: merged(best, m))
+                return let(joined(all_marks), lambda x: F.when(lower(x), plain(joined(one_mark))).otherwise(plain(x)))
+
+            return let(F.array_min(r), lambda best: F.when(best.isNull(), _settled(acc)).otherwise(chosen(best)))
+
+        return step
 
     def decode(self, ids: Column) -> Column:
         """Bytes of a sequence of ids: the tokens' binary pieces, joined."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.tokens, i)), ""))
 
 
-PIECES = "gen int, n int, word string, id long, seq array<int>"
+NUMBERED = "task int, gen int, n int, word string, id long, tokens int, seq binary"
 
 
-def _number_pieces(most_words: int, part: int):
-    """Batches of (id, pieces) -> rows of new distinct pieces, each before the documents that are rows of piece numbers."""
+def _number_pieces(most_words: int, most_tokens: int):
+    """Batches of (id, pieces) -> a row for each new distinct piece of the task, and one of piece numbers for each document.
+
+    After most_words pieces or most_tokens numbers the numbering begins anew (gen), which bounds memory here and where ids
+    are placed; a single document may go beyond them.
+    """
 
     def run(batches):
-        known, gen = {}, 0
+        task, known, gen, held = TaskContext.get().partitionId(), {}, 0, 0
+
+        def rows(count, **columns):
+            found = {"task": np.full(count, task, np.int32), "gen": np.full(count, gen, np.int32), **columns}
+            types = {"n": pa.int32(), "word": pa.string(), "id": pa.int64(), "tokens": pa.int32(), "seq": pa.binary()}
+            found |= {k: pa.nulls(count, t) for k, t in types.items() if k not in columns}
+            return pa.record_batch([found[c.split()[0]] for c in NUMBERED.split(", ")], names=[c.split()[0] for c in NUMBERED.split(", ")])
+
         for batch in batches:
             lists = batch.column("pieces")
             sizes = np.diff(lists.offsets.to_numpy())
-            for a, b in by_bytes(sizes.tolist(), part):
-                docs = lists.slice(a, b - a)
-                coded = docs.flatten().dictionary_encode()
-                if len(known) + len(coded.dictionary) > most_words:
-                    known, gen = {}, gen + 1
+            for a, b in by_bytes(sizes.tolist(), 1 << 20):
+                coded = lists.slice(a, b - a).flatten().dictionary_encode()
+                if len(known) + len(coded.dictionary) > most_words or held > most_tokens:
+                    known, gen, held = {}, gen + 1, 0
                 words, fresh = coded.dictionary.to_pylist(), []
                 for w in words:
                     if w not in known:
@@ -116,78 +190,69 @@ def _number_pieces(most_words: int, part: int):
                 at = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                 n = np.arange(len(known) - len(fresh), len(known), dtype=np.int32)
                 for i in range(0, len(fresh), 10_000):
-                    m = len(fresh[i : i + 10_000])
-                    yield pa.record_batch([pa.array(np.full(m, gen, np.int32)), pa.array(n[i : i + m]), pa.array(fresh[i : i + m], pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32()))], names=["gen", "n", "word", "id", "seq"])
+                    part = fresh[i : i + 10_000]
+                    yield rows(len(part), n=pa.array(n[i : i + 10_000]), word=pa.array(part, pa.string()))
                 numbers = at[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)
-                offsets = np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int32)
-                yield pa.record_batch([pa.array(np.full(b - a, gen, np.int32)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.string()), batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(offsets, numbers)], names=["gen", "n", "word", "id", "seq"])
-
-    return run
-
-
-def _place_ids(long_piece):
-    """Rows of numbered pieces with their ids, and of documents -> (id, ids)."""
-
-    def run(batches):
-
-        gen, flat, size, waiting, encode = None, np.zeros(0, np.int32), np.zeros(0, np.int64), [], None
-        for batch in batches:
-            gens = batch.column("gen").to_numpy()
-            for g in np.unique(gens):
-                part = batch.filter(pa.array(gens == g))
-                if g != gen:
-                    gen, flat, size, waiting = g, np.zeros(0, np.int32), np.zeros(0, np.int64), []
-                is_word = part.column("word").is_valid()
-                words, docs = part.filter(is_word), part.filter(part.column("word").is_null())
-                if len(words):
-                    ids = words.column("ids")
-                    if ids.null_count:
-                        encode = encode or long_piece()
-                        ids = pa.array([v if v is not None else encode(w) for w, v in zip(words.column("word").to_pylist(), ids.to_pylist())], pa.list_(pa.int32()))
-                    waiting.append((ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())))
-                if not len(docs):
-                    continue
-                if waiting:
-                    flat = np.concatenate([flat, *(w[0] for w in waiting)])
-                    size = np.concatenate([size, *(w[1] for w in waiting)])
-                    waiting = []
-                first = np.cumsum(size) - size
-                seqs = docs.column("seq")
-                lengths = np.diff(seqs.offsets.to_numpy())
-                for a, b in by_bytes(lengths.tolist(), 1 << 20):
-                    seq = seqs.slice(a, b - a).flatten().to_numpy()
-                    n = size[seq]
-                    ends = np.cumsum(n)
-                    total = int(ends[-1]) if len(ends) else 0
-                    ids = flat[np.repeat(first[seq] - (ends - n), n) + np.arange(total)]
-                    cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths[a:b])))]
-                    yield pa.record_batch([docs.column("id").slice(a, b - a), pa.ListArray.from_arrays(cuts.astype(np.int32), ids)], names=["id", "ids"])
+                held += len(numbers)
+                ends = np.cumsum(sizes[a:b])
+                packed = [pa.compress(numbers[end - size : end].tobytes(), codec="zstd", asbytes=True) for end, size in zip(ends, sizes[a:b])]
+                yield rows(b - a, id=batch.column("id").slice(a, b - a), tokens=pa.array(sizes[a:b], pa.int32()), seq=pa.array(packed, pa.binary()))
 
     return run
 
 
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 500_000, longest: int = 256) -> DataFrame:
+def _place_ids(batches):
+    """Rows of a generation's numbered pieces with their ids, in order, then of its documents -> (id, ids)."""
+    now, flat, size, waiting = None, np.zeros(0, np.int32), np.zeros(0, np.int64), []
+    for batch in batches:
+        keys = np.stack([batch.column("task").to_numpy(), batch.column("gen").to_numpy()])
+        cuts = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist(), len(batch)] if len(batch) else []
+        for a, b in zip(cuts, cuts[1:]):
+            part = batch.slice(a, b - a)
+            if tuple(keys[:, a]) != now:
+                now, flat, size, waiting = tuple(keys[:, a]), np.zeros(0, np.int32), np.zeros(0, np.int64), []
+            words, docs = part.filter(part.column("n").is_valid()), part.filter(part.column("n").is_null())
+            if len(words):
+                ids = words.column("ids")
+                waiting.append((ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())))
+            if not len(docs):
+                continue
+            if waiting:
+                flat = np.concatenate([flat, *(w[0] for w in waiting)])
+                size = np.concatenate([size, *(w[1] for w in waiting)])
+                waiting = []
+            first = np.cumsum(size) - size
+            lengths, packed = docs.column("tokens").to_numpy(), docs.column("seq")
+            for c, d in by_bytes(lengths.tolist(), 1 << 20):
+                seq = np.concatenate([np.frombuffer(pa.decompress(packed[k].as_buffer(), 4 * int(lengths[k]), codec="zstd"), np.int32) for k in range(c, d)])
+                n = size[seq]
+                ends = np.cumsum(n)
+                total = int(ends[-1]) if len(ends) else 0
+                ids = flat[np.repeat(first[seq] - (ends - n), n) + np.arange(total)]
+                offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths[c:d])))]
+                yield pa.record_batch([docs.column("id").slice(c, d - c), pa.ListArray.from_arrays(offsets.astype(np.int32), ids)], names=["id", "ids"])
+
+
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 500_000, most_tokens: int = 1 << 25, longest: int = 4096, fold_words: int = 20_000) -> DataFrame:
     """(id_col, ids): token ids of every whole text, as the tokenizer that has these ranks would give; no special tokens.
 
-    Null and empty texts have no ids. Distinct pieces of a task's documents are folded once by Spark; after most_words of them
-    the numbering begins anew, which bounds a worker's memory. Pieces of over `longest` bytes, whose fold would take the
-    square of their length, are merged by the tiktoken library instead, to the same ids. Rows stay as often as they come;
-    other columns are not read.
+    Null and empty texts have no ids. Every distinct piece of the corpus is folded once, in tasks of about fold_words; what
+    moves between tasks are distinct pieces, their ids, and documents as compressed piece numbers, not texts. Pieces of over
+    `longest` bytes fold by ranks instead of by single merges, to the same ids. Rows stay as often as they come; other columns
+    are not read.
     """
     vocabulary = Vocabulary(read_ranks(ranks_path))
-
-    def long_piece():
-        import tiktoken
-
-        coder = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        return coder.encode_ordinary
-
     pieces = F.regexp_extract_all(text_column(docs, text_col), F.lit(PATTERN), F.lit(1))
     rows = docs.select(docs[id_col].cast("long").alias("id"), pieces.alias("pieces"))
-    numbered = rows.mapInArrow(_number_pieces(most_words, 1 << 20), PIECES)
-    raw = F.encode("word", "UTF-8")
-    folded = numbered.withColumn("ids", F.when(F.octet_length("word") <= longest, vocabulary.fold(raw)))
-    return folded.mapInArrow(_place_ids(long_piece), "id long, ids array<int>").toDF(id_col, "ids")
+    numbered = keep(rows.mapInArrow(_number_pieces(most_words, most_tokens), NUMBERED), "numbered")
+    words = numbered.where("word is not null")
+    parts = max(1, min(100_000, -(-words.count() // fold_words)))
+    folded = keep(words.select("word").repartition(parts, "word").distinct().select("word", vocabulary.fold(F.encode("word", "UTF-8"), longest).alias("ids")), "folded")
+    # Merged at any size, so that what is moved grows in proportion to the input.
+    known = words.select("task", "gen", "n", "word").join(folded.hint("merge"), "word").select("task", "gen", "n", "ids")
+    placed = known.unionByName(numbered.where("word is null").select("task", "gen", "id", "tokens", "seq"), allowMissingColumns=True)
+    placed = placed.repartition("task", "gen").sortWithinPartitions("task", "gen", F.col("n").asc_nulls_last())
+    return placed.mapInArrow(_place_ids, "id long, ids array<int>").toDF(id_col, "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
