@@ -1,7 +1,7 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of distinct words.
 
-Each task numbers the distinct pieces of its documents and writes both; every distinct piece of the whole corpus is folded
-once, its ids go back to the tasks that hold it, and plain Python puts them in their places.
+Between the two, plain Python only numbers the distinct pieces of a task's documents and puts the folded pieces back in
+their places; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -11,11 +11,10 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, keep, let, text_column
+from .common import by_bytes, let, text_column
 
 #: Cells of the literal rank map; each holds a few pairs of tokens. A prime, so that remainders of pairs spread.
 CELLS = 262_147
@@ -34,7 +33,9 @@ NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 11F50-11F59 16130-16139 16AC0
 
 
 def _class(ranges: str) -> str:
-    return "".join("-".join(rf"\x{{{c}}}" for c in r.split("-")) for r in ranges.split())
+    """A part of a character class; older characters, most of all texts, fail its first half at once."""
+    inside = "".join("-".join(rf"\x{{{c}}}" for c in r.split("-")) for r in ranges.split())
+    return rf"[[\x{{870}}-\x{{10FFFF}}]&&[{inside}]]"
 
 
 LETTER, NUMBER = rf"\p{{L}}{_class(NEW_LETTERS)}", rf"\p{{N}}{_class(NEW_NUMBERS)}"
@@ -156,32 +157,22 @@ class Vocabulary:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.tokens, i)), ""))
 
 
-NUMBERED = "task int, gen int, n int, word string, id long, tokens int, seq binary"
+PIECES = "gen int, n int, word string, id long, seq array<int>"
 
 
-def _number_pieces(most_words: int, most_tokens: int):
-    """Batches of (id, pieces) -> a row for each new distinct piece of the task, and one of piece numbers for each document.
-
-    After most_words pieces or most_tokens numbers the numbering begins anew (gen), which bounds memory here and where ids
-    are placed; a single document may go beyond them.
-    """
+def _number_pieces(most_words: int, part: int):
+    """Batches of (id, pieces) -> rows of new distinct pieces, each before the documents that are rows of piece numbers."""
 
     def run(batches):
-        task, known, gen, held = TaskContext.get().partitionId(), {}, 0, 0
-
-        def rows(count, **columns):
-            found = {"task": np.full(count, task, np.int32), "gen": np.full(count, gen, np.int32), **columns}
-            types = {"n": pa.int32(), "word": pa.string(), "id": pa.int64(), "tokens": pa.int32(), "seq": pa.binary()}
-            found |= {k: pa.nulls(count, t) for k, t in types.items() if k not in columns}
-            return pa.record_batch([found[c.split()[0]] for c in NUMBERED.split(", ")], names=[c.split()[0] for c in NUMBERED.split(", ")])
-
+        known, gen = {}, 0
         for batch in batches:
             lists = batch.column("pieces")
             sizes = np.diff(lists.offsets.to_numpy())
-            for a, b in by_bytes(sizes.tolist(), 1 << 20):
-                coded = lists.slice(a, b - a).flatten().dictionary_encode()
-                if len(known) + len(coded.dictionary) > most_words or held > most_tokens:
-                    known, gen, held = {}, gen + 1, 0
+            for a, b in by_bytes(sizes.tolist(), part):
+                docs = lists.slice(a, b - a)
+                coded = docs.flatten().dictionary_encode()
+                if len(known) + len(coded.dictionary) > most_words:
+                    known, gen = {}, gen + 1
                 words, fresh = coded.dictionary.to_pylist(), []
                 for w in words:
                     if w not in known:
@@ -190,69 +181,65 @@ def _number_pieces(most_words: int, most_tokens: int):
                 at = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
                 n = np.arange(len(known) - len(fresh), len(known), dtype=np.int32)
                 for i in range(0, len(fresh), 10_000):
-                    part = fresh[i : i + 10_000]
-                    yield rows(len(part), n=pa.array(n[i : i + 10_000]), word=pa.array(part, pa.string()))
+                    m = len(fresh[i : i + 10_000])
+                    yield pa.record_batch([pa.array(np.full(m, gen, np.int32)), pa.array(n[i : i + m]), pa.array(fresh[i : i + m], pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32()))], names=["gen", "n", "word", "id", "seq"])
                 numbers = at[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)
-                held += len(numbers)
-                ends = np.cumsum(sizes[a:b])
-                packed = [pa.compress(numbers[end - size : end].tobytes(), codec="zstd", asbytes=True) for end, size in zip(ends, sizes[a:b])]
-                yield rows(b - a, id=batch.column("id").slice(a, b - a), tokens=pa.array(sizes[a:b], pa.int32()), seq=pa.array(packed, pa.binary()))
+                offsets = np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int32)
+                yield pa.record_batch([pa.array(np.full(b - a, gen, np.int32)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.string()), batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(offsets, numbers)], names=["gen", "n", "word", "id", "seq"])
+
+    return run
+
+
+def _place_ids():
+    """Rows of numbered pieces with their ids, and of documents -> (id, ids)."""
+
+    def run(batches):
+        gen, flat, size, waiting = None, np.zeros(0, np.int32), np.zeros(0, np.int64), []
+        for batch in batches:
+            gens = batch.column("gen").to_numpy()
+            for g in np.unique(gens):
+                part = batch.filter(pa.array(gens == g))
+                if g != gen:
+                    gen, flat, size, waiting = g, np.zeros(0, np.int32), np.zeros(0, np.int64), []
+                is_word = part.column("word").is_valid()
+                words, docs = part.filter(is_word), part.filter(part.column("word").is_null())
+                if len(words):
+                    ids = words.column("ids")
+                    waiting.append((ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())))
+                if not len(docs):
+                    continue
+                if waiting:
+                    flat = np.concatenate([flat, *(w[0] for w in waiting)])
+                    size = np.concatenate([size, *(w[1] for w in waiting)])
+                    waiting = []
+                first = np.cumsum(size) - size
+                seqs = docs.column("seq")
+                lengths = np.diff(seqs.offsets.to_numpy())
+                for a, b in by_bytes(lengths.tolist(), 1 << 20):
+                    seq = seqs.slice(a, b - a).flatten().to_numpy()
+                    n = size[seq]
+                    ends = np.cumsum(n)
+                    total = int(ends[-1]) if len(ends) else 0
+                    ids = flat[np.repeat(first[seq] - (ends - n), n) + np.arange(total)]
+                    cuts = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths[a:b])))]
+                    yield pa.record_batch([docs.column("id").slice(a, b - a), pa.ListArray.from_arrays(cuts.astype(np.int32), ids)], names=["id", "ids"])
 
     return run
 
 
-def _place_ids(batches):
-    """Rows of a generation's numbered pieces with their ids, in order, then of its documents -> (id, ids)."""
-    now, flat, size, waiting = None, np.zeros(0, np.int32), np.zeros(0, np.int64), []
-    for batch in batches:
-        keys = np.stack([batch.column("task").to_numpy(), batch.column("gen").to_numpy()])
-        cuts = [0, *(np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1).tolist(), len(batch)] if len(batch) else []
-        for a, b in zip(cuts, cuts[1:]):
-            part = batch.slice(a, b - a)
-            if tuple(keys[:, a]) != now:
-                now, flat, size, waiting = tuple(keys[:, a]), np.zeros(0, np.int32), np.zeros(0, np.int64), []
-            words, docs = part.filter(part.column("n").is_valid()), part.filter(part.column("n").is_null())
-            if len(words):
-                ids = words.column("ids")
-                waiting.append((ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())))
-            if not len(docs):
-                continue
-            if waiting:
-                flat = np.concatenate([flat, *(w[0] for w in waiting)])
-                size = np.concatenate([size, *(w[1] for w in waiting)])
-                waiting = []
-            first = np.cumsum(size) - size
-            lengths, packed = docs.column("tokens").to_numpy(), docs.column("seq")
-            for c, d in by_bytes(lengths.tolist(), 1 << 20):
-                seq = np.concatenate([np.frombuffer(pa.decompress(packed[k].as_buffer(), 4 * int(lengths[k]), codec="zstd"), np.int32) for k in range(c, d)])
-                n = size[seq]
-                ends = np.cumsum(n)
-                total = int(ends[-1]) if len(ends) else 0
-                ids = flat[np.repeat(first[seq] - (ends - n), n) + np.arange(total)]
-                offsets = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(lengths[c:d])))]
-                yield pa.record_batch([docs.column("id").slice(c, d - c), pa.ListArray.from_arrays(offsets.astype(np.int32), ids)], names=["id", "ids"])
-
-
-def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 500_000, most_tokens: int = 1 << 25, longest: int = 4096, fold_words: int = 20_000) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", most_words: int = 500_000, longest: int = 4096) -> DataFrame:
     """(id_col, ids): token ids of every whole text, as the tokenizer that has these ranks would give; no special tokens.
 
-    Null and empty texts have no ids. Every distinct piece of the corpus is folded once, in tasks of about fold_words; what
-    moves between tasks are distinct pieces, their ids, and documents as compressed piece numbers, not texts. Pieces of over
-    `longest` bytes fold by ranks instead of by single merges, to the same ids. Rows stay as often as they come; other columns
-    are not read.
+    Null and empty texts have no ids. Distinct pieces of a task's documents are folded once by Spark; after most_words of them
+    the numbering begins anew, which bounds a worker's memory. Pieces of over `longest` bytes fold by ranks instead of by single
+    merges, to the same ids. Rows stay as often as they come; other columns are not read.
     """
     vocabulary = Vocabulary(read_ranks(ranks_path))
     pieces = F.regexp_extract_all(text_column(docs, text_col), F.lit(PATTERN), F.lit(1))
     rows = docs.select(docs[id_col].cast("long").alias("id"), pieces.alias("pieces"))
-    numbered = keep(rows.mapInArrow(_number_pieces(most_words, most_tokens), NUMBERED), "numbered")
-    words = numbered.where("word is not null")
-    parts = max(1, min(100_000, -(-words.count() // fold_words)))
-    folded = keep(words.select("word").repartition(parts, "word").distinct().select("word", vocabulary.fold(F.encode("word", "UTF-8"), longest).alias("ids")), "folded")
-    # Merged at any size, so that what is moved grows in proportion to the input.
-    known = words.select("task", "gen", "n", "word").join(folded.hint("merge"), "word").select("task", "gen", "n", "ids")
-    placed = known.unionByName(numbered.where("word is null").select("task", "gen", "id", "tokens", "seq"), allowMissingColumns=True)
-    placed = placed.repartition("task", "gen").sortWithinPartitions("task", "gen", F.col("n").asc_nulls_last())
-    return placed.mapInArrow(_place_ids, "id long, ids array<int>").toDF(id_col, "ids")
+    numbered = rows.mapInArrow(_number_pieces(most_words, 1 << 20), PIECES)
+    folded = numbered.withColumn("ids", F.when(F.col("word").isNotNull(), vocabulary.fold(F.encode("word", "UTF-8"), longest)))
+    return folded.mapInArrow(_place_ids(), "id long, ids array<int>").toDF(id_col, "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
