@@ -22,7 +22,7 @@ def test_rows_of_one_id_are_dealt_to_many_shards(docs, key):
 def test_turns_without_a_conversation_stay_apart(spark):
     rows = [(None, k, "user", f"t{k}") for k in range(5)] + [(2, 0, "user", "a"), (3, 0, "user", "b")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    pairs = preference.gather_turns(turns, F.floor(F.col("conv_id") / 2), F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected"))
+    pairs = preference.gather_turns(turns, *preference.even_and_odd(F.col("conv_id")))
     got = [(r["pair_id"], len(r["chosen"]), len(r["rejected"])) for r in pairs.collect()]
     assert pairs.columns == ["pair_id", "chosen", "rejected"]
-    assert sorted(got, key=str) == sorted([(1, 1, 1), *[(None, 0, 1)] * 5], key=str)
+    assert sorted(got, key=str) == sorted([(1, 1, 1), *[(None, 0, 0)] * 5], key=str)

@@ -57,36 +57,20 @@ def test_bpe_of_long_pieces_and_new_scripts(docs, tiktoken_library, longest):
     assert got == {i: tiktoken_library.encode_ordinary(t) for i, t in rows}
 
 
-@pytest.fixture(scope="module")
-def unigram_library():
-    from tokenizers import Tokenizer, models
-
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    vocab = [(sp.id_to_piece(i), sp.get_score(i)) for i in range(sp.get_piece_size())]
-    return Tokenizer(models.Unigram(vocab, sp.unk_id(), True))
-
-
-def test_counts_equal_library(spark, docs, unigram_library):
-    rows = [(i, t) for i, t in enumerate(NASTY)] + [(1000 + r["doc_id"], r["text"]) for r in documents(spark).collect()]
-    got = {r["doc_id"]: r["n_tokens"] for r in unigram.count_tokens(docs(rows), public_tokenizers.path("piece_bpe_32k.model")).collect()}
-    for i, t in rows:
-        assert got[i] == sum(len(unigram_library.encode(w).ids) for w in unigram.words_of(t or "")), t
-    assert unigram.count_tokens(docs([]), public_tokenizers.path("piece_bpe_32k.model")).count() == 0
-
-
-@given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=4), st.integers(-9, -1)), min_size=1, max_size=12, unique_by=lambda x: x[0]), st.text("abcd", max_size=12))
-@settings(max_examples=150, deadline=None)
-def test_viterbi_is_optimal(pieces, word):
-    counter = unigram.Counter([("<unk>", 0.0)] + [(p, float(s)) for p, s in pieces], 0, False)
-    scores, best = dict(pieces), [(0.0, 0)] + [None] * len(word)
+@given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=4), st.integers(-9, -1)), min_size=1, max_size=12, unique_by=lambda x: x[0]), st.text("abcd", max_size=12), st.booleans())
+@settings(max_examples=300, deadline=None)
+def test_viterbi_is_optimal(pieces, word, byte_fallback):
+    counter = unigram.Counter([(p, float(s)) for p, s in pieces], byte_fallback)
+    scores = dict(pieces)
+    # Every way to a place with its score, its count and whether it ends in an unknown character; ties go to the longest last piece.
+    best = [(0.0, 0, False)]
     for i in range(1, len(word) + 1):
-        found = [best[j][0] + scores[word[j:i]] for j in range(i) if word[j:i] in scores]
+        found = [(best[j][0] + scores[word[j:i]], -j, best[j][1] + 1, False) for j in range(i) if word[j:i] in scores]
         if word[i - 1] not in scores:
-            found.append(best[i - 1][0] + counter.unknown)
-        best[i] = (max(found), 0)
-    assert counter.count(word) <= len(word) and (counter.count(word) > 0) == bool(word)
+            found.append((best[i - 1][0] + counter.unknown, 1 - i, best[i - 1][1] + (1 if byte_fallback else not best[i - 1][2]), True))
+        top = max(found)
+        best.append((top[0], top[2], top[3]))
+    assert counter.count(word) == best[-1][1]
 
 
 def word_ids(text):

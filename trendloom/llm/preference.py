@@ -30,14 +30,21 @@ def _mask(turns: Column, trained: str) -> Column:
     return F.aggregate(turns, start, step, lambda acc: acc["spans"])
 
 
+def even_and_odd(conversation: Column) -> tuple[Column, Column]:
+    """Key and side of conversations 2k (chosen) and 2k + 1 (rejected), in whole numbers of any size; null for a null."""
+    number = conversation.cast("long")
+    return F.shiftright(number, 1), F.when(number.bitwiseAND(F.lit(1)) == 0, "chosen").when(number.isNotNull(), "rejected")
+
+
 def gather_turns(turns: DataFrame, key: Column, side: Column) -> DataFrame:
     """(pair_id, chosen, rejected): turn arrays in order of turn, role and text; null roles and texts are empty.
 
-    Turns without a key belong to no known pair: each is a row of its own with a null pair_id, and they aren't gathered.
+    Turns without a key belong to no known pair: each is a row of its own with a null pair_id and no side, and they aren't
+    gathered. Rows that are repeated whole are one turn; different rows of one turn number all stay, by role and text.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = turns.select(key.alias("pair_id"), side.alias("side"), turn.alias("t"), F.when(key.isNull(), F.monotonically_increasing_id()).alias("alone"))
-    pick = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.col("t"))))
+    pick = lambda s: F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("t"))))
     return rows.groupBy("pair_id", "alone").agg(pick("chosen").alias("chosen"), pick("rejected").alias("rejected")).drop("alone")
 
 

@@ -57,13 +57,15 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations 2k (chosen) and 2k + 1 (rejected) as preference pairs; all conversations are used."""
-    pair, side = F.floor(F.col("conv_id") / 2), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected")
-    return preference.format_preferences(preference.gather_turns(table(spark, sf_dir, "conversations"), pair, side))
+    pair, side = preference.even_and_odd(F.col("conv_id"))
+    found = preference.format_preferences(preference.gather_turns(table(spark, sf_dir, "conversations"), pair, side))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",").alias(c)
+    return found.select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token count of every document by the model's own merges."""
-    return unigram.count_encoded(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    """Token count of every document, the model's pieces read as a unigram vocabulary, and the count by the model's own merges."""
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +103,22 @@ def oracle_sql() -> dict[str, str]:
     m AS (SELECT u.page_id, r.rule, r.verdict, row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.rule) DESC) AS k FROM u JOIN r
       ON (u.host = split_part(r.rule, '/', 1) OR ends_with(u.host, '.' || split_part(r.rule, '/', 1))) AND starts_with(u.path, substr(r.rule, strpos(r.rule, '/'))))
     SELECT u.page_id, host, path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND m.k = 1"""
+    # Positions of the loss spans: lengths of all turns before, and of the turn's head.
+    op7 = r"""
+    WITH t AS (SELECT DISTINCT conv_id >> 1 AS pair_id, conv_id & 1 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    g AS (SELECT pair_id, coalesce(list({'r': role, 't': text} ORDER BY turn, role, text) FILTER (WHERE side = 0), []) AS c, coalesce(list({'r': role, 't': text} ORDER BY turn, role, text) FILTER (WHERE side = 1), []) AS d FROM t GROUP BY pair_id),
+    p AS (SELECT pair_id, c, d, coalesce(list_min(list_filter(range(1, least(len(c), len(d)) + 1), lambda i: c[i] <> d[i])) - 1, least(len(c), len(d))) AS n FROM g),
+    q AS (SELECT pair_id, n, c[1:n] AS p, c[n + 1:] AS c, d[n + 1:] AS d FROM p)
+    SELECT pair_id, n::BIGINT AS prefix_turns,
+      array_to_string(list_transform(p, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') AS prompt,
+      array_to_string(list_transform(c, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') AS chosen,
+      array_to_string(list_transform(d, lambda x: '<|im_start|>' || x.r || chr(10) || x.t || '<|im_end|>' || chr(10)), '') AS rejected,
+      array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].r = 'assistant'), lambda i: (coalesce(list_sum(list_transform(c[1:i - 1], lambda y: length(y.r) + length(y.t) + 24)), 0) + length(c[i].r) + 13)::BIGINT
+        || ':' || (list_sum(list_transform(c[1:i], lambda y: length(y.r) + length(y.t) + 24)))::BIGINT), ',') AS chosen_mask,
+      array_to_string(list_transform(list_filter(range(1, len(d) + 1), lambda i: d[i].r = 'assistant'), lambda i: (coalesce(list_sum(list_transform(d[1:i - 1], lambda y: length(y.r) + length(y.t) + 24)), 0) + length(d[i].r) + 13)::BIGINT
+        || ':' || (list_sum(list_transform(d[1:i], lambda y: length(y.r) + length(y.t) + 24)))::BIGINT), ',') AS rejected_mask
+    FROM q
+    UNION ALL SELECT NULL, 0, '', '', '', '', '' FROM conversations WHERE conv_id IS NULL"""
     op6 = """
     WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
     n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
@@ -108,4 +126,4 @@ def oracle_sql() -> dict[str, str]:
     c AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
     SELECT v.vec_id, (SELECT count(*) FROM e WHERE e.a = v.vec_id) AS n_links, (SELECT min(c.b) FROM c WHERE c.a = v.vec_id) AS component_id,
       v.vec_id = (SELECT min(c.b) FROM c WHERE c.a = v.vec_id) AS kept FROM v"""
-    return {"op2_warc_round_trip": op2, "op4_url_filter": op4, "op6_embedding_near_dedup": op6}
+    return {"op2_warc_round_trip": op2, "op4_url_filter": op4, "op6_embedding_near_dedup": op6, "op7_preference_format": op7}
