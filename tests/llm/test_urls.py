@@ -60,3 +60,23 @@ def test_random_alias_graphs(spark):
     c = components(range(84), edges)
     blocked = {c[i] for i in range(80, 84)}
     assert got == {i: "block" if c[i] in blocked else "allow" for i in range(84)}
+
+
+def test_relative_links_resolve_as_the_library_does(spark):
+    from urllib.parse import urljoin
+
+    rng = random.Random(2)
+    pages = [f"http://h{i}.xyz" + "".join("/" + rng.choice("abc") for _ in range(rng.randrange(0, 7))) + rng.choice(["", "/", "?q=../x", "/p?a/../b"]) for i in range(150)]
+    hrefs = ["../" * rng.randrange(0, 11) + rng.choice(["en/8", "x", "./y", "z/..", "z/.", "w/../v/./u?k=/../j", "m/../../n", ".."]) for _ in pages]
+    hrefs[:20] = ["/" + h for h in hrefs[:20]]
+    rows = spark.createDataFrame([(i, u, f'<link rel="canonical" href="{h}"><!-- <link rel=canonical href="http://x.com/en/1"> -->', "z", "z") for i, (u, h) in enumerate(zip(pages, hrefs))], SCHEMA)
+    got = {r["src"]: r["dst"] for r in urlfilter.alias_edges(rows, "url", "html").collect()}
+    assert len(got) == len(pages)
+    for u, h in zip(pages, hrefs):
+        assert got[u] == urljoin(u, h), (u, h)
+
+
+def test_block_above_the_root(spark):
+    pages = [(1, "http://a.net/a/b/c/p", '<link rel=canonical href="../../../en/8">'), (2, "http://a.net/en/8", '<link rel=canonical href="http://x.org/es/1">'), (3, "http://a.net/a/b/c/q", '<!-- <link rel=canonical href="../../../en/8">')]
+    got = {r["page_id"]: r["verdict"] for r in urlfilter.judge_urls(spark.createDataFrame([(*p, "z", "z") for p in pages], SCHEMA), URL_RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}

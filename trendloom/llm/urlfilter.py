@@ -39,11 +39,21 @@ def resource(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(F.translate(F.regexp_extract(url, parts, 1), _UPPER, _LOWER), F.regexp_extract(url, parts, 2)))
 
 
+def without_dots(path: Column) -> Column:
+    """A path from its slash on, with . and .. segments taken out by a stack; .. above the root is dropped."""
+    segments = F.split(F.substr(path, F.lit(2)), "/", -1)
+    none = F.array().cast("array<string>")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    end = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+    return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)"), F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(segments, none, step), end), "/"))).otherwise(path)
+
+
 def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(src, dst) of resources: canonical links and meta refreshes in the html, resolved against the page's URL."""
+    """(src, dst) of resources: canonical links and meta refreshes in the html, outside comments, resolved against the page's URL."""
     rows = pages.select(pages[url_col].cast("string").alias("url"), pages[html_col].cast("string").alias("html"))
     rows = rows.where("url is not null").where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    tags = rows.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))).alias("tag"))
+    shown = F.when(F.col("html").contains("<!--"), F.regexp_replace("html", r"(?s)<!--.*?(?:-->|\z)", "")).otherwise(F.col("html"))
+    tags = rows.select("url", F.explode(F.regexp_extract_all(shown, F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), F.lit(1))).alias("tag"))
     quoted = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     named = lambda name: F.concat(*[F.regexp_extract("tag", rf"(?is)\b{name}{quoted}", g) for g in (1, 2, 3)])
     canonical = F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b")
@@ -61,9 +71,10 @@ def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
         .when(F.col("href").startswith("?"), F.concat("page", "href"))
         .otherwise(F.concat("root", F.when(F.col("folder") == "", F.lit("/")).otherwise(F.col("folder")), F.col("href")))
     )
-    for dots in (r"/\.(?=/|$)", *[r"(?<=[^/:])/[^/?#]+/\.\.(?=/|$)", r"(?<=[^/:])/\.\.(?=/)"] * 4):
-        whole = F.regexp_replace(whole, dots, "")
-    return keep(based.select("url", whole.alias("whole")), "alias_urls").select(resource(F.col("url")).alias("src"), resource(F.col("whole")).alias("dst"))
+    based = keep(based.select("url", whole.alias("whole")), "alias_urls")
+    part = lambda g: F.regexp_extract("whole", r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$", g)
+    resolved = F.when(F.col("whole").contains("://"), F.concat(part(1), without_dots(part(2)), part(3)))
+    return based.select(resource(F.col("url")).alias("src"), resource(resolved).alias("dst"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
@@ -71,7 +82,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "pa
 
     A page's own longest rule decides, so an explicit allow takes precedence over any block that reaches it. A page without
     a rule is blocked if one of its redirect and canonical aliases, near or far, is blocked by a rule; else it is allowed.
-    redirects(src, dst) adds redirect edges. Alias URLs count whether or not they are pages. A null URL or one without
+    redirects(src, dst) adds redirect edges. Links in comments don't count, repeated ones count once; a base tag isn't looked at. Alias URLs count whether or not they are pages. A null URL or one without
     :// has an empty host and path, fits no rule and has no aliases. Rows stay as often as they come; other columns of
     pages are not read.
     """
