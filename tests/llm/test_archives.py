@@ -7,6 +7,8 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from trendloom.llm import warc
 
 PAGES = [(3, "http://a/é", "<p>one</p>", "x"), (1, "http://b", "<p>one</p>", "x"), (2, None, None, "x"), (9, "http://c", "", "x"), (7, "u\r\nX: y", "ü" * 3000, "x"), (7, "v", "ü" * 3000, "x"), (5, "http://d", "<p>two</p>", "x"), (None, "n", "<p>one</p>", "x"), (11, "http://e", "<p>one</p>", "x")]
@@ -63,3 +65,16 @@ def test_damage_is_seen(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert warc.archive_round_trip(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/w").count() == 0
+
+
+def test_bounds_where_an_outlier_stretches_the_range(spark):
+    ids = [*range(1000), 1 << 62, -(1 << 62), 5, 5]
+    rows = spark.createDataFrame([(i, 10) for i in ids] + [(None, 10)], "id long, size long")
+    bounds = warc.shard_bounds(rows, "id", "size", most=1000, least_shards=4)
+    assert bounds[0] == -(1 << 62) and len(bounds) >= 8
+    got = rows.select("id", warc.place_of(F.col("id"), bounds).alias("p")).collect()
+    from bisect import bisect_right
+
+    assert all(r["p"] == (bisect_right(bounds, r["id"]) - 1 if r["id"] is not None else -1) for r in got)
+    sizes = [sum(1 for i in ids if bisect_right(bounds, i) - 1 == k) for k in range(len(bounds))]
+    assert max(sizes) <= 210

@@ -47,6 +47,22 @@ def test_recall_and_precision(spark):
         assert (got[i]["n_links"], got[i]["component_id"]) == (0, i)
 
 
+@pytest.mark.parametrize("dim", [2, 4, 8, 16, 32, 64, 384])
+def test_recall_in_any_dimensions(spark, dim):
+    rng = np.random.default_rng(dim)
+    rows = []
+    for i in range(60):
+        a = rng.normal(size=dim)
+        a /= np.linalg.norm(a)
+        b = rng.normal(size=dim)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        rows += [(2 * i, a.tolist()), (2 * i + 1, (0.91 * a + np.sqrt(1 - 0.91**2) * b).tolist())]
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_vectors(spark.createDataFrame([(i, v, 0, "x") for i, v in rows], SCHEMA), tile_rows=16).collect()}
+    links = brute(rows)[1]
+    assert sum(got.values()) <= 2 * len(links) and sum(got.values()) >= (2 if dim < embeddings.EXACT_BELOW else 0.95 * 2) * len(links)
+
+
 def test_tiles_of_hot_filters(spark):
     rows = fixture(90)
     d = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], SCHEMA)

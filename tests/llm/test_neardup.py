@@ -6,7 +6,7 @@ import pytest
 from .brute import components
 
 import corpus_pipeline
-from trendloom.llm import minhash
+from trendloom.llm import neardup
 
 DATA = "/root/testdata/sf0.001"
 
@@ -70,6 +70,6 @@ def test_tiles_link_what_one_tile_links(spark):
     words = [f"w{i}" for i in range(60)]
     rows = [(k, "k", " ".join(words[:k] + ["x"] + words[k + 1 :])) for k in range(40)]
     docs = spark.createDataFrame([(i, str(i), t) for i, _, t in rows], "doc_id long, key string, text string")
-    known = minhash.prints(docs, 5)
+    known = neardup.prints(docs, 5)
     for most in (7, 2048):
-        assert len({x for r in minhash.set_links(docs, known, 5, 0.8, most).collect() for x in r}) == 40
+        assert len({x for r in neardup.set_links(docs, known, 5, 0.8, most).collect() for x in r}) == 40

@@ -1,9 +1,12 @@
 """The pipeline's stages on the smallest tables, each against what its operator says about the stage's own input."""
 
 import corpus_pipeline
-from trendloom.llm import quality, secrets, simhash
+from trendloom.llm import quality, secrets
 from trendloom.llm.common import keep
 
+from .brute import components
+from .test_neardup import shingles, similar
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -20,7 +23,8 @@ def test_stages(spark):
     assert sum(i in set(ids(kept)) for i in good) >= 0.9 * len(good)
 
     one = keep(corpus_pipeline.near_dedup(spark, kept, DATA), "t")
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(kept).collect()}
+    sets = {r["doc_id"]: shingles(r["text"]) for r in kept.collect()}
+    groups = components(sets, [(a, b) for a in sets for b in sets if a < b and (similar(sets[a], sets[b]) if sets[a] or sets[b] else True)])
     assert one.columns == docs.columns and ids(one) == sorted(set(groups.values()))
 
     masked = keep(corpus_pipeline.mask_secrets(spark, one, DATA), "t")
@@ -43,3 +47,18 @@ def test_repeats_and_nulls(spark):
     assert got == [1, 2, None]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_clashing_columns_and_missing_ones(spark):
+    text = "a b c d e f g h secret=abcdefghijklmnop"
+    rows = [(1, text, k, k, k, [k], "n", {"m": k}.get("m")) for k in (1, 2)] + [(5, text, 3, 3, 3, [3], "n", 3), (5, "another text with enough words to be its own", 4, 4, 4, [4], "n", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped_id int, dropped_key int, key int, spans array<int>, row string, text_key int")
+    once = corpus_pipeline.near_dedup(spark, docs, DATA)
+    assert once.columns == docs.columns
+    got = sorted((r["doc_id"], r["spans"][0]) for r in once.collect())
+    assert [i for i, _ in got] == [1, 5] and got[0][1] in (1, 2) and got[1][1] == 4
+    masked = corpus_pipeline.mask_secrets(spark, docs, DATA)
+    assert masked.columns == docs.columns
+    assert sorted((r["spans"][0], "[SECRET]" in r["text"]) for r in masked.collect()) == [(1, True), (2, True), (3, True), (4, False)]
+    judged = corpus_pipeline.quality_rules(spark, docs, DATA)
+    assert judged.columns == docs.columns

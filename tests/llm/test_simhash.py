@@ -71,13 +71,13 @@ def test_tiles_find_every_pair(rows):
     a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     a[100:200] = a[:100] ^ (np.uint64(1) << rng.integers(0, 60, 100).astype(np.uint64))
     links = simhash.Links(len(a))
-    simhash.compare(a, None, 4, links, rows)
+    simhash.compare(a[:, None], None, 4, links, rows)
     pairs = [(i, j) for i in range(300) for j in range(i) if int(a[i] ^ a[j]).bit_count() <= 4]
     want = components(range(300), pairs)
     root = links.settle()
     assert {i: int(root[i]) for i in range(300)} == want
     both = simhash.Links(300)
-    simhash.compare(a[:100], a[100:], 4, both, rows)
+    simhash.compare(a[:100, None], a[100:, None], 4, both, rows)
     cross = components(range(300), [(i, j) for i, j in pairs if j < 100 <= i])
     assert {i: int(both.settle()[i]) for i in range(300)} == cross
 

@@ -47,6 +47,26 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scan(values, start, step, out: str, block: int = 256):
+    """Fold that gives an array of outputs: step(state, x) -> struct(state, out), out's type as given; nulls drop out.
+
+    Outputs gather in blocks, as an array that grows by one element a step is copied as often.
+    """
+    none = F.array().cast(f"array<{out}>")
+
+    def part(state, first):
+        run = lambda acc, i: let(step(acc["state"], F.get(values, i)), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")))
+        last = F.least(F.size(values), first + block) - 1
+        return F.aggregate(F.sequence(first, last), F.struct(state.alias("state"), none.alias("outs")), run)
+
+    def add(acc, b):
+        return let(part(acc["state"], b * block), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["outs"])).alias("outs")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / F.lit(block)).cast("int"))
+    found = F.aggregate(blocks, F.struct(start.alias("state"), F.array().cast(f"array<array<{out}>>").alias("outs")), add, lambda acc: F.flatten(acc["outs"]))
+    return F.when(F.size(values) > 0, F.filter(found, lambda x: x.isNotNull())).otherwise(none)
+
+
 def by_bytes(sizes, most: int):
     """Cut consecutive rows into slices (start, stop) of at most so many bytes, one row at least."""
     start, total = 0, 0

@@ -1,4 +1,4 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands propose pairs, the whole sets decide."""
+"""Near-duplicate documents by SimHash classes of a wide radius, within which the whole sets of word shingles decide."""
 
 from __future__ import annotations
 
@@ -9,45 +9,34 @@ from pyspark.sql import functions as F
 
 from .common import keep
 from .components import connected_components
-from .simhash import Links, shingle_hashes
+from .simhash import Links, bits_of, classes, shingle_hashes
 
-#: A pair at 0.8 shares a band with a probability of 1 - (1 - 0.8 ** 6) ** 32 = 0.99994.
-BANDS, ROWS = 32, 6
+#: Fingerprints of 128 bits: a pair at a similarity of 0.8 is expected 19.4 apart (deviation 4.1), unrelated ones 64 (5.7).
+WORDS, RADIUS = 2, 30
+#: Minima of a set under this many hash functions make its sketch, which saves most of the intersections within a tile.
+SKETCH = 192
 #: Sketches agree in a share of their bytes that is the similarity with a deviation of 0.03; this far below, pairs aren't intersected.
 SLACK = 0.14
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(42)
-    n = BANDS * ROWS
-    return rng.integers(0, 1 << 63, (n, 1), np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, (n, 1), np.uint64)
+    return rng.integers(0, 1 << 63, (SKETCH, 1), np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, (SKETCH, 1), np.uint64)
 
 
 FACTOR, MASK = _functions()
 
 
-def shingle_set(text: str | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; empty for a text without words."""
-    parts = list(shingle_hashes((text or "").encode(), size, 42))
+def set_of(parts: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct hashes; empty for a text without words."""
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """Minimum of the set under every hash function."""
-    out = np.full(len(FACTOR), np.iinfo(np.uint64).max)
+def sketch(hashes: np.ndarray) -> bytes:
+    """A byte of each function's minimum of the set."""
+    least = np.full(SKETCH, np.iinfo(np.uint64).max)
     for i in range(0, len(hashes), 512):
-        np.minimum(out, ((hashes[i : i + 512] ^ MASK) * FACTOR).min(axis=1), out=out)
-    return out
-
-
-def band_keys(least: np.ndarray) -> list[int]:
-    from xxhash import xxh64_intdigest
-
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64).tolist()
-
-
-def sketch(least: np.ndarray) -> bytes:
+        np.minimum(least, ((hashes[i : i + 512] ^ MASK) * FACTOR).min(axis=1), out=least)
     return (least >> np.uint64(56) ^ least & np.uint64(255)).astype(np.uint8).tobytes()
 
 
@@ -58,18 +47,19 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def prints(docs: DataFrame, size: int) -> DataFrame:
-    """docs(doc_id, key, text) -> (doc_id, key, set_id, bands): equal sets have one set_id; empty ones have no bands."""
+    """docs(doc_id, key, text) -> (doc_id, key, set_id, n, fp): equal sets of shingles have one set_id, n is their size."""
 
     def run(batches):
         for batch in batches:
-            ids, bands = [], []
+            out = []
             for text in batch.column("text"):
-                hashes = shingle_set(text.as_py(), size)
-                ids.append(_set_id(hashes))
-                bands.append(band_keys(minima(hashes)) if len(hashes) else [])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(ids, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "set_id", "bands"])
+                parts = list(shingle_hashes((text.as_py() or "").encode(), size, 42))
+                hashes = set_of(parts)
+                out.append((_set_id(hashes), len(hashes), bits_of([hashes], WORDS)))
+            ids, counts, fps = zip(*out) if out else ((), (), ())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], names=["doc_id", "key", "set_id", "n", "fp"])
 
-    return docs.mapInArrow(run, "doc_id long, key string, set_id long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, key string, set_id long, n long, fp array<long>")
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -77,8 +67,8 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = [shingle_set(t.as_py(), size) for t in batch.column("text")]
-            yield pa.record_batch([batch.column("set_id"), pa.array([h.tobytes() for h in found], pa.binary()), pa.array([sketch(minima(h)) for h in found], pa.binary())], names=["set_id", "hashes", "sketch"])
+            found = [set_of(list(shingle_hashes((t.as_py() or "").encode(), size, 42))) for t in batch.column("text")]
+            yield pa.record_batch([batch.column("set_id"), pa.array([h.tobytes() for h in found], pa.binary()), pa.array([sketch(h) for h in found], pa.binary())], names=["set_id", "hashes", "sketch"])
 
     return docs.mapInArrow(run, "set_id long, hashes binary, sketch binary")
 
@@ -101,19 +91,19 @@ def compare(hashes: list[np.ndarray], sketches: np.ndarray, first: int, threshol
 
 
 def set_links(docs: DataFrame, known: DataFrame, size: int, threshold: float, most: int = 2048) -> DataFrame:
-    """edges(src, dst) over set_id that join all sets of a common band whose similarity reaches the threshold.
+    """edges(src, dst) over set_id that join all sets of a SimHash class whose similarity reaches the threshold.
 
-    Equal buckets are compared once, large ones in tiles of `most` sets. A task emits a spanning star, never all pairs.
+    Large classes are compared in tiles of about `most` sets. A task emits a spanning star, never all pairs.
     """
-    reps = keep(known.where(F.size("bands") > 0).groupBy("set_id").agg(F.min("key").alias("key"), F.first("bands").alias("bands")), "sets")
-    held = reps.select("set_id", F.explode("bands").alias("band")).groupBy("band").agg(F.collect_list("set_id").alias("ids")).where(F.size("ids") > 1)
-    buckets = keep(held.select(F.sort_array("ids").alias("ids")).distinct().withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    members = reps.join(buckets.select(F.explode("ids").alias("set_id")).distinct(), "set_id").select("set_id", "key")
+    alike = classes(known.where("n > 0").select(F.col("set_id").alias("id"), "fp"), RADIUS, WORDS)
+    reps = known.where("n > 0").groupBy("set_id").agg(F.min("key").alias("key"), F.first("fp").alias("fp"))
+    reps = keep(reps.join(alike, "fp").select("set_id", "key", F.col("component").alias("bucket")), "sets")
+    sizes = keep(reps.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("tiles"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"), "buckets")
+    members = keep(reps.join(sizes, "bucket"), "members")
     # Merged at any size, so that the text moved grows in proportion to the input.
-    texts = docs.join(keep(members, "members").hint("merge"), "key").select("set_id", "text")
+    texts = docs.join(members.select("set_id", "key").hint("merge"), "key").select("set_id", "text")
     sets = keep(sets_of(texts, size).groupBy("set_id").agg(F.first("hashes").alias("hashes"), F.first("sketch").alias("sketch")), "hashes")
-    tiles = F.ceil(F.size("ids") / F.lit(most)).cast("int")
-    dealt = buckets.select("bucket", tiles.alias("tiles"), F.posexplode("ids").alias("pos", "set_id")).withColumn("own", F.floor(F.col("pos") / F.lit(most)).cast("int"))
+    dealt = members.select("bucket", "tiles", "set_id", F.pmod(F.xxhash64("set_id"), F.col("tiles")).cast("int").alias("own"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     paired = paired.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "set_id").join(sets, "set_id")
 
@@ -123,7 +113,9 @@ def set_links(docs: DataFrame, known: DataFrame, size: int, threshold: float, mo
         hashes = [np.frombuffer(h, np.uint64) for h in table["hashes"].to_pylist()]
         sketches = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
         links = Links(len(ids))
-        compare(hashes, sketches, int((own == own[0]).sum()) if own[0] != own[-1] else 0, threshold, links)
+        apart = table["x"][0].as_py() != table["y"][0].as_py()
+        if not apart or own[0] != own[-1]:
+            compare(hashes, sketches, int((own == own[0]).sum()) if apart else 0, threshold, links)
         root = links.settle()
         moved = np.nonzero(root != np.arange(len(root)))[0]
         return pa.table({"src": pa.array(ids[moved], pa.int64()), "dst": pa.array(ids[root[moved]], pa.int64())})
@@ -134,14 +126,14 @@ def set_links(docs: DataFrame, known: DataFrame, size: int, threshold: float, mo
 def repeats(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs(doc_id, key, text), key a digest of the text -> (doc_id, key, n, kept): what stays of each near-duplicate group.
 
-    Groups are the components of pairs whose sets of shingles have a Jaccard similarity of the threshold or more; texts
+    Groups are the components of pairs within a SimHash class whose sets of shingles have a Jaccard similarity of the threshold or more; texts
     without words are one group. The smallest (doc_id, key) of a group is kept; n counts its equal rows. Null ids are
     left out.
     """
     known = keep(prints(docs, size), "prints")
     found = connected_components(set_links(docs, known, size, threshold))
-    rows = known.where("doc_id is not null").groupBy("doc_id", "key").agg(F.first("set_id").alias("set_id"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(found, rows.set_id == found.node, "left").select("doc_id", "key", "n", F.coalesce("component", "set_id").alias("component"))
+    rows = known.where("doc_id is not null").groupBy("doc_id", "key").agg(F.first("set_id").alias("set_id"), F.count(F.lit(1)).alias("rows"))
+    rows = rows.join(found, rows.set_id == found.node, "left").select("doc_id", "key", F.col("rows").alias("n"), F.coalesce("component", "set_id").alias("component"))
     rows = keep(rows, "rows")
     best = keep(rows.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("best")), "best")
     return rows.join(best, "component").select("doc_id", "key", "n", (F.struct("doc_id", "key") == F.col("best")).alias("kept"))

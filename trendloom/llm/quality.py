@@ -77,6 +77,12 @@ def trusted_ids(labels: DataFrame, id_col: str, label_col: str, most: int) -> Da
     return ids.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
+def bucket_count(docs: DataFrame, text_col: str, least: int, at_bytes: int = 64 << 20) -> int:
+    """Buckets for the n-grams of all texts: `least` up to at_bytes of text, beyond that growing with the cube root of the bytes."""
+    total = docs.agg(F.sum(F.octet_length(text_column(docs, text_col)))).first()[0] or 0
+    return max(least, int(least * (total / at_bytes) ** (1 / 3)))
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, smoothing: float = 1.0) -> list[float]:
     """For each bucket, log of its smoothed share in trusted documents over that in all documents.
 
@@ -100,12 +106,12 @@ def score(words: Column, ratios: list[float]) -> Column:
 
 
 def best_threshold(scored: DataFrame, cells: int = 2000, low: float = -5.0, high: float = 5.0) -> float | None:
-    """scored(score, label 0 or 1): the cut with the fewest mistakes, every document weighing the same; the middle of such cuts.
+    """scored(score, label 0 or 1, weight): the cut with the fewest mistakes by weight; the middle of such cuts.
 
     None without both classes. The driver gets a row a cell and class at most.
     """
     cell = F.floor((F.least(F.greatest("score", F.lit(low)), F.lit(high)) - low) * cells / (high - low))
-    rows = scored.where("label in (0, 1)").groupBy(cell.alias("c"), "label").count().collect()
+    rows = scored.where("label in (0, 1)").groupBy(cell.alias("c"), "label").agg(F.sum("weight")).collect()
     count = {(r[0], r[1]): r[2] for r in rows}
     if len({label for _, label in count}) < 2:
         return None
@@ -124,8 +130,8 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) for every row.
 
     A document is kept if it passes the base rules and its length-normalised log-likelihood ratio reaches the threshold,
-    which is fitted to labelled documents that pass the base rules: all bad ones, and those good ones, a third by hash, that the
-    model hasn't seen. The trusted side of the model is a sample of most_trusted of the other good ones at most, the raw side
+    which is fitted to labelled documents that pass the base rules: all bad ones, and those good ones, a third by hash and each
+    weighing as three, that the model hasn't seen. The model has at least `buckets` n-gram buckets, more as the texts grow. The trusted side of the model is a sample of most_trusted of the other good ones at most, the raw side
     all documents. Null texts count as empty: no words, base_failed.
     Without trusted documents, or without labels of both kinds, the ratio has no vote. Rows stay as often as they come; a
     null id is judged like any other; other columns aren't read. With carry they stay, all columns of docs in a struct `row`, so
@@ -136,12 +142,13 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     carried = ["row"] if carry else []
     ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     trusted = keep(trusted_ids(ids, "doc_id", "label", most_trusted), "trusted")
-    ratios = log_ratios(rows, trusted, "id", "text", buckets)
+    ratios = log_ratios(rows, trusted, "id", "text", bucket_count(rows, "text", buckets))
     counted = base_counts(rows, "text")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = keep(counted.select("id", *counts, score(F.col("words"), ratios).alias("score"), *carried), "judged")
     known = ids.groupBy("doc_id").agg(F.min("label").alias("label"))
     unseen = known.where((F.col("label") == 0) | held_out(F.col("doc_id")))
-    threshold = best_threshold(judged.where("not base_failed").join(unseen, judged.id == unseen.doc_id).select("score", "label"))
+    weighed = unseen.withColumn("weight", F.when(F.col("label") == 0, 1).otherwise(3))
+    threshold = best_threshold(judged.where("not base_failed").join(weighed, judged.id == weighed.doc_id).select("score", "label", "weight"))
     passes = F.lit(True) if threshold is None else F.col("score") >= F.lit(threshold)
     return judged.select(F.col("id").alias(id_col), *counts, "score", (~F.col("base_failed") & passes).alias("kept"), *carried)

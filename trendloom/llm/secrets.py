@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, let, text_column
+from .common import keep, let, scan, text_column
 
 #: The patterns of each kind, the group whose length counts, and the least length.
 BASE = [
@@ -18,7 +18,9 @@ BASE = [
 ]
 #: Candidates of the models: whole runs of these characters, this long at least.
 CHARACTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,})"
+CANDIDATE = r"((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,})"
+#: Characters from which on a candidate's mean counts in full; shorter ones, with less evidence, need a higher mean.
+FULL = 20
 SPAN = "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
 
 
@@ -35,23 +37,40 @@ def matches(text: Column, pattern: str, groups: list[int]) -> Column:
     whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     more = [F.regexp_extract_all(text, lit, F.lit(g)) for g in groups]
     parts = F.arrays_zip(whole.alias("w"), F.split(text, pattern, -1).alias("p"), *[m.alias(f"g{i}") for i, m in enumerate(more)])
-    kind = "struct<at:bigint,out:array<struct<start:bigint,w:string" + "".join(f",g{i}:string" for i in range(len(groups))) + ">>>"
-    start = F.from_json(F.lit('{"at":0,"out":[]}'), kind)
+    kind = "struct<start:bigint,w:string" + "".join(f",g{i}:string" for i in range(len(groups))) + ">"
 
-    def step(acc, x):
-        at = acc["at"] + F.length(x["p"])
-        hit = F.struct(at.alias("start"), x["w"].alias("w"), *[x[f"g{i}"].alias(f"g{i}") for i in range(len(groups))])
-        return F.struct((at + F.coalesce(F.length(x["w"]), F.lit(0))).alias("at"), F.when(x["w"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(hit))).alias("out"))
+    def step(at, x):
+        start = at + F.length(x["p"])
+        hit = F.struct(start.alias("start"), x["w"].alias("w"), *[x[f"g{i}"].alias(f"g{i}") for i in range(len(groups))])
+        return F.struct((start + F.coalesce(F.length(x["w"]), F.lit(0))).alias("state"), F.when(x["w"].isNotNull(), hit).alias("out"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), let(parts, lambda found: scan(found, F.lit(0).cast("bigint"), step, kind))).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def base_spans(text: Column, rank: int) -> Column:
     """Spans of one fixed kind, in order; matches whose counted group is too short drop out after matching."""
     kind, pattern, group, least = BASE[rank]
     found = F.filter(matches(text, pattern, [group]), lambda m: F.length(m["g0"]) >= least)
-    spans = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["w"])).alias("stop")))
-    return F.when(text.rlike(pattern), spans).otherwise(_no_spans())
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (m["start"] + F.length(m["w"])).alias("stop")))
+
+
+def apart(found: Column, base: Column) -> Column:
+    """Those of the matches that overlap no span of base: neither one that starts before them nor one that starts within."""
+    event = lambda x, rank, stop, w: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), stop.alias("stop"), w.alias("w"))
+    mine = F.transform(found, lambda m: event(m, 1, m["start"] + F.length(m["w"]), m["w"]))
+    events = F.array_sort(F.concat(F.transform(base, lambda s: event(s, 0, s["stop"], F.lit(None).cast("string"))), mine))
+    fixed = lambda x: x["rank"] == 0
+    # The furthest stop of the spans so far, and from behind the nearest start of the spans to come.
+    before = lambda state, x: F.struct(F.when(fixed(x), F.greatest(state, x["stop"])).otherwise(state).alias("state"), (state <= x["start"]).alias("out"))
+    after = lambda state, x: F.struct(F.when(fixed(x), x["start"]).otherwise(state).alias("state"), (state >= x["stop"]).alias("out"))
+
+    def free(ordered):
+        ahead = scan(ordered, F.lit(0).cast("bigint"), before, "boolean")
+        behind = F.reverse(let(F.reverse(ordered), lambda back: scan(back, F.lit(1 << 62).cast("bigint"), after, "boolean")))
+        marked = F.zip_with(F.zip_with(ordered, ahead, lambda x, f: F.struct(x.alias("x"), f.alias("f"))), behind, lambda y, g: F.when(y["f"] & g & ~fixed(y["x"]), F.struct(y["x"]["start"].alias("start"), y["x"]["w"].alias("w"))))
+        return F.filter(marked, lambda m: m.isNotNull())
+
+    return F.when((F.size(base) == 0) | (F.size(found) == 0), found).otherwise(let(events, free))
 
 
 def samples_of_random(spark: SparkSession, count: int) -> DataFrame:
@@ -109,24 +128,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return log_ratios(transitions(samples_of_random(docs.sparkSession, random_count)), transitions(samples_of_identifiers(docs, trusted, id_col, text_col)))
 
 
-def find_secrets(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs with `spans` added: array of (start, rank, kind, stop) in code points, by start, then kind.
+def find_secrets(docs: DataFrame, ratios: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, spans_col: str = "spans") -> DataFrame:
+    """docs with spans_col added: array of (start, rank, kind, stop) in code points, by start, then kind.
 
-    Fixed kinds (assign, access, hex) come first; kind model adds candidates whose mean log ratio reaches the threshold, which hold
-    a digit, and which overlap no fixed span. Null texts count as empty and have none. Rows and columns stay as they are, but
-    a column named spans is replaced.
+    Fixed kinds (assign, access, hex) come first; kind model adds candidates whose mean log ratio reaches the threshold and
+    which overlap no fixed span. Work grows with a text's length and matches, not with their square. Null texts count as empty and have none. Rows and columns stay as they are, but
+    a column of that name is replaced.
     """
     text = text_column(docs, text_col)
     fixed = [base_spans(text, rank) for rank in range(len(BASE))]
-    digit = lambda w: w.rlike("[0-9]")
 
     def scored(base: Column) -> Column:
-        found = matches(text, CANDIDATE, [])
-        likely = F.filter(found, lambda m: digit(m["w"]) & ~F.exists(base, lambda s: (s["start"] < m["start"] + F.length(m["w"])) & (m["start"] < s["stop"])) & (token_score(m["w"], ratios) >= threshold))
+        likely = apart(F.filter(matches(text, CANDIDATE, []), lambda m: F.least(F.lit(1.0), F.length(m["w"]) / F.lit(FULL)) * token_score(m["w"], ratios) >= threshold), base)
         spans = F.transform(likely, lambda m: F.struct(m["start"].alias("start"), F.lit(len(BASE)).alias("rank"), F.lit("model").alias("kind"), (m["start"] + F.length(m["w"])).alias("stop")))
-        return F.array_sort(F.concat(base, F.when(text.rlike(CANDIDATE), spans).otherwise(_no_spans())))
+        return F.array_sort(F.concat(base, spans))
 
-    return docs.withColumn("spans", F.concat(*fixed)).withColumn("spans", scored(F.col("spans")))
+    return docs.withColumn(spans_col, F.concat(*fixed)).withColumn(spans_col, scored(F.col(spans_col)))
 
 
 def span_text(spans: Column) -> Column:
@@ -135,15 +152,21 @@ def span_text(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with every span, overlapping ones merged, replaced by the mark. spans: by start."""
-    kind = "struct<at:bigint,out:array<string>>"
+    size = 4096
+
+    def cut(blocks, start, stop):
+        """Characters of the text from its blocks, as a substring counts from the first one each time."""
+        first = F.floor(start / F.lit(size)).cast("int")
+        near = F.array_join(F.slice(blocks, first + 1, F.floor(stop / F.lit(size)).cast("int") - first + 1), "")
+        return F.substring(near, (start - first * size + 1).cast("int"), (stop - start).cast("int"))
 
-    def step(acc, s):
-        cut = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.struct(s["stop"].alias("at"), F.concat(acc["out"], F.array(cut)).alias("out"))
-        within = F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out"))
-        return F.when((s["start"] < acc["at"]) & (F.size(acc["out"]) > 0), within).otherwise(fresh)
+    def masked(blocks):
+        def step(state, s):
+            fresh = (s["start"] >= state["at"]) | state["first"]
+            return F.struct(F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.lit(False).alias("first")).alias("state"), F.when(fresh, cut(blocks, state["at"], s["start"])).alias("out"))
 
-    def end(acc):
-        return F.array_join(F.concat(acc["out"], F.array(F.substring(text, (acc["at"] + 1).cast("int"), 2147483647))), mark)
+        parts = scan(spans, F.struct(F.lit(0).cast("bigint").alias("at"), F.lit(True).alias("first")), step, "string")
+        return F.array_join(F.concat(parts, F.array(cut(blocks, F.array_max(F.transform(spans, lambda s: s["stop"])), F.length(text).cast("bigint")))), mark)
 
-    return F.aggregate(spans, F.from_json(F.lit('{"at":0,"out":[]}'), kind), step, end)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / F.lit(size)).cast("int")), lambda b: F.substring(text, b * size + 1, F.lit(size)))
+    return F.when(F.size(spans) > 0, let(blocks, masked)).otherwise(text)

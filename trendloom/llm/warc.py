@@ -8,7 +8,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep, new_dir
@@ -58,28 +58,58 @@ def filesystem(path: str):
     return FileSystem.from_uri(path)
 
 
-def shard_bounds(rows: DataFrame, key: str, size: str, most: int, least_shards: int, cells: int = 4096) -> list[int]:
+def shard_bounds(rows: DataFrame, key: str, size: str, most: int, least_shards: int, cells: int = 4096, parts: int = 16) -> list[int]:
     """Lower bounds of shards of about `most` bytes, or of a part of all bytes that gives least_shards of them.
 
-    They come from the sizes in equal cells of the key's range, of which the driver gets a row each at most, and depend on
-    the rows alone, not on how these are partitioned.
+    They come from the sizes in equal cells of the key's range; a cell that holds more than a shard, as where outliers stretch
+    the range, is parted again and again, down to a single key. The driver gets a row for each cell, and each part of a full
+    one, at most. Bounds depend on the rows alone, not on how these are partitioned.
     """
     low, high = rows.agg(F.min(key), F.max(key)).first()
     if low is None:
         return []
     width = (high - low) // cells + 1
-    cell = F.floor((F.col(key) - F.lit(low)) / F.lit(width))
-    found = sorted(tuple(r) for r in rows.where(F.col(key).isNotNull()).groupBy(cell.alias("c")).agg(F.sum(size)).collect())
-    target = min(most, sum(n for _, n in found) // least_shards + 1)
+    held = rows.where(F.col(key).isNotNull())
+    cell = F.floor(F.try_subtract(F.col(key).cast("decimal(20,0)"), F.lit(low)) / F.lit(width)).cast("long")
+    found = {low + c * width: n for c, n in held.groupBy(cell.alias("c")).agg(F.sum(size)).collect()}
+    target = min(most, sum(found.values()) // least_shards + 1)
+    full = {c for c, n in found.items() if n > target}
+    while full and width > 1:
+        bounds, was, width = sorted(full), width, -(-width // parts)
+        within = held.withColumn("_of", last_bound(F.col(key), bounds)).where(F.col("_of").isNotNull() & (F.col(key).cast("decimal(20,0)") - F.col("_of") < was))
+        part = F.floor((F.col(key).cast("decimal(20,0)") - F.col("_of")) / F.lit(width)).cast("long")
+        split = {of + p * width: n for of, p, n in within.groupBy("_of", part.alias("p")).agg(F.sum(size)).collect()}
+        found = {c: n for c, n in found.items() if c not in full} | split
+        full = {c for c, n in split.items() if n > target}
     out, total = [], target
-    for c, n in found:
+    for c, n in sorted(found.items()):
         if total >= target:
-            out.append(low + c * width)
+            out.append(c)
             total = 0
         total += n
     return out
 
 
+def place_of(key: Column, bounds: list[int]) -> Column:
+    """Number of the last of the sorted bounds that is at most the key, by halving; -1 below the first or for a null."""
+    table = F.array(*map(F.lit, bounds)).cast("array<bigint>")
+
+    def halve(acc, _):
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        up = F.get(table, middle) <= key
+        return F.struct(F.when(up, middle).otherwise(acc["low"]).alias("low"), F.when(up, acc["high"]).otherwise(middle).alias("high"))
+
+    steps = F.array(*[F.lit(i) for i in range(len(bounds).bit_length() + 1)])
+    start = F.struct(F.lit(-1).alias("low"), F.lit(len(bounds)).alias("high"))
+    # Between low and high there is a middle until they are neighbours; then it is low itself, which stays below.
+    step = lambda acc, i: F.when(acc["high"] - acc["low"] > 1, halve(acc, i)).otherwise(acc)
+    return F.when(key.isNull(), -1).otherwise(F.aggregate(steps, start, step, lambda acc: acc["low"]))
+
+
+def last_bound(key: Column, bounds: list[int]) -> Column:
+    return F.get(F.array(*map(F.lit, bounds)).cast("array<bigint>"), place_of(key, bounds))
+
+
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_revisit: int = 0, roll_bytes: int = 64 << 20, shard_bytes: int = 256 << 20, least_shards: int = 64, level: int = 6, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write a record for every page below `path` and return the manifest (shard, part, name, bytes, records, sha256).
 
@@ -99,8 +129,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     first = keep(keys.where(F.col("size") >= least_revisit).groupBy("sha", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", "size", "first"), "firsts")
     revisits = keep(keys.join(first, ["sha", "size"]).where("id <> first").select("id", "sha", "first").distinct(), "revisits")
     bounds = shard_bounds(keys, "id", "size", shard_bytes, least_shards)
-    below = F.size(F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<bigint>"), lambda b: b <= F.col("id")))
-    shard = F.greatest(F.coalesce(below - 1, F.lit(0)), F.lit(0)).cast("int").alias("shard")
+    shard = F.greatest(place_of(F.col("id"), bounds), F.lit(0)).cast("int").alias("shard")
     full = rows.select(shard, "id", F.sha2("payload", 256).alias("sha"), F.lit(1).alias("kind"), "url", "size", F.lit(None).cast("long").alias("refers"), F.unhex(F.sha1("payload")).alias("sha1"), "payload")
     marks = revisits.select(shard, "id", "sha", F.lit(0).alias("kind"), F.col("first").alias("refers"))
     out = full.unionByName(marks, allowMissingColumns=True).repartitionById(max(1, len(bounds)), F.col("shard")).sortWithinPartitions("shard", "id", "sha", "kind", "url")
