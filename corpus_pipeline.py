@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.llm import minhash, packing, quality, secrets
+from trendloom.llm import neardup, packing, quality, secrets
 from trendloom.llm.common import keep, text_column
 from trendloom.llm.queries import table, tokenizer_file
 
@@ -23,23 +23,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more.
 
     Rows are judged by their own text, also where they share a doc_id; the smallest (doc_id, digest of the text) of a group
-    stays. Documents without an id stay.
+    stays, of rows equal in both the one of smallest hash. Documents without an id stay.
     """
-    keyed = docs.withColumn("text_key", F.md5(text_column(docs, "text").cast("binary")))
-    found = keep(minhash.repeats(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text_key").alias("key"), text_column(docs, "text").alias("text"))), "found")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_column(docs, "text").cast("binary")).alias("key"), text_column(docs, "text").alias("text"), F.struct(*docs.columns).alias("row"))
+    found = keep(neardup.repeats(keyed.select("doc_id", "key", "text")), "found")
     dropped = found.where("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("key").alias("dropped_key"))
-    kept = keyed.join(dropped.hint("merge"), (F.col("doc_id") == F.col("dropped_id")) & (F.col("text_key") == F.col("dropped_key")), "left_anti")
+    kept = keyed.drop("text").join(dropped.hint("merge"), (F.col("doc_id") == F.col("dropped_id")) & (F.col("key") == F.col("dropped_key")), "left_anti")
     if not found.where("kept and n > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text_key"]).unionByName(kept.where("doc_id is null"))
-    return kept.select(docs.columns)
+        one = kept.where("doc_id is not null").groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = one.select("row").union(kept.where("doc_id is null").select("row"))
+    return kept.select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its secrets replaced by a mark and n_chars counted anew where there were any."""
-    found = secrets.find_secrets(docs, secrets.train(docs, table(spark, sf_dir, "labels")))
-    hit = F.size("spans") > 0
-    masked = found.withColumn("text", F.when(hit, secrets.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
-    masked = masked.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    """Every document, with its secrets replaced by a mark and n_chars counted anew (if the table has it) where there were any."""
+    spans = "spans"
+    while spans in map(str.lower, docs.columns):
+        spans += "_"
+    found = secrets.find_secrets(docs, secrets.train(docs, table(spark, sf_dir, "labels")), spans_col=spans)
+    hit = F.size(spans) > 0
+    masked = found.withColumn("text", F.when(hit, secrets.redacted(text_column(found, "text"), F.col(spans))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return masked.select(docs.columns)
 
 
