@@ -103,8 +103,8 @@ def tokens(text: Column, stop_words: list[str] | None = None) -> Column:
     out = F.lower(_text(text))
     for pattern in (r"https?:\S+", r"\$[a-z0-9]+", r"[^a-z0-9\s']"):
         out = F.regexp_replace(out, pattern, " ")
-    stop = F.array(*map(F.lit, STOP_WORDS if stop_words is None else stop_words))
-    return F.filter(F.split(out, r"\s+"), lambda w: (F.length(w) >= 4) & ~F.array_contains(stop, w))
+    stop = STOP_WORDS if stop_words is None else stop_words
+    return F.filter(F.split(out, r"\s+"), lambda w: (F.length(w) >= 4) & ~w.isin(stop))
 
 
 def matching_tokens(text: Column, handle: Column) -> Column:
@@ -198,8 +198,7 @@ def nameability_capped(score: Column, ticker: Column, text: Column, cap: float =
 def name_words(name: Column) -> Column:
     """Words of a name, three characters or more, that aren't generic."""
     words = F.split(F.regexp_replace(_text(name), r"[^\w\s]", " "), r"\s+")
-    generic = F.array(*map(F.lit, GENERIC_NAME_WORDS))
-    return F.filter(F.transform(words, F.lower), lambda w: (F.length(w) >= 3) & ~F.array_contains(generic, w))
+    return F.filter(F.transform(words, F.lower), lambda w: (F.length(w) >= 3) & ~w.isin(GENERIC_NAME_WORDS))
 
 
 def distinctive_words(name: Column, ticker: Column) -> Column:
@@ -239,8 +238,7 @@ def title_words(title: Column) -> Column:
     """Words of a title that may make a search term: three characters or more, no stop words, no quotes around them."""
     clean = F.regexp_replace(F.lower(strip_noise(title)), r"[^a-z0-9\s'-]", " ")
     words = F.transform(F.split(clean, r"\s+"), lambda w: F.regexp_replace(w, "^'+|'+$", ""))
-    stop = F.array(*map(F.lit, STOP_WORDS + TITLE_STOP_WORDS))
-    return F.filter(words, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(STOP_WORDS + TITLE_STOP_WORDS))
 
 
 def proposal_count(text: Column) -> Column:

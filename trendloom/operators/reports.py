@@ -135,9 +135,14 @@ def share_by_wave(rows: DataFrame, wave: str, winner: Column) -> DataFrame:
     return out.withColumn("vs_base", F.try_divide("share", F.nullif("base", F.lit(0.0))))
 
 
+def seeded_order(key: str, seed: int) -> list[Column]:
+    """Sort keys of a seeded shuffle: the MD5 of seed and key, then the key."""
+    return [F.md5(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string")).cast("binary")), F.col(key)]
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int, by: list[str] | None = None) -> DataFrame:
     """n rows (of each group) in the order of a seeded hash of the key: the same on any partitioning."""
-    order = [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    order = seeded_order(key, seed)
     if not by:
         return rows.orderBy(*order).limit(n)
     return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("r") <= n).drop("r")
@@ -149,11 +154,11 @@ def case_control(rows: DataFrame, key: str, winner: Column, loser: Column, seed:
     A sampling operator: n bounds what it returns, and only n rows of a group leave each task.
     """
     marked = rows.withColumn("group", F.when(winner, "winner").when(loser, "loser")).where("group is not null")
-    w = Window.partitionBy("group").orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
+    w = Window.partitionBy("group").orderBy(*seeded_order(key, seed))
     top = marked.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
     size = top.agg(F.least(F.count_if(F.col("group") == "winner"), F.count_if(F.col("group") == "loser")).alias("size"))
     picked = top.crossJoin(F.broadcast(size)).where("r <= size").drop("size", "r")  # one row
-    return picked.withColumn("row_id", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + 1), F.col(key)), F.col(key))))
+    return picked.withColumn("row_id", F.row_number().over(Window.orderBy(*seeded_order(key, seed + 1))))
 
 
 def transitions(rows: DataFrame, old: Column, new: Column) -> DataFrame:

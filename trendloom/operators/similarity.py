@@ -78,7 +78,7 @@ def match_narratives(posts: DataFrame, members: DataFrame, keyword: float = KEYW
         near.select("post_id", "narrative_id", F.lit("embedding").alias("reason"), F.lit(2).alias("kind"), F.col("cosine").alias("score")))
     authors = members.select("narrative_id", text.normalize_handle(F.col("handle")).alias("h")).where("h <> ''").distinct()
     soft = soft.join(p.select("post_id", "h"), "post_id").join(authors, ["narrative_id", "h"], "left_anti").drop("h")
-    w = Window.partitionBy("post_id").orderBy("kind", F.col("score").desc(), "narrative_id")
+    w = Window.partitionBy("post_id").orderBy("kind", F.round("score", 9).desc(), "narrative_id")
     best = by_tag.unionByName(soft).withColumn("r", F.row_number().over(w)).where("r = 1")
     return best.select("post_id", "narrative_id", "reason", "score")
 

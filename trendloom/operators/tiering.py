@@ -11,13 +11,13 @@ from ..functions.values import micros
 def global_rank(rows: DataFrame, value: str, key: str, name: str = "rank", parts: int = 64, sample: int = 10_000) -> DataFrame:
     """Rank from 1 over all rows by value descending, then key ascending, without bringing them to one task.
 
-    Bounds that cut the order into ranges come from about `sample` rows, chosen by hash of the key, of which the driver gets
-    these two columns. Every row is ranked within its range and lifted by the rows of the ranges before, whose counts alone
+    Bounds that cut the order into ranges come from about `sample` rows, chosen by hash row by row, also where keys repeat, of
+    which the driver gets these two columns. Every row is ranked within its range and lifted by the rows of the ranges before, whose counts alone
     meet in one task. The bounds balance the work; the ranks don't depend on them. Keys are numbers.
     """
     order = F.struct((-F.col(value)).alias("v"), F.col(key).alias("k"))
-    share = F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.floor(F.col("n") / sample)))
-    picked = rows.select(value, key).crossJoin(rows.agg(F.count(F.lit(1)).alias("n"))).where(share == 0)
+    share = F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.greatest(F.lit(1), F.floor(F.col("n") / sample)))
+    picked = rows.select(value, key).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))).where(share == 0)  # one row
     seen = sorted((-r[0], r[1]) for r in picked.select(value, key).collect())
     bounds = sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if len(seen) > parts else []
     table = F.array(*[F.struct(F.lit(float(v)).alias("v"), F.lit(k).alias("k")) for v, k in bounds])

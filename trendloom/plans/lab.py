@@ -135,13 +135,13 @@ def follower_buckets(spark, sf_dir):
     return rated(spark, sf_dir).groupBy(b.alias("bucket"), "coined").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(None)
+@query(", t AS (SELECT id, CASE WHEN coined THEN 'winner' ELSE 'loser' END AS \"group\" FROM rated), k AS (SELECT *, row_number() OVER (PARTITION BY \"group\" ORDER BY md5('42/' || id), id) AS r FROM t), n AS (SELECT min(c) AS n FROM (SELECT least(count(*), 50) AS c FROM t GROUP BY \"group\")) SELECT row_number() OVER (ORDER BY md5('43/' || id), id) AS row_id, id, \"group\" FROM k, n WHERE r <= n", "rated")
 def case_control_sample(spark, sf_dir):
     """Fifty good and fifty other documents in seeded order."""
     return reports.case_control(rated(spark, sf_dir), "id", F.col("coined"), ~F.col("coined"), 42, 50).select("row_id", "id", "group")
 
 
-@query(None)
+@query("SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42/' || o_orderkey), o_orderkey) <= 5")
 def seeded_sample(spark, sf_dir):
     """Five orders of each priority."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")

@@ -159,15 +159,28 @@ def scalar_values(spark, sf_dir):
     return e.select("event_id", F.when(F.col("value") >= 100, "short").otherwise("long").alias("kind"), values.js_round(F.col("value")).alias("rounded"), values.normalize_posted_at(raw).alias("posted_at"))
 
 
-@query(None)
+def _counted(name: str, source: str) -> str:
+    return f"{name} AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest({tokens_sql('text')}) AS token FROM {source}) GROUP BY ALL), {name}s AS (SELECT id, count(*) AS n, sqrt(sum(tf * tf)) AS l FROM {name} GROUP BY id)"
+
+
+@query(
+    f"WITH p AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations), m AS (SELECT item_id AS id, text FROM benchmark), {_counted('pt', 'p')}, {_counted('mt', 'm')}, "
+    "o AS (SELECT pt.id AS post, mt.id AS member, count(*) AS k FROM pt JOIN mt ON pt.token = mt.token GROUP BY ALL), "
+    "ov AS (SELECT post, member % 20 AS g, max(k / (a.n + b.n - k)) AS score FROM o JOIN pts a ON a.id = post JOIN mts b ON b.id = member GROUP BY ALL HAVING max(k / (a.n + b.n - k)) >= 0.1), "
+    "cw AS (SELECT mt.id % 20 AS g, token, sum(tf / l) AS w FROM mt JOIN mts ON mt.id = mts.id GROUP BY ALL), cl AS (SELECT g, sqrt(sum(w * w)) AS l FROM cw GROUP BY g), "
+    "co AS (SELECT pt.id AS post, cw.g, sum(tf / pts.l * w / cl.l) AS score FROM pt JOIN pts ON pt.id = pts.id JOIN cw ON pt.token = cw.token JOIN cl ON cw.g = cl.g GROUP BY ALL HAVING sum(tf / pts.l * w / cl.l) >= 0.2), "
+    "u AS (SELECT post, g, 'keyword' AS reason, 1 AS kind, score FROM ov UNION ALL SELECT post, g, 'embedding', 2, score FROM co) "
+    "SELECT post AS post_id, g AS narrative_id, reason, round(score, 6) AS score FROM u QUALIFY row_number() OVER (PARTITION BY post ORDER BY kind, round(score, 9) DESC, g) = 1")
 def narrative_matches(spark, sf_dir):
     """C1 in batch mode: turns of conversations as posts, the benchmark's items as members of narratives."""
     p = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), F.concat(F.lit("c"), "conv_id").alias("handle"), "text")
     m = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("narrative_id"), F.col("item_id").alias("post_id"), F.concat(F.lit("i"), "item_id").alias("handle"), "text")
-    return similarity.match_narratives(p, m, keyword=0.1, cosine=0.2)
+    return similarity.match_narratives(p, m, keyword=0.1, cosine=0.2).select("post_id", "narrative_id", "reason", r6("score"))
 
 
-@query(None)
+@query(
+    f"WITH RECURSIVE {PAIRS}, n AS (SELECT * FROM t WHERE len(w) > 0), e AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.id <> b.id WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.28), "
+    "c AS (SELECT id AS a, id AS b FROM t UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT a AS post_id, min(b) AS narrative_id FROM c GROUP BY a")
 def narratives_formed(spark, sf_dir):
     """C1 in batch mode: groups of overlapping turns that matched nothing."""
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), "text")
