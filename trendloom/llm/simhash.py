@@ -161,7 +161,7 @@ def near_links(reps: DataFrame, radius: int = 4, words: int = 1, least_rows: int
     tiles = (
         reps.select("fp", "rep", pop.alias("p"))
         .withColumn("s", F.pmod(F.xxhash64("fp"), F.greatest(F.get(spark_slots, F.col("p")), F.lit(1))).cast("int"))
-        .groupBy("p", "s").agg(F.collect_list("fp").alias("fps"), F.collect_list("rep").alias("reps"))
+        .groupBy("p", "s").agg(F.flatten(F.collect_list("fp")).alias("fps"), F.collect_list("rep").alias("reps"))
     )
 
     def with_tiles(low, high):
@@ -177,7 +177,7 @@ def near_links(reps: DataFrame, radius: int = 4, words: int = 1, least_rows: int
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("own")
-        fps = [np.asarray(v.values.flatten(), dtype=np.int64).view(np.uint64).reshape(-1, words) for v in table["fps"]]
+        fps = [np.asarray(v.values, dtype=np.int64).view(np.uint64).reshape(-1, words) for v in table["fps"]]
         ids = np.concatenate([np.asarray(v.values, dtype=np.int64) for v in table["reps"]])
         if table["x"][0].as_py() != table["y"][0].as_py() and len(fps) < 2:
             return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64())})
