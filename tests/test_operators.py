@@ -129,6 +129,17 @@ def test_overlap_pairs_against_brute_force(spark, t):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
 
 
+def test_overlap_at_the_threshold_itself(spark):
+    """7 of 25 words is 0.28 exactly, which 25 * 0.28 in floating point overshoots; also where the shared words are the commonest."""
+    sets = {0: {f"w{i:02}" for i in range(25)}, 1: {f"w{i:02}" for i in range(18, 25)}, 2: {"w24"}, 3: set()}
+    d = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, w array<string>")
+    rows = similarity.token_rows(d, "id", F.col("w"))
+    pairs = {(r["a"], r["b"]) for r in similarity.overlap_pairs(rows, "id", 0.28).collect()}
+    assert pairs == brute_overlap(sets, 0.28).keys() == {(0, 1)}
+    two = similarity.overlap_join(rows.where("id = 1").select("id", "token", "size"), "post", rows.where("id <> 1").select("id", "token", "size"), "member", 0.14)
+    assert {(r["post"], r["member"], r["shared"]) for r in two.collect()} == {(1, 0, 7), (1, 2, 1)}
+
+
 def test_matching_and_greedy(spark):
     posts = spark.createDataFrame([(10, "@me", "giant dragon spotted flying"), (11, "@z", "nothing alike here today"), (12, "@z", "about $WIF"), (13, "@a", "giant dragon spotted london")], "post_id long, handle string, text string")
     members = spark.createDataFrame([(1, 1, "@a", "giant dragon spotted london"), (2, 2, "@b", "all in $wif")], "narrative_id long, post_id long, handle string, text string")

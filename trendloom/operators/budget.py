@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 def running_spend(rows: DataFrame, ts: str, tie: str, amount: str, by: list[str] | None = None) -> DataFrame:
     """rows with day_spent and hour_spent: what was spent in the row's day and hour up to and with it.
 
-    Partitions are hours; a day's total before an hour comes from hour sums, so that a busy day isn't one task.
+    Rows are added up within seconds; what came before a second, in its hour and its day, comes from the seconds' sums, of which
+    a day has 86,400 at most. So a busy hour isn't one task. Rows without a time are in no day and drop out.
     """
     by = by or []
-    r = rows.withColumn("_hour", F.date_trunc("hour", F.col(ts).cast("timestamp"))).withColumn("_day", F.to_date("_hour"))
-    sums = r.groupBy(*by, "_day", "_hour").agg(F.sum(amount).alias("_s"))
-    before = F.sum("_s").over(Window.partitionBy(*by, "_day").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select(*by, "_hour", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.sum(amount).over(Window.partitionBy(*by, "_hour").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0))
-    out = r.withColumn("hour_spent", within).join(sums, [*by, "_hour"])
-    return out.withColumn("day_spent", F.col("hour_spent") + F.col("_before")).drop("_hour", "_day", "_before")
+    r = rows.withColumn("_second", F.date_trunc("second", F.col(ts).cast("timestamp")))
+    sums = r.groupBy(*by, "_second").agg(F.sum(amount).alias("_s"))
+    before = lambda unit: F.coalesce(F.sum("_s").over(Window.partitionBy(*by, F.date_trunc(unit, "_second")).orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "_second", before("day").alias("_day"), before("hour").alias("_hour"))
+    within = F.sum(amount).over(Window.partitionBy(*by, "_second").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0))
+    out = r.withColumn("_spent", within).join(sums, [*by, "_second"])
+    return out.withColumn("hour_spent", F.col("_spent") + F.col("_hour")).withColumn("day_spent", F.col("_spent") + F.col("_day")).drop("_second", "_spent", "_hour", "_day")
 
 
 def blocked(hour_spent: Column, day_spent: Column, hourly: float, daily: float) -> Column:

@@ -16,24 +16,42 @@ def token_rows(docs: DataFrame, key: str, words) -> DataFrame:
     return rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(key)))
 
 
-def overlap_pairs(rows: DataFrame, key: str, threshold: float = KEYWORD) -> DataFrame:
-    """(a, b, shared, overlap) of all pairs a < b of a Jaccard overlap of at least the threshold.
+def overlap_join(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float = KEYWORD, same: bool = False) -> DataFrame:
+    """(a, b, shared, overlap): pairs of a row of left and one of right of a Jaccard overlap of at least the threshold.
 
     An inverted-index join in the manner of prefix filters: tokens are ordered from rare to common, and two sets of that
     overlap share one of the first size - ceil(t * size) + 1 tokens of each, so that only these join; sets too different in
     size drop out. Candidates are then counted on all their tokens. The commonest tokens, whose lists are longest, take part
-    only for sets that have nothing rarer.
+    only for sets that have nothing rarer. same: both sides are the same rows, and only pairs a < b count.
     """
-    freq = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy(key).orderBy("df", "token")
-    sets = rows.join(freq, "token").select(key, "token", "size", F.row_number().over(w).alias("pos"))
-    prefix = sets.where(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1).select(key, "token", "size")
-    a, b = prefix.select(F.col(key).alias("a"), "token", F.col("size").alias("na")), prefix.select(F.col(key).alias("b"), "token", F.col("size").alias("nb"))
-    candidates = a.join(b, "token").where("a < b").where((F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))).select("a", "b", "na", "nb").distinct()
-    words = sets.groupBy(key).agg(F.collect_list("token").alias("words"))
-    both = candidates.join(words.select(F.col(key).alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col(key).alias("b"), F.col("words").alias("wb")), "b")
+    tokens = left.select("token") if same else left.select("token").union(right.select("token"))
+    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    least = lambda n: n * threshold - 1e-9  # noqa: E731  (products such as 25 * 0.28 come out a trifle too large)
+
+    def sets(rows, key):
+        w = Window.partitionBy(key).orderBy("df", "token")
+        return rows.join(freq, "token").select(key, "token", "size", F.row_number().over(w).alias("pos"))
+
+    def prefix(s, key, n):
+        return s.where(F.col("pos") <= F.col("size") - F.ceil(least(F.col("size"))) + 1).select(key, "token", F.col("size").alias(n))
+
+    def words(s, key, name):
+        return s.groupBy(key).agg(F.collect_list("token").alias(name))
+
+    sa = sets(left.withColumnRenamed(left.columns[0], a), a)
+    sb = sa.withColumnRenamed(a, b) if same else sets(right.withColumnRenamed(right.columns[0], b), b)
+    found = prefix(sa, a, "na").join(prefix(sb, b, "nb"), "token").where((F.col("na") >= least(F.col("nb"))) & (F.col("nb") >= least(F.col("na"))))
+    if same:
+        found = found.where(F.col(a) < F.col(b))
+    both = found.select(a, b, "na", "nb").distinct().join(words(sa, a, "wa"), a).join(words(sb, b, "wb"), b)
     out = both.withColumn("shared", F.size(F.array_intersect("wa", "wb")))
-    return out.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("overlap")).where(F.col("overlap") >= threshold)
+    return out.select(a, b, "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("overlap")).where(F.col("overlap") >= threshold)
+
+
+def overlap_pairs(rows: DataFrame, key: str, threshold: float = KEYWORD) -> DataFrame:
+    """(a, b, shared, overlap) of all pairs a < b of one table, as overlap_join finds them."""
+    own = rows.select(key, "token", "size")
+    return overlap_join(own, "a", own, "b", threshold, same=True)
 
 
 def tf_vectors(rows: DataFrame, key: str) -> DataFrame:
@@ -70,8 +88,7 @@ def match_narratives(posts: DataFrame, members: DataFrame, keyword: float = KEYW
 
     words = text.matching_tokens(F.col("text"), F.col("handle"))
     pt, mt = token_rows(p, "post_id", words), token_rows(members.select(F.col("post_id").alias("member_id"), "text", "handle"), "member_id", words)
-    shared = pt.select("post_id", "token", F.col("size").alias("na")).join(mt.select("member_id", "token", F.col("size").alias("nb")), "token").groupBy("post_id", "member_id").agg(F.count(F.lit(1)).alias("k"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    over = shared.withColumn("score", F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).where(F.col("score") >= keyword)
+    over = overlap_join(pt.select("post_id", "token", "size"), "post_id", mt.select("member_id", "token", "size"), "member_id", keyword).withColumnRenamed("overlap", "score")
     over = over.join(members.select(F.col("post_id").alias("member_id"), "narrative_id"), "member_id").groupBy("post_id", "narrative_id").agg(F.max("score").alias("score"))
     near = cosine_pairs(tf_vectors(pt, "post_id"), "post_id", centroids(tf_vectors(mt, "member_id"), members.select(F.col("post_id").alias("member_id"), "narrative_id"), "member_id", "narrative_id"), "narrative_id", cosine)
     soft = over.select("post_id", "narrative_id", F.lit("keyword").alias("reason"), F.lit(1).alias("kind"), "score").unionByName(

@@ -74,10 +74,16 @@ def tf_cosine_pairs(spark, sf_dir):
 
 @query("WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL), s AS (SELECT e.vec_id, e.label, sum(e.x * c.m) / (sqrt(sum(e.x * e.x)) * sqrt(sum(c.m * c.m))) AS cosine FROM e JOIN c ON e.label = c.label AND e.i = c.i GROUP BY ALL) SELECT label, count(*) AS n, round(avg(cosine), 6) AS mean_cosine, round(min(cosine), 6) AS least FROM s GROUP BY label")
 def label_centroid_similarity(spark, sf_dir):
-    """F32 over dense vectors: cosine of each vector with its label's centroid."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    c = e.groupBy("label", "i").agg(F.avg("x").alias("m"))
-    s = e.join(c, ["label", "i"]).groupBy("vec_id", "label").agg((F.sum(F.col("x") * F.col("m")) / (F.sqrt(F.sum(F.col("x") * F.col("x"))) * F.sqrt(F.sum(F.col("m") * F.col("m"))))).alias("cosine"))
+    """F32 over dense vectors: cosine of each vector with its label's centroid.
+
+    Components are averaged with partial sums, so that only a label's means are shuffled; vectors stay whole and meet their
+    label's one array of means.
+    """
+    e = table(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    means = e.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    c = means.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("c"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    s = e.where(F.size("v") > 0).join(c, "label").select("label", (dot("v", "c") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("c", "c")))).alias("cosine"))
     return s.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cosine"), 6).alias("mean_cosine"), F.round(F.min("cosine"), 6).alias("least"))
 
 
