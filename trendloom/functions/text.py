@@ -254,6 +254,24 @@ def is_pickup(text: Column) -> Column:
     return _text(text).rlike("|".join(f"(?:{p})" for p in PICKUP_PATTERNS))
 
 
+def normalize_symbol(ticker: Column) -> Column:
+    """Upper case without a leading dollar sign or blanks; null as empty."""
+    return F.trim(F.regexp_replace(F.upper(_text(ticker)), r"^\$", ""))
+
+
+def pair_matches(symbol: Column, name: Column, mint: Column, query: Column) -> Column:
+    """Whether a pair's symbol, name or address holds the query; one letter only counts within a whole address."""
+    q, m = F.lower(F.trim(_text(query))), F.lower(_text(mint))
+    anywhere = F.lower(normalize_symbol(symbol)).contains(q) | F.lower(_text(name)).contains(q) | m.contains(q)
+    return F.when(q == "", False).when((F.length(m) >= 32) & m.contains(q), True).otherwise((F.length(q) >= 2) & anywhere)
+
+
+def hit_matches(ticker: Column, name: Column, term: Column) -> Column:
+    """Whether a found token is meant by a term: its symbol, or within its name from four letters on."""
+    t = F.trim(_text(term))
+    return (t != "") & ((normalize_symbol(ticker) == normalize_symbol(t)) | ((F.length(t) >= 4) & F.lower(_text(name)).contains(F.lower(t))))
+
+
 def addresses(text: Column) -> Column:
     """Distinct base-58 addresses in a text."""
     return F.array_distinct(_all(text, ADDRESS))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import gates
+
 #: Fixed value: the address of the wrapped native coin.
 SOL_MINT = "So11111111111111111111111111111111111111112"
 LEG = "struct<address:string,symbol:string,uiAmount:double,amount:double,price:double>"
@@ -160,6 +162,25 @@ def dedup_by_ticker(tokens: DataFrame, seeds: DataFrame | None = None, ticker: s
     return out if seeds is None else seeds.unionByName(out.join(seeds.select("mint"), "mint", "left_anti"))
 
 
+def discovery_order(hits: DataFrame, seeds: DataFrame, mint: str = "mint", launch: str = "launch_ms") -> DataFrame:
+    """Discovered tokens in the order of work: seeds first, then the newest launches, then by id."""
+    known = seeds.select(mint).distinct().withColumn("is_seed", F.lit(True))
+    marked = hits.join(known, mint, "left").withColumn("is_seed", F.coalesce("is_seed", F.lit(False)))
+    return marked.orderBy(F.col("is_seed").desc(), F.col(launch).desc_nulls_last(), mint)
+
+
+def classified_tokens(bars: DataFrame, pairs: DataFrame, excluded: list[str], supply: float = 1e9, most_multiple: float = 10_000, most_mcap: float = 1e10, **thresholds) -> DataFrame:
+    """(mint, pair, liquidity, peak_multiple, current_mcap, outcome): tokens with their best pair, classed by their peak (B1).
+
+    Tokens without a plausible peak drop out; those without a pair have no liquidity.
+    """
+    peaks = peak_metrics(bars, "mint", supply)
+    sane = peaks.where(gates.passes_sanity(F.col("peak_multiple"), F.col("peak_mcap"), F.col("mint"), excluded, most_multiple, most_mcap))
+    out = sane.join(best_pair(pairs).select("mint", "pair", "liquidity"), "mint", "left")
+    kind = gates.outcome(F.col("peak_multiple"), F.col("liquidity"), F.col("current_mcap"), F.col("liquidity").isNull(), **thresholds)
+    return out.select("mint", "pair", "liquidity", "peak_multiple", "current_mcap", kind.alias("outcome"))
+
+
 def by_symbol_or_mint(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """left(mint, symbol) with right's value by mint, else by symbol: two equi joins in place of an OR."""
     by_mint = right.groupBy("mint").agg(F.max(value).alias("_m"))

@@ -119,6 +119,27 @@ def group_stats(rows: DataFrame, by: list[str], multiple: str, mcap: str, ran: f
     ).withColumn("ran_pct", F.col("ran") * 100.0 / F.col("n"))
 
 
+def reveal(rows: DataFrame, labels: list[str], ran: float = 5.0, fizzled: float = 2.0) -> DataFrame:
+    """(section, grp, metric, value) of a blind study once its answers are joined.
+
+    rows(peak_multiple, ath_mcap, viral, hours, media, <labels>): outcomes of all rows, groups with and without a viral origin,
+    and for viral rows that ran or fizzled the yes-rate of each label, the median lead in hours, and the kinds of media.
+    """
+    from ..functions.gates import peak_class
+
+    marked = rows.withColumn("outcome", peak_class(F.col("peak_multiple"), ran, fizzled))
+    line = lambda section, grp, metric, value: [F.lit(section).alias("section"), grp.alias("grp"), metric.alias("metric"), value.cast("double").alias("value")]
+    n = F.count(F.lit(1)).alias("n")
+    outcomes = marked.groupBy("outcome").agg(n).select(*line("outcomes", F.col("outcome"), F.lit("n"), F.col("n")))
+    groups = group_stats(marked.withColumn("grp", F.when(F.col("viral"), "viral").otherwise("other")), ["grp"], "peak_multiple", "ath_mcap", ran)
+    groups = groups.unpivot(["grp"], [F.col(c).cast("double").alias(c) for c in ("n", "median_peak", "median_mcap", "ran_pct")], "metric", "value").select(*line("groups", F.col("grp"), F.col("metric"), F.col("value")))
+    viral = marked.where("viral and outcome in ('ran', 'fizzled')")
+    rates = yes_rates(viral, labels, ["outcome"]).select(*line("labels", F.col("outcome"), F.col("label"), F.col("rate")))
+    hours = viral.groupBy("outcome").agg(F.median("hours").alias("m")).select(*line("timing", F.col("outcome"), F.lit("hours"), F.col("m")))
+    media = viral.groupBy("outcome", "media").agg(n).select(*line("media", F.col("outcome"), F.col("media"), F.col("n")))
+    return outcomes.union(groups).union(rates).union(hours).union(media)
+
+
 def outcome_windows(rows: DataFrame, age_days: str, winner: Column, loser: Column, windows: tuple[int, ...] = (30, 60, 90)) -> DataFrame:
     """(days, n, winners, losers) within each window, in one pass."""
     inside = lambda d: F.col(age_days) <= d

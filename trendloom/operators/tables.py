@@ -96,6 +96,12 @@ def overridden(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.drop(*shared).join(right, key)
 
 
+def embed_parent(rows: DataFrame, parents: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the row of parents that their key names as a struct, null if there is none (J15). Keys of parents are unique."""
+    one = parents.select(key, F.struct(*[c for c in parents.columns if c != key]).alias(name))
+    return rows.join(one, key, "left")
+
+
 def sort_order(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """rows with sort_order from 0 within each group."""
     return rows.withColumn("sort_order", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)

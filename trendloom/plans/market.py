@@ -67,7 +67,7 @@ SELECT g.mint, first_price, price_after, price_at_graduation, max_price, round(m
 
 @query(PEAK, "trades")
 def peak_multiples(spark, sf_dir):
-    """Peaks over the price at graduation, a hundred days after the first trade."""
+    """Peaks over the price at graduation, a hundred days after the first trade."""
     t = trades(spark, sf_dir)
     g = t.groupBy("mint").agg(F.min("ts").alias("first")).select("mint", (F.col("first") + F.expr("INTERVAL 100 DAYS")).alias("graduated_at"))
     legs = t.where("side = 'buy'").union(t.where("side <> 'buy'")).select("mint", F.col("ts").alias("at"), "id", "venue", "usd", "amount")

@@ -29,7 +29,7 @@ def coverage_three_way(spark, sf_dir):
 
 @query("WITH a AS (SELECT o_custkey, o_orderpriority, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL), b AS (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) SELECT o_orderkey, coalesce(a.v, b.v) AS v FROM orders o LEFT JOIN a ON o.o_custkey = a.o_custkey AND o.o_orderpriority = a.o_orderpriority LEFT JOIN b ON o.o_custkey = b.o_custkey")
 def fallback_join(spark, sf_dir):
-    """J7."""
+    """J7, S5 in bulk."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     v = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderstatus", F.col("o_totalprice").alias("v"))
     return tables.with_fallback(o, v.where("o_orderstatus = 'F'"), v.where("o_orderstatus = 'P'"), ["o_custkey", "o_orderpriority"], "o_custkey", "v").select("o_orderkey", "v")
@@ -84,7 +84,7 @@ def replace_groups(spark, sf_dir):
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 12 HOUR")
 def expire_rows(spark, sf_dir):
-    """S24, P3, T3."""
+    """S24, P3, T3, T17."""
     return tables.expire(table(spark, sf_dir, "events"), "ts", F.lit("2024-01-20 00:00:00").cast("timestamp"), 12).select("event_id")
 
 

@@ -110,7 +110,7 @@ def flat_view_diagnostic(spark, sf_dir):
 
 @query(", a AS (SELECT s.post_id, s.id, s.views, epoch_us(s.captured_at) AS us, epoch_us(p.t0) AS t0 FROM snaps s JOIN (SELECT post_id, min(captured_at) AS t0 FROM snaps GROUP BY post_id) p ON s.post_id = p.post_id WHERE epoch_us(s.captured_at) BETWEEN epoch_us(p.t0) AND epoch_us(p.t0) + 2880::BIGINT * 60000000), g AS (SELECT post_id, list({'us': us, 'id': id, 'v': views} ORDER BY us, id) AS s, count(*) AS n FROM a GROUP BY post_id) SELECT post_id, n AS n_snapshots, s[n].v AS views_at_t, round(CASE WHEN n < 2 THEN s[n].v / 2880 ELSE (s[n].v - s[1].v) / greatest(1, (s[n].us - s[1].us) / 60000000) END, 6) AS view_velocity_t, round(CASE WHEN n >= 3 THEN (s[n].v - s[n // 2 + 1].v) / greatest(1, (s[n].us - s[n // 2 + 1].us) / 60000000) - (s[n // 2 + 1].v - s[1].v) / greatest(1, (s[n // 2 + 1].us - s[1].us) / 60000000) END, 6) AS acceleration_t FROM g", "snaps")
 def early_window_features(spark, sf_dir):
-    """Features as of two days after each post's first snapshot."""
+    """Features as of two days after each post's first snapshot."""
     s = snapshots(spark, sf_dir)
     p = s.groupBy("post_id").agg(F.min("captured_at").alias("posted_at"))
     out = velocity.early_features(p, s, window_min=2880)

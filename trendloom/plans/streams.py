@@ -43,7 +43,7 @@ def stream_on_time(spark, sf_dir):
 
 @query("WITH k AS (SELECT user_id AS id, max(event_id) AS version, round(max(value), 2) AS views, max_by(event_type, event_id) <> 'error' AS eligible FROM events GROUP BY user_id) SELECT id, version, views FROM k WHERE eligible ORDER BY views DESC, id LIMIT 80")
 def stream_feed(spark, sf_dir):
-    """T12 as a stream: a merged, bounded feed."""
+    """T12, T1, S26 as a stream: a merged, bounded feed."""
     rows = _stream(spark, sf_dir).select(F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("value").alias("views"), (F.col("event_type") != "error").alias("eligible"))
     folder = pipelines.new_folder(spark, "feed")
     pipelines.replayed(rows, pipelines.feed_sink(folder), "feed")

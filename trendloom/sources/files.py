@@ -28,6 +28,27 @@ def write_csv(rows: DataFrame, path: str, meta: dict | None = None) -> None:
         rows.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}.meta")
 
 
+def read_meta(spark: SparkSession, path: str) -> dict:
+    """What write_csv wrote beside its rows; nothing where it wrote none."""
+    found = spark.read.text(f"{path}.meta").first()
+    return json.loads(found[0]) if found else {}
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Add rows to a Parquet folder, which need not exist."""
+    rows.write.mode("append").parquet(path)
+
+
+def write_state(state: DataFrame, path: str) -> None:
+    """A stage's state as JSON lines, in place of what was there."""
+    state.write.mode("overwrite").json(path)
+
+
+def read_state(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stage's state as it was written last."""
+    return spark.read.schema(schema).json(path)
+
+
 def canonical(rows: DataFrame, aliases: dict[str, list[str]], columns: list[str]) -> DataFrame:
     """rows with the given columns: each the first filled one of itself and its aliases, blanks as null."""
     def pick(c: str) -> Column:
