@@ -151,3 +151,13 @@ def test_match_confidence(one):
     bad = one(gates.match_confidence(post(f"$pnut {other}"), token))
     assert bad["wrong_address"] and bad["score"] <= 0.2
     assert one(gates.match_confidence(post("$pnut peanut squirrel", 20_000), token))["score"] <= 0.34
+
+
+def test_seed_and_hit_matches(one):
+    mint, short = "A" * 40, "A" * 20
+    pair = lambda q, m=short: one(text.pair_matches(F.lit("$wif"), F.lit("Dog Hat"), F.lit(m), F.lit(q)))
+    assert [pair(q) for q in ("WIF", " hat ", "aa", "a", "", None, "cat")] == [True, True, True, False, False, False, False]
+    assert pair("a", mint) and not pair("b", mint)
+    hit = lambda t, n="Dog Hat": one(text.hit_matches(F.lit("WIF"), F.lit(n), F.lit(t)))
+    assert [hit(t) for t in ("$wif", "dog", "dog ha", "", None)] == [True, False, True, False, False]
+    assert hit("dogs", None) is False

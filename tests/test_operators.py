@@ -222,3 +222,12 @@ def test_feeds(spark, one):
     assert (v["handle"], v["age"], v["views"]) == ("@a", "2h", "10")
     b = health.billed(spark.createDataFrame([(2, "requests"), (2, "posts")], "reads long, unit string"), price=1.0).collect()
     assert [(r["reads"], r["cost_usd"]) for r in b] == [(40, 40.0), (2, 2.0)]
+
+
+def test_discovery_order_and_embedded_parents(spark):
+    hits = spark.createDataFrame([("a", 1), ("b", 9), ("c", None), ("d", 5), ("e", 5)], "mint string, launch_ms long")
+    seeds = spark.createDataFrame([("c",), ("c",), ("z",)], "mint string")
+    assert [(r["mint"], r["is_seed"]) for r in market.discovery_order(hits, seeds).collect()] == [("c", True), ("b", False), ("d", False), ("e", False), ("a", False)]
+    assert market.discovery_order(hits, seeds.limit(0)).first()["mint"] == "b" and market.discovery_order(hits.limit(0), seeds).isEmpty()
+    got = tables.embed_parent(hits, spark.createDataFrame([("a", "A")], "mint string, name string"), "mint", "token")
+    assert {r["mint"]: r["token"] and r["token"]["name"] for r in got.collect()} == {"a": "A", "b": None, "c": None, "d": None, "e": None}

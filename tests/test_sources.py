@@ -56,3 +56,12 @@ def test_includes_and_sheet(spark):
     assert got == {"1": ("joe", "url"), "2": (None, None)}
     s = files.sheet(spark.sql("select 'a\nb  c' x, timestamp'2024-01-02 03:04:05' t, repeat('z', 9) y, cast(null as string) n"), ["x", "t", "y", "n"], 5).first()
     assert tuple(s) == ("a b c", "2024-01-02", "zzzz…", "")
+
+
+def test_state_and_log(spark, tmp_path):
+    files.write_state(spark.range(5), f"{tmp_path}/state")
+    files.write_state(spark.range(2), f"{tmp_path}/state")
+    assert sorted(r["id"] for r in files.read_state(spark, f"{tmp_path}/state", "id long").collect()) == [0, 1]
+    for _ in range(2):
+        files.append(spark.range(3), f"{tmp_path}/log")
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 6

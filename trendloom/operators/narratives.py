@@ -30,6 +30,11 @@ def author_counts(posts: DataFrame, now, group: str = GROUP) -> DataFrame:
     return per.groupBy(group).agg(F.count(F.lit(1)).alias("distinct_authors"), F.count_if(fresh).alias("new_authors"))
 
 
+def member_span(posts: DataFrame, group: str = GROUP) -> DataFrame:
+    """(group, oldest, newest): when each group's first and last post was written; posts without a time don't count."""
+    return posts.groupBy(group).agg(F.min("posted_at").alias("oldest"), F.max("posted_at").alias("newest"))
+
+
 def sound_authors(posts: DataFrame, now, window_min: int = 120) -> DataFrame:
     """(sound_id, creators, per_hour): creators that used a sound within the window."""
     recent = posts.where("platform = 'tt' and sound_id is not null").where(F.col("first_seen_at") >= now - F.expr(f"INTERVAL {window_min} MINUTES"))

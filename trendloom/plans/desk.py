@@ -54,6 +54,13 @@ def open_velocities(spark, sf_dir):
     return v.where("views > 0").select("narrative_id", F.round("views", 4).alias("views"), F.round("views_velocity", 4).alias("views_velocity"))
 
 
+@query("SELECT narrative_id, epoch_us(min(posted_at)) // 1000 AS oldest, epoch_us(max(posted_at)) // 1000 AS newest FROM posts GROUP BY narrative_id", "posts")
+def member_span(spark, sf_dir):
+    """W14."""
+    s = narratives.member_span(posts(spark, sf_dir))
+    return s.select("narrative_id", values.millis(F.col("oldest")).alias("oldest"), values.millis(F.col("newest")).alias("newest"))
+
+
 def _cycle(spark, sf_dir):
     s = snapshots(spark, sf_dir)
     seen = s.groupBy("post_id").agg(F.min("captured_at").alias("first_seen_at"), F.max("captured_at").alias("last_snapshot_at"))
