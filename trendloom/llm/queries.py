@@ -1,11 +1,11 @@
-"""The ten operators as queries over whole tables, with production parameters; their SQL where SQL can express them."""
+"""The operators as queries over whole tables, with production parameters; their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, packing, preference, quality, secrets, simhash, unigram, urlfilter, warc
+from . import bpe, embeddings, fim, licenses, negatives, packing, preference, quality, secrets, simhash, unigram, urlfilter, warc
 
 #: The rule set of op4: verdict, host and path.
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -81,12 +81,37 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50, among all vectors; every seventh id has another label."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(moved, lambda i: i % 50 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and rearranged, and rebuilt from that."""
+    rows = fim.fill_in_middle(table(spark, sf_dir, "documents"))
+    digest = lambda c, name: F.sha2(c.cast("binary"), 256).alias(name)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output"), "output_sha256"), digest(fim.restored(F.col("form"), F.col("output")), "restored_sha256"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases of every document, and the licenses that its wording repeats."""
+    rows = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
+    return rows.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min("places.at").cast("long").alias("first_word"), F.array_max("places.at").cast("long").alias("last_word"),
+        joined(F.col("places.label")).alias("base_labels"), joined(F.concat("places.label", "found.label")).alias("labels"), F.coalesce(F.array_max("found.share"), F.lit(0.0)).alias("score"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_warc_round_trip, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_embedding_near_dedup, op7_preference_format, op8_token_counts, op9_byte_bpe, op10_best_fit_packing)}
+    return {f.__name__: f for f in (
+        op1_simhash_near_dedup, op2_warc_round_trip, op3_quality_rules, op4_url_filter, op5_secret_scan, op6_embedding_near_dedup, op7_preference_format, op8_token_counts, op9_byte_bpe,
+        op10_best_fit_packing, op11_hard_negatives, op12_fill_in_middle, op13_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """op1, op3, op5, op8, op9 and op10 need hashes, models or tokenizers that SQL lacks: tests hold them against brute force."""
+    """op1, op3, op5, op8, op9, op10 and op13 need hashes, models or tokenizers that SQL lacks: tests hold them against brute force."""
     op2 = """
     WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
     f AS (SELECT b, min(page_id) AS first FROM p GROUP BY b)
@@ -126,4 +151,21 @@ def oracle_sql() -> dict[str, str]:
     c AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a)
     SELECT v.vec_id, (SELECT count(*) FROM e WHERE e.a = v.vec_id) AS n_links, (SELECT min(c.b) FROM c WHERE c.a = v.vec_id) AS component_id,
       v.vec_id = (SELECT min(c.b) FROM c WHERE c.a = v.vec_id) AS kept FROM v"""
-    return {"op2_warc_round_trip": op2, "op4_url_filter": op4, "op6_embedding_near_dedup": op6, "op7_preference_format": op7}
+    op11 = """
+    WITH s AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS x FROM embeddings),
+    v AS (SELECT DISTINCT vec_id, label, list_transform(x, lambda y: floor(256 * y)) AS e FROM s WHERE vec_id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+    p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS positive_id, list_dot_product(a.e, b.e)::BIGINT AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.e, b.e) DESC, b.vec_id) AS k
+      FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+    n AS (SELECT a.vec_id AS anchor_id, b.vec_id AS negative_id, list_dot_product(a.e, b.e)::BIGINT AS s FROM v a JOIN v b ON a.label <> b.label WHERE a.vec_id % 50 = 0),
+    r AS (SELECT p.anchor_id, p.positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.s DESC, n.negative_id)::INTEGER AS rank, n.negative_id, p.s AS positive_score, n.s AS negative_score
+      FROM p JOIN n ON p.anchor_id = n.anchor_id AND p.k <= 5 AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s)
+    SELECT * FROM r WHERE rank <= 3"""
+    op12 = r"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    u AS (SELECT *, len(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+    x AS (SELECT doc_id, text, n, form, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:], '') AS s FROM c)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM x"""
+    return {"op2_warc_round_trip": op2, "op4_url_filter": op4, "op6_embedding_near_dedup": op6, "op7_preference_format": op7, "op11_hard_negatives": op11, "op12_fill_in_middle": op12}
