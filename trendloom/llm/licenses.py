@@ -36,6 +36,8 @@ TEMPLATES = [
 ]
 #: Templates are a table of this many words at most, which every executor holds.
 MOST_WORDS = 1 << 20
+#: Shorter templates have to stand whole: in a notice of a few words each of them tells licenses apart.
+WHOLE_BELOW = 20
 
 
 def words_of(text: Column) -> Column:
@@ -68,10 +70,11 @@ def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
     return F.concat(*[places(p, label) for p, label in phrases.items()])
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]], k: int) -> DataFrame:
-    """(t, label, words, size) of the templates; those of fewer than k words can't be found and are refused."""
+def template_table(spark: SparkSession, templates: list[tuple[str, str]], k: int, share: float) -> DataFrame:
+    """(t, label, words, size, share) of the templates; those of fewer than k words can't be found and are refused."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "t int, label string, text string")
     rows = rows.select("t", "label", words_of(F.col("text")).alias("words")).withColumn("size", F.size("words"))
+    rows = rows.withColumn("share", F.when(F.col("size") < WHOLE_BELOW, 1.0).otherwise(share))
     least, total = rows.agg(F.min("size"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if templates and (least < k or total > MOST_WORDS):
         raise ValueError(f"templates of {k} words or more, and of {MOST_WORDS} words in all at most")
@@ -89,7 +92,7 @@ def diagonals(texts: DataFrame, templates: DataFrame, k: int) -> DataFrame:
     return part.groupBy("id", "key", "t", "d").agg(F.sum(F.bit_count("bits")).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
-def candidates(votes: DataFrame, templates: DataFrame, k: int, gap: int, share: float) -> DataFrame:
+def candidates(votes: DataFrame, templates: DataFrame, k: int, gap: int) -> DataFrame:
     """(id, key, spans): offsets that differ by `gap` and a quarter of the template at most are merged into spans.
 
     Each word that differs costs k votes at most and each change of offset k - 1, so that a span with fewer votes than the
@@ -98,24 +101,25 @@ def candidates(votes: DataFrame, templates: DataFrame, k: int, gap: int, share:
     line = Window.partitionBy("id", "key", "t").orderBy("d")
     near = F.col("d") - F.lag("d").over(line) <= F.least(F.lit(gap), F.floor(F.col("size") / 4))
     group = F.sum(F.when(near, 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    sized = votes.join(F.broadcast(templates.select("t", "size")), "t")  # MOST_WORDS / k rows at most
+    sized = votes.join(F.broadcast(templates.select("t", "size", "share")), "t")  # MOST_WORDS / k rows at most
     merged = sized.withColumn("g", group).groupBy("id", "key", "t", "g").agg(
-        F.first("size").alias("size"), F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + k).alias("stop"), F.sort_array(F.collect_list("d")).alias("offsets"))
-    least = F.col("size") - k + 1 - k * F.floor((1 - share) * F.col("size") + 1e-9)
+        F.first("size").alias("size"), F.first("share").alias("share"), F.sum("votes").alias("votes"), F.min("first").alias("start"), (F.max("last") + k).alias("stop"), F.sort_array(F.collect_list("d")).alias("offsets"))
+    least = F.col("size") - k + 1 - k * F.floor((1 - F.col("share")) * F.col("size") + 1e-9)
     fit = merged.where(F.col("votes") + (k - 1) * (F.size("offsets") - 1) >= least)
     return fit.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "t", "offsets"))).alias("spans"))
 
 
-def verified(words: Column, spans: Column, table: Column, share: float) -> Column:
-    """array<struct<start,stop,label,share>>: spans in which at least the share of a template's words stand at one of its offsets."""
+def verified(words: Column, spans: Column, table: Column) -> Column:
+    """array<struct<start,stop,label,share>>: spans in which at least its share of a template's words stand at one of its offsets."""
 
     def one(s: Column) -> Column:
         template = F.get(table, s["t"])
         same = lambda w, i: F.exists(s["offsets"], lambda d: F.coalesce(F.get(words, i + d) == w, F.lit(False)))
         found = F.size(F.filter(template["words"], same)) / F.size(template["words"])
-        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), template["label"].alias("label"), found.alias("share"))
+        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), template["label"].alias("label"), found.alias("share"), template["share"].alias("least"))
 
-    return F.filter(F.transform(spans, one), lambda s: s["share"] >= share)
+    good = F.filter(F.transform(spans, one), lambda s: s["share"] >= s["least"] - 1e-9)
+    return F.transform(good, lambda s: s.dropFields("least"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, k: int = 4, gap: int = 8, share: float = 0.8) -> DataFrame:
@@ -124,17 +128,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     places is array<struct<at,label>>, found array<struct<start,stop,label,share>> in words from 0, stop exclusive. All k-grams
     of all texts are joined to the templates' by hash; hits vote for the offset between the two places; offsets that differ by
     `gap` words or less (and by a quarter of the template or less), as insertions and deletions leave them, make one span; a span counts if at least `share` of the
-    template's words stand at one of its offsets. A null text is empty. Rows stay as often as they come; a null id is like any
+    template's words (all, below WHOLE_BELOW words) stand at one of its offsets. A null text is empty. Rows stay as often as they come; a null id is like any
     other. Other columns aren't read.
     """
     spark = docs.sparkSession
-    known = template_table(spark, templates, k)
+    known = template_table(spark, templates, k, share)
     rows = docs.select(docs[id_col].cast("long").alias("id"), text_column(docs, text_col).alias("text"))
     rows = rows.select("id", F.xxhash64("text", F.length("text")).alias("key"), words_of(F.col("text")).alias("words"))
-    spans = keep(candidates(diagonals(rows, known, k), known, k, gap, share), "license_spans")
+    spans = keep(candidates(diagonals(rows, known, k), known, k, gap), "license_spans")
     spans = spans.withColumnsRenamed({"id": "_id", "key": "_key"})
-    table = known.agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "label", "words"))), lambda x: F.struct(x["label"].alias("label"), x["words"].alias("words"))).alias("table"))
+    table = known.agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "label", "words", "share"))), lambda x: x.dropFields("t")).alias("table"))
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").crossJoin(F.broadcast(table))  # one row
     none = F.array().cast("array<struct<start:int,stop:int,label:string,share:double>>")
-    found = F.when(F.col("spans").isNotNull(), verified(F.col("words"), F.col("spans"), F.col("table"), share)).otherwise(none)
+    found = F.when(F.col("spans").isNotNull(), verified(F.col("words"), F.col("spans"), F.col("table"))).otherwise(none)
     return joined.select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), phrase_places(F.col("words"), phrases).alias("places"), found.alias("found"))
