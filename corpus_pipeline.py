@@ -23,14 +23,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, a Jaccard similarity of 0.8 or more.
 
     Rows are judged by their own text, also where they share a doc_id; the smallest (doc_id, digest of the text) of a group
-    stays, of rows equal in both the one of smallest hash. Documents without an id stay.
+    stays, of rows equal in both the one whose JSON has the smallest hash. Documents without an id stay.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text_column(docs, "text").cast("binary")).alias("key"), text_column(docs, "text").alias("text"), F.struct(*docs.columns).alias("row"))
     found = keep(neardup.repeats(keyed.select("doc_id", "key", "text")), "found")
     dropped = found.where("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("key").alias("dropped_key"))
     kept = keyed.drop("text").join(dropped.hint("merge"), (F.col("doc_id") == F.col("dropped_id")) & (F.col("key") == F.col("dropped_key")), "left_anti")
     if not found.where("kept and n > 1").isEmpty():
-        one = kept.where("doc_id is not null").groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        one = kept.where("doc_id is not null").groupBy("doc_id", "key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
         kept = one.select("row").union(kept.where("doc_id is null").select("row"))
     return kept.select("row.*")
 

@@ -46,7 +46,7 @@ def test_tiers(spark, n, want):
 
 def test_global_rank_over_many_ranges(spark):
     p = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 0.0).otherwise((F.col("id") * 7919 % 1000).cast("double")).alias("v"))
-    got = [(r["v"], r["id"], r["rank"]) for r in tiering.global_rank(p, "v", "id", parts=16, sample=500).collect()]
+    got = [(r["v"], r["id"], r["rank"]) for r in tiering.global_rank(p, "v", "id", per_range=500).collect()]
     want = sorted(((v, i) for v, i, _ in got), key=lambda x: (-x[0], x[1]))
     assert sorted(got, key=lambda x: x[2]) == [(v, i, k) for k, (v, i) in enumerate(want, 1)]
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import is_pickup, proposal_count
 
 
+#: Tickers that are ordinary words.
+COMMON_TICKERS = ("diary", "hood", "coin", "meme", "baby", "alpha", "sigma", "trend", "viral", "rocky", "paul")
+
+
 def has(platforms: Column, name: str) -> Column:
     return F.coalesce(F.array_contains(platforms, name), F.lit(False))
 
@@ -168,12 +175,18 @@ def score_band(score: Column, edges: list[float]) -> Column:
     return out
 
 
-def match_confidence(post: dict[str, Column], token: dict[str, Column], min_viral: int = 50_000) -> Column:
+def match_confidence(
+    post: dict[str, Column], token: dict[str, Column], min_viral: int = 50_000, synonyms: dict[str, list[str]] | None = None, stories: list[dict] | None = None, accounts: list[dict] | None = None, common: tuple[str, ...] = COMMON_TICKERS
+) -> Column:
     """struct(score in 0..1, reasons, wrong_address) of a post as the source of a token.
 
-    post: text, posted_ms, views, media, followers. token: ticker, name, mint, launch_ms. Every rule adds or takes points;
-    a foreign address caps the score at 0.2, few views without the token's own address at 0.34. Rules on particular
-    accounts and stories are left out: they name persons, not features.
+    post: text, posted_ms, views, media, followers and, for accounts, handle. token: ticker, name, mint, launch_ms. Every rule adds or takes points;
+    a foreign address caps the score at 0.2, few views without the token's own address at 0.34.
+
+    What names persons and events is the caller's to give: synonyms (a word of the name -> what a text may say for it); stories, each
+    {reason, points, name: words that the name has, text: words that the text has, any: one of which it has, followers: at least},
+    all but the first two optional; accounts, each {reason, points, handle, text: words that the text has}; common: tickers
+    that are ordinary words and count only with their sign.
     """
     from .text import mentions_own, mentions_wrong, name_words
 
@@ -181,7 +194,8 @@ def match_confidence(post: dict[str, Column], token: dict[str, Column], min_vira
     ticker, name = F.lower(F.regexp_replace(F.coalesce(token["ticker"], F.lit("")), r"^\$", "")), F.lower(F.coalesce(token["name"], F.lit("")))
     own, foreign = mentions_own(post["text"], token["mint"]), mentions_wrong(post["text"], token["mint"])
     late = (post["posted_ms"] - token["launch_ms"]) / 60_000
-    ticker_hit = (ticker != "") & text.contains(ticker)
+    signed = text.contains(F.concat(F.lit("$"), ticker))
+    ticker_hit = (ticker != "") & (signed | (~ticker.isin(*common) & text.contains(ticker)) if common else text.contains(ticker))
     wrong = F.coalesce(ticker_hit & foreign, F.lit(False))
     words = name_words(token["name"])
     rules = [
@@ -194,7 +208,20 @@ def match_confidence(post: dict[str, Column], token: dict[str, Column], min_vira
         (post["media"].isNotNull(), 0.05, "has media"), (F.coalesce(post["text"], F.lit("")).rlike("^RT @"), -0.35, "retweet"),
         (post["followers"] >= 500_000, 0.1, "major account"),
     ]
-    score, reasons = F.size(F.filter(words, lambda w: text.contains(w))) * 0.12, []
+    all_of = lambda given: [text.contains(w) for w in given]
+    for story in stories or []:
+        told = [F.array_contains(words, w) for w in story.get("name", ())] + all_of(story.get("text", ()))
+        if story.get("any"):
+            told.append(functools.reduce(operator.or_, all_of(story["any"])))
+        if story.get("followers"):
+            told.append(F.coalesce(post["followers"] >= story["followers"], F.lit(False)))
+        rules.append((functools.reduce(operator.and_, told, F.lit(True)), story["points"], story["reason"]))
+    for a in accounts or []:
+        by = F.lower(F.coalesce(post["handle"], F.lit(""))) == a["handle"]
+        rules.append((functools.reduce(operator.and_, all_of(a.get("text", ())), by), a["points"], a["reason"]))
+    said = lambda w: F.exists(F.coalesce(F.try_element_at(known, w), F.array(w)), lambda x: text.contains(x)) if synonyms else text.contains(w)
+    known = F.create_map(*[x for k, v in (synonyms or {}).items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if synonyms else None
+    score, reasons = F.size(F.filter(words, said)) * 0.12, []
     for rule, points, reason in rules:
         score = score + F.when(rule, points).otherwise(0.0)
         reasons.append(F.when(rule, reason))

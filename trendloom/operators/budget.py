@@ -69,6 +69,20 @@ def next_floor(base: Column, raw: Column, reads: Column, target: Column, any_zer
     ).cast("long")
 
 
+def next_floor_value(base: int, raw: int | None, reads: int | None, target: int | None, any_zero: bool | None, lane_min: int, floor_max: int = 100_000) -> int:
+    """next_floor of plain numbers, for keyed state; a test holds the two equal."""
+    import math
+
+    target, reads = max(1, target or 1), reads or 0
+    if not raw:
+        return max(lane_min, math.floor(base * 0.6))
+    if any_zero:
+        return base
+    if reads > target:
+        return min(floor_max, math.ceil(base * 1.2))
+    return max(lane_min, math.floor(base * 0.8)) if reads < target * 0.6 else base
+
+
 def decayed_floor(base: Column, lane_min: Column, spent_share: Column, hours_since: Column) -> Column:
     """10 % less each hour while under half of the budget is spent."""
     decays = (spent_share < 0.5) & F.coalesce(hours_since >= 1, F.lit(True))

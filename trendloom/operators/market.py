@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gates
+from ..session import kept
 
 #: Fixed value: the address of the wrapped native coin.
 SOL_MINT = "So11111111111111111111111111111111111111112"
@@ -32,31 +33,70 @@ def swap_trades(swaps: DataFrame, mint: str) -> DataFrame:
     return rows.where("ts > 0").withColumn("price", F.when((F.col("token_amount") > 0) & (F.col("usd") > 0), F.col("usd") / F.col("token_amount")))
 
 
-def wallet_pnl(trades: DataFrame, keys: list[str], order: list[str], side: str = "side", amount: str = "token_amount", usd: str = "usd") -> DataFrame:
-    """Average-cost profit of each wallet: a fold over its trades in order.
+FOLD = "struct<held:double,a:double,b:double,g:double,d:double>"
 
-    Buys raise inventory and cost. A sale takes the average cost of what the inventory covers; the part that it doesn't cover
-    is all profit, as is a sale without inventory. The order matters, so a key's trades are gathered as one array: keys are a
-    wallet within a token, never a token alone.
+
+def _trade_fold(trades: Column, held: Column) -> Column:
+    """What a run of trades does to a position that begins with `held`: cost becomes a * cost + b, profit grows by g * cost + d.
+
+    Held amounts don't depend on cost, so that cost and profit are linear in the cost that a run begins with.
     """
-    t = F.struct(*[F.col(c) for c in order], (F.col(side) == "buy").alias("buy"), F.col(amount).cast("double").alias("q"), F.col(usd).cast("double").alias("u"))
-    rows = trades.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(t)).alias("ts"), F.count_if(F.col(side) == "buy").alias("buys"), F.count_if(F.col(side) != "buy").alias("sells"),
-        F.coalesce(F.sum(F.when(F.col(side) == "buy", F.col(usd))), F.lit(0.0)).alias("buy_usd"), F.coalesce(F.sum(F.when(F.col(side) != "buy", F.col(usd))), F.lit(0.0)).alias("sell_usd"))
-    zero = F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("pnl"))
+    start = F.struct(held.alias("held"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("g"), F.lit(0.0).alias("d")).cast(FOLD)
 
     def step(acc: Column, x: Column) -> Column:
         covered = F.least(x["q"], acc["held"])
-        cost = F.when(acc["held"] > 0, acc["cost"] / acc["held"] * covered).otherwise(0.0)
-        gain = F.when(x["q"] > 0, x["u"] - cost).otherwise(0.0)
-        sold = F.when(x["q"] > 0, covered).otherwise(0.0)
+        taken = lambda c: F.when((acc["held"] > 0) & (x["q"] > 0), acc[c] / acc["held"] * covered).otherwise(0.0)
         return F.struct(
-            F.when(x["buy"], acc["held"] + x["q"]).otherwise(acc["held"] - sold).alias("held"),
-            F.when(x["buy"], acc["cost"] + x["u"]).otherwise(acc["cost"] - F.when(x["q"] > 0, cost).otherwise(0.0)).alias("cost"),
-            F.when(x["buy"], acc["pnl"]).otherwise(acc["pnl"] + gain).alias("pnl"))
+            F.when(x["buy"], acc["held"] + x["q"]).otherwise(acc["held"] - F.when(x["q"] > 0, covered).otherwise(0.0)).alias("held"),
+            F.when(x["buy"], acc["a"]).otherwise(acc["a"] - taken("a")).alias("a"),
+            F.when(x["buy"], acc["b"] + x["u"]).otherwise(acc["b"] - taken("b")).alias("b"),
+            F.when(x["buy"], acc["g"]).otherwise(acc["g"] - taken("a")).alias("g"),
+            F.when(x["buy"], acc["d"]).otherwise(acc["d"] + F.when(x["q"] > 0, x["u"] - taken("b")).otherwise(0.0)).alias("d"))
+
+    return F.aggregate(trades, start, step)
+
 
-    folded = rows.withColumn("f", F.aggregate("ts", zero, step))
-    return folded.select(*keys, "buys", "sells", "buy_usd", "sell_usd", F.col("f.pnl").alias("realized"), F.col("f.held").alias("held"), F.col("f.cost").alias("cost"))
+def wallet_pnl(trades: DataFrame, keys: list[str], order: list[str], side: str = "side", amount: str = "token_amount", usd: str = "usd", most: int = 100_000) -> DataFrame:
+    """Average-cost profit of each wallet: a fold over its trades in order.
+
+    Buys raise inventory and cost. A sale takes the average cost of what the inventory covers; the part that it doesn't cover
+    is all profit, as is a sale without inventory. Missing amounts and values count as zero.
+
+    The order matters, but no key is gathered whole: all trades are sorted by key and order into ranges of about `most` rows,
+    whose boundaries cut a busy key. What a range does to a position is told by a few numbers: the inventory it ends with, by
+    its sum and its lowest running sum, and then, with the inventory it begins with known, two linear rules for cost and
+    profit. Ranges of a key are put together in order. A range continues one key at most, so what it begins with is a
+    table of a row a range at most, which is broadcast.
+    """
+    t = F.struct(*order, (F.col(side) == "buy").alias("buy"), F.coalesce(F.col(amount).cast("double"), F.lit(0.0)).alias("q"), F.coalesce(F.col(usd).cast("double"), F.lit(0.0)).alias("u"))
+    rows = trades.select(*keys, t.alias("_t"), F.coalesce(F.col(side) == "buy", F.lit(False)).alias("_buy"), F.col(usd).alias("_usd"))
+    spark = trades.sparkSession
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), trades.count() // most + 1)
+    dealt = rows.repartitionByRange(ranges, *keys, "_t").withColumn("_part", F.spark_partition_id())
+    runs = kept(dealt.groupBy(*keys, "_part").agg(
+        F.sort_array(F.collect_list("_t")).alias("_ts"), F.count_if("_buy").alias("_buys"), F.count_if(~F.col("_buy")).alias("_sells"),
+        F.sum(F.when(F.col("_buy"), F.col("_usd"))).alias("_bought"), F.sum(F.when(~F.col("_buy"), F.col("_usd"))).alias("_sold")), "trade_runs")
+
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("low"))
+    moved = lambda acc, x: acc["sum"] + F.when(x["buy"], x["q"]).otherwise(-F.greatest(x["q"], F.lit(0.0)))
+    walk = F.aggregate("r._ts", zero, lambda acc, x: F.struct(moved(acc, x).alias("sum"), F.least(acc["low"], moved(acc, x)).alias("low")))
+    many = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    cut = runs.alias("r").join(many.alias("m"), [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys])
+    cut = cut.select(*[F.col(f"r.{k}").alias(k) for k in keys], "r._part", walk.alias("_w"))
+    cut = kept(cut.select(*keys, "_part", F.col("_w.sum").alias("_sum"), F.col("_w.low").alias("_low")), "cut_runs")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # Inventory is the sum so far less the lowest sum so far, as it never falls below nothing.
+    level = cut.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    begun = level.withColumn("_held", F.col("_base") - F.least(F.lit(0.0), F.coalesce(F.min(F.col("_base") + F.col("_low")).over(before), F.lit(0.0))))
+    begun = begun.where("_held > 0").select("_part", "_held", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = [F.col("r._part") == F.col("b._part"), *[F.col(f"r.{k}").eqNullSafe(F.col(f"b._k{i}")) for i, k in enumerate(keys)]]
+    folded = runs.alias("r").join(F.broadcast(begun.alias("b")), same, "left")  # a row a range at most
+    folded = folded.select("r.*", _trade_fold(F.col("r._ts"), F.coalesce("b._held", F.lit(0.0))).alias("_f"))
+    parts = folded.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_part", "_f"))).alias("_fs"), F.sum("_buys").alias("buys"), F.sum("_sells").alias("sells"), F.coalesce(F.sum("_bought"), F.lit(0.0)).alias("buy_usd"), F.coalesce(F.sum("_sold"), F.lit(0.0)).alias("sell_usd"))
+    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("pnl"))
+    total = F.aggregate("_fs", start, lambda acc, x: F.struct((x["_f"]["a"] * acc["cost"] + x["_f"]["b"]).alias("cost"), (acc["pnl"] + x["_f"]["g"] * acc["cost"] + x["_f"]["d"]).alias("pnl")))
+    return parts.select(*keys, "buys", "sells", "buy_usd", "sell_usd", total["pnl"].alias("realized"), F.element_at("_fs", -1)["_f"]["held"].alias("held"), total["cost"].alias("cost"))
 
 
 def top_traders(trades: DataFrame, token: str, wallet: str, ts: str, tie: str, price: str, period: str = "INTERVAL 24 HOURS", k: int = 10, accumulators: int = 5) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Edges of score bands, cumulative thresholds, and candidates for the elbow in order of preference.
 BANDS = [0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.01]
 THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85]
 CANDIDATES = [0.7, 0.65, 0.75, 0.6, 0.8]

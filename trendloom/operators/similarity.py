@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import kept
 
 KEYWORD, COSINE = 0.28, 0.42
 
@@ -60,10 +61,50 @@ def tf_vectors(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "token", (F.col("tf") / norm).alias("weight"))
 
 
-def cosine_pairs(a: DataFrame, a_key: str, b: DataFrame, b_key: str, threshold: float = COSINE) -> DataFrame:
-    """(a_key, b_key, cosine) of at least the threshold: an equi join on tokens, products summed."""
-    joined = a.select(a_key, "token", F.col("weight").alias("wa")).join(b.select(b_key, "token", F.col("weight").alias("wb")), "token")
-    return joined.groupBy(a_key, b_key).agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.col("cosine") >= threshold)
+def cosine_candidates(a: DataFrame, a_key: str, b: DataFrame, b_key: str, threshold: float = COSINE, tile: int = 4096) -> DataFrame:
+    """(a_key, b_key): pairs whose cosine may reach the threshold, all such pairs among them.
+
+    Tokens are ordered from rare to common. Of each vector only the first tokens take part, up to where the rest, by its own
+    length and by the other side's largest weights, can't reach the threshold by itself: two vectors that share none of them
+    are too far apart. What the shared ones add up to, with the two rests, then has to reach the threshold. A token of many
+    vectors is joined in tiles of about `tile` rows of either side.
+    """
+    least = threshold - 1e-9
+    tops = lambda v, n: v.groupBy("token").agg(F.max("weight").alias(n), F.count(F.lit(1)).alias(f"{n}_n"))
+    common = tops(a, "ma").join(tops(b, "mb"), "token")
+    common = common.select("token", "ma", "mb", (F.col("ma_n") + F.col("mb_n")).alias("df"))
+
+    def prefix(v, key, other):
+        w = Window.partitionBy(key).orderBy(F.col("df").desc(), F.col("token").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        rest = F.least(F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w)), F.sum(F.col("weight") * F.col(other)).over(w))
+        r = v.select(key, "token", "weight").join(common, "token").withColumn("rest", rest)
+        return r.withColumn("left", F.coalesce(F.max(F.when(F.col("rest") < least, F.col("rest"))).over(Window.partitionBy(key)), F.lit(0.0))).where(F.col("rest") >= least)
+
+    pa = prefix(a, a_key, "mb").select(a_key, "token", F.col("weight").alias("wa"), F.col("left").alias("ra"))
+    pb = prefix(b, b_key, "ma").select(b_key, "token", F.col("weight").alias("wb"), F.col("left").alias("rb"))
+    tiles = lambda p, n: p.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(n))
+    hot = tiles(pa, "ga").join(tiles(pb, "gb"), "token").where("ga > 1 or gb > 1")
+
+    def dealt(p, key, own, other):
+        r = p.join(hot, "token", "left").withColumn(f"t{own}", F.pmod(F.xxhash64(key), F.coalesce(f"g{own}", F.lit(1))).cast("int"))
+        return r.withColumn(f"t{other}", F.explode(F.sequence(F.lit(0), F.coalesce(f"g{other}", F.lit(1)) - 1))).drop("ga", "gb")
+
+    met = dealt(pa, a_key, "a", "b").join(dealt(pb, b_key, "b", "a"), ["token", "ta", "tb"])
+    near = met.groupBy(a_key, b_key).agg((F.sum(F.col("wa") * F.col("wb")) + F.max("ra") + F.max("rb")).alias("most"))
+    return near.where(F.col("most") >= least).select(a_key, b_key)
+
+
+def cosine_pairs(a: DataFrame, a_key: str, b: DataFrame, b_key: str, threshold: float = COSINE, only=None) -> DataFrame:
+    """(a_key, b_key, cosine) of at least the threshold, for vectors of length one in long form.
+
+    Candidates are verified on their whole vectors. only: a condition on the two keys that pairs have to meet.
+    """
+    found = cosine_candidates(a, a_key, b, b_key, threshold)
+    found = found if only is None else found.where(only)
+    whole = lambda v, key, name: v.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias(name))
+    both = found.join(whole(a, a_key, "va"), a_key).join(whole(b, b_key, "vb"), b_key)
+    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, x: acc + x["value"] * F.coalesce(F.try_element_at("vb", x["key"]), F.lit(0.0)))
+    return both.select(a_key, b_key, dot.alias("cosine")).where(F.col("cosine") >= threshold)
 
 
 def centroids(vectors: DataFrame, members: DataFrame, key: str, group: str) -> DataFrame:
@@ -100,72 +141,149 @@ def match_narratives(posts: DataFrame, members: DataFrame, keyword: float = KEYW
     return best.select("post_id", "narrative_id", "reason", "score")
 
 
-def form_narratives(posts: DataFrame, pairs: DataFrame, rounds: int = 20) -> DataFrame:
+def form_narratives(posts: DataFrame, pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(post_id, narrative_id): connected groups of unmatched posts; a group's id is its smallest post_id (C1, batch mode).
 
-    pairs(a, b) link posts. Labels spread by joins and pointer jumping until nothing changes; each round's table is
-    checkpointed where spark.checkpoint.dir is set, which cuts its lineage.
+    pairs(a, b) link posts; ids are one orderable type. Rounds of hanging each post's greater neighbours, then each post itself, under its least one end
+    in stars; a path of n posts takes about log(n) rounds, and a post with many links is summed up before it is shuffled. Each
+    round is a table in the shared folder, so that neither lineage nor cached blocks pile up.
     """
-    links = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    labels = posts.select("post_id", F.col("post_id").alias("narrative_id"))
-    context = posts.sparkSession.sparkContext
+    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0))).first())
+
+    def hung(links, name):
+        """Every node's given neighbours, and the node, under the least of them all."""
+        least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        return kept(links.join(kept(least, f"{name}_least"), "u"), name)
+
+    now = kept(pairs.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi > lo").distinct(), "links")
+    seen = None
     for _ in range(rounds):
-        near = links.join(labels, links.b == labels.post_id).groupBy("a").agg(F.min("narrative_id").alias("m"))
-        low = labels.join(near, labels.post_id == near.a, "left").select("post_id", F.least("narrative_id", F.coalesce("m", "narrative_id")).alias("narrative_id"))
-        jump = low.select(F.col("post_id").alias("root"), F.col("narrative_id").alias("up"))
-        new = low.join(jump, low.narrative_id == jump.root).select("post_id", F.col("up").alias("narrative_id"))
-        new = new.checkpoint() if context.getCheckpointDir() else new.persist()
-        changed = new.alias("n").join(labels.alias("o"), "post_id").where("n.narrative_id <> o.narrative_id").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
-    raise RuntimeError(f"groups did not settle in {rounds} rounds")
-
-
-def greedy_cluster(posts: DataFrame, shard: str, keyword: float = KEYWORD, cosine: float = COSINE) -> DataFrame:
+        was, seen = seen, state(now)
+        if was == seen:
+            break
+        large = hung(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select("lo", "hi")), "large").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = hung(kept(large, "stars"), "small")
+        now = kept(small.select(F.col("u").alias("hi"), F.col("m").alias("lo")).union(small.select("v", "m")).where("hi > lo").distinct(), "links")
+    else:
+        raise RuntimeError(f"groups did not settle in {rounds} rounds")
+    ids = posts.select("post_id").join(now, posts.post_id == now.hi, "left")
+    return ids.select("post_id", F.coalesce("lo", "post_id").alias("narrative_id"))
+
+
+class OpenNarratives:
+    """The open narratives of one shard while a cycle assigns its posts (C1, faithful mode).
+
+    A shared cashtag comes first, with the first such narrative; then the first narrative of which a member's keywords overlap
+    enough; then the best cosine with the centroid; the latter two never with the author's own narratives. The centroid of a
+    narrative from before is that of its members now, one that the cycle opened keeps its first post's. Words and tags lead
+    to narratives by index, so that a post meets those it shares a word with, not all of them.
+    """
+
+    def __init__(self, keyword: float, cosine: float):
+        self.keyword, self.cosine = keyword, cosine
+        self.ids, self.handles, self.fixed, self.squares = [], [], [], []
+        self.first_with, self.with_word, self.weights = {}, {}, {}
+        self.narrative_of, self.size_of = [], []
+
+    @staticmethod
+    def vector(words: list[str]) -> dict[str, float]:
+        counts = {}
+        for w in words:
+            counts[w] = counts.get(w, 0) + 1
+        norm = sum(n * n for n in counts.values()) ** 0.5 or 1.0
+        return {w: n / norm for w, n in counts.items()}
+
+    def open(self, id_, fixed: bool) -> int:
+        self.ids.append(id_)
+        self.handles.append(set())
+        self.fixed.append(fixed)
+        self.squares.append(0.0)
+        return len(self.ids) - 1
+
+    def add(self, n: int, handle: str, tags: list[str], words: list[str]) -> None:
+        for tag in tags:
+            self.first_with[tag] = min(n, self.first_with.get(tag, n))
+        if handle:
+            self.handles[n].add(handle)
+        vec, member = self.vector(words), len(self.narrative_of)
+        self.narrative_of.append(n)
+        self.size_of.append(len(vec))
+        moves = not self.fixed[n] or not self.squares[n]
+        for w, v in vec.items():
+            self.with_word.setdefault(w, []).append(member)
+            if moves:
+                at = self.weights.setdefault(w, {})
+                old = at.get(n, 0.0)
+                at[n] = old + v
+                self.squares[n] += at[n] ** 2 - old**2
+
+    def match(self, handle: str, tags: list[str], words: list[str]) -> tuple[int, str, float] | None:
+        hits = [self.first_with[t] for t in tags if t in self.first_with]
+        if hits:
+            return min(hits), "cashtag", 1.0
+        vec, shared, dots = self.vector(words), {}, {}
+        for w, v in vec.items():
+            for m in self.with_word.get(w, ()):
+                shared[m] = shared.get(m, 0) + 1
+            for n, x in self.weights.get(w, {}).items():
+                dots[n] = dots.get(n, 0.0) + v * x
+        own = {n for n in {*dots, *(self.narrative_of[m] for m in shared)} if handle and handle in self.handles[n]}
+        best = {}
+        for m, k in shared.items():
+            n, overlap = self.narrative_of[m], k / (len(vec) + self.size_of[m] - k)
+            if overlap >= self.keyword and n not in own:
+                best[n] = max(overlap, best.get(n, 0.0))
+        if best:
+            return min(best), "keyword", best[min(best)]
+        near = [(x / self.squares[n] ** 0.5, -n) for n, x in dots.items() if n not in own and self.squares[n] > 0]
+        top = max(near, default=(0.0, 0))
+        return (-top[1], "embedding", top[0]) if top[0] >= self.cosine and top[0] > 0 else None
+
+
+def clean_handle(handle) -> str:
+    return (handle or "").lstrip("@").lower()
+
+
+def assign_cycle(posts: list[dict], earlier: dict, keyword: float, cosine: float) -> list[tuple]:
+    """(post_id, narrative_id, reason, score) of a cycle's posts, by score, then post_id.
+
+    earlier: narrative_id -> members (handle, tags, words) of the open narratives from before, to which members are added;
+    they are matched in order of their ids, then those of the cycle as they open, each named by its first post.
+    """
+    now = OpenNarratives(keyword, cosine)
+    for id_ in sorted(earlier):
+        n = now.open(id_, False)
+        for handle, tags, words in earlier[id_]:
+            now.add(n, handle, tags, words)
+    out = []
+    for p in sorted(posts, key=lambda p: (-p["score"], p["post_id"])):
+        member = clean_handle(p["handle"]), list(p["tags"]), list(p["words"])
+        n, reason, score = now.match(*member) or (now.open(p["post_id"], True), "new", 0.0)
+        now.add(n, *member)
+        earlier.setdefault(now.ids[n], []).append(member)
+        out.append((p["post_id"], now.ids[n], reason, score))
+    return out
+
+
+def greedy_cluster(posts: DataFrame, shard: str, keyword: float = KEYWORD, cosine: float = COSINE, members: DataFrame | None = None) -> DataFrame:
     """(shard, post_id, narrative_id, reason, score): the order-dependent assignment, one shard a task (C1, faithful mode).
 
     posts(post_id, handle, score, tags, words) and the shard column: a platform and hour, so that a shard's size is bounded by what one
-    hour brings. Posts go in order of score, then post_id: a shared cashtag with the first such narrative; else the first of
-    enough keyword overlap; else the best cosine with the narrative's first post; the latter two never with the own author.
-    A post without a match opens a narrative named by its post_id.
+    hour brings. members(shard, narrative_id, post_id, handle, tags, words) are those of narratives open from before. Posts go
+    in order of score, then post_id, as OpenNarratives says; a post without a match opens a narrative named by its post_id.
     """
 
     def run(pdf):
-        import math
-        from collections import Counter
-
         import pandas as pd
 
-        open_, out = [], []
-        for r in pdf.sort_values(["score", "post_id"], ascending=[False, True]).itertuples():
-            tags, words = set(r.tags), Counter(r.words)
-            norm = math.sqrt(sum(n * n for n in words.values())) or 1.0
-            vec, handle, hit = {w: n / norm for w, n in words.items()}, (r.handle or "").lstrip("@").lower(), None
-            for n in open_:
-                if tags & n["tags"]:
-                    hit = n, "cashtag", 1.0
-                    break
-            others = [n for n in open_ if not handle or handle not in n["handles"]] if hit is None else []
-            for n in others:
-                best = max((len(words.keys() & m) / len(words.keys() | m) for m in n["words"] if m and words), default=0.0)
-                if best >= keyword:
-                    hit = n, "keyword", best
-                    break
-            if hit is None:
-                scored = [(sum(v * n["vec"].get(w, 0.0) for w, v in vec.items()), -i, n) for i, n in enumerate(others)]
-                top = max(scored, key=lambda x: x[:2], default=None)
-                if top and top[0] >= cosine:
-                    hit = top[2], "embedding", top[0]
-            if hit is None:
-                hit = {"id": r.post_id, "tags": set(), "handles": set(), "words": [], "vec": vec}, "new", 0.0
-                open_.append(hit[0])
-            n = hit[0]
-            n["tags"] |= tags
-            n["handles"] |= {handle} - {""}
-            n["words"].append(set(words))
-            out.append((getattr(r, shard), r.post_id, n["id"], hit[1], hit[2]))
-        return pd.DataFrame(out, columns=[shard, "post_id", "narrative_id", "reason", "score"])
+        earlier = {}
+        for r in pdf[pdf["narrative_id"].notna()].sort_values(["narrative_id", "post_id"]).itertuples():
+            earlier.setdefault(int(r.narrative_id), []).append((clean_handle(r.handle), list(r.tags), list(r.words)))
+        found = assign_cycle(pdf[pdf["narrative_id"].isna()].to_dict("records"), earlier, keyword, cosine)
+        return pd.DataFrame([(pdf[shard].iloc[0], *row) for row in found], columns=[shard, "post_id", "narrative_id", "reason", "score"])
 
     kind = dict(posts.dtypes)[shard]
-    return posts.select(shard, "post_id", "handle", "score", "tags", "words").groupBy(shard).applyInPandas(run, f"{shard} {kind}, post_id long, narrative_id long, reason string, score double")
+    rows = posts.select(shard, "post_id", "handle", "score", "tags", "words", F.lit(None).cast("long").alias("narrative_id"))
+    if members is not None:
+        rows = rows.unionByName(members.select(shard, "post_id", "handle", F.lit(0.0).alias("score"), "tags", "words", F.col("narrative_id").cast("long").alias("narrative_id")))
+    return rows.groupBy(shard).applyInPandas(run, f"{shard} {kind}, post_id long, narrative_id long, reason string, score double")

@@ -27,6 +27,14 @@ def replace_groups(target: DataFrame, fresh: DataFrame, group: str) -> DataFrame
     return target.join(fresh.select(group).distinct(), group, "left_anti").unionByName(fresh)
 
 
+def write_groups(fresh: DataFrame, path: str, group: str) -> None:
+    """Write groups into a table partitioned by them: each one in fresh replaces its old rows, no other is touched.
+
+    Written again, the same rows change nothing. Groups are folders, so they are to be few and large: days, platforms, segments.
+    """
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(group).parquet(path)
+
+
 def expire(rows: DataFrame, ts: str, now: Column, hours: int) -> DataFrame:
     """Rows younger than their time to live."""
     return rows.where(F.col(ts).cast("timestamp") >= now - F.expr(f"INTERVAL {hours} HOURS"))
@@ -113,10 +121,12 @@ def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFr
 
 
 def round_robin(items: DataFrame, key: str, cycle: int, size: int) -> DataFrame:
-    """The batch of `size` items that is due in a cycle, wrapping around (K18). items is a configured list, numbered in order of key."""
+    """The batch of `size` items that is due in a cycle, wrapping around (K18). Items are numbered in order of key, range by range."""
+    from .tiering import global_rank
+
     n = items.agg(F.count(F.lit(1)).alias("n"))
-    numbered = items.withColumn("i", F.row_number().over(Window.orderBy(key)) - 1).crossJoin(F.broadcast(n))  # a list of terms and one row
-    return numbered.where(F.pmod(F.col("i") - F.lit(cycle * size), F.col("n")) < size).drop("i", "n")
+    numbered = global_rank(items.withColumn("_zero", F.lit(0.0)), "_zero", key, "i").crossJoin(F.broadcast(n))  # one row
+    return numbered.where(F.pmod(F.col("i") - 1 - F.lit(cycle * size), F.col("n")) < size).drop("i", "n", "_zero")
 
 
 def repaired(rows: DataFrame, ts_ms: str, now_ms: Column) -> DataFrame:

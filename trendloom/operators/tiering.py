@@ -6,28 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import micros
+from ..session import kept
 
 
-def global_rank(rows: DataFrame, value: str, key: str, name: str = "rank", parts: int = 64, sample: int = 10_000) -> DataFrame:
+def global_rank(rows: DataFrame, value: str, key: str, name: str = "rank", per_range: int = 100_000) -> DataFrame:
     """Rank from 1 over all rows by value descending, then key ascending, without bringing them to one task.
 
-    Bounds that cut the order into ranges come from about `sample` rows, chosen by hash row by row, also where keys repeat, of
-    which the driver gets these two columns. Every row is ranked within its range and lifted by the rows of the ranges before, whose counts alone
-    meet in one task. The bounds balance the work; the ranks don't depend on them. Keys are numbers.
+    The rows are sorted into ranges by Spark's own sample, of about per_range rows each, as many as the table needs; the
+    table is kept with the range's number. Every row is ranked within its range and lifted by the rows of the ranges before,
+    of which the counts alone, one a range, meet in one task. The bounds balance the work; the ranks don't depend on
+    them. Null values come last. Rows equal in value and key are ranked in any order.
     """
-    order = F.struct((-F.col(value)).alias("v"), F.col(key).alias("k"))
-    share = F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.greatest(F.lit(1), F.floor(F.col("n") / sample)))
-    picked = rows.select(value, key).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n")))).where(share == 0)  # one row
-    seen = sorted((-r[0], r[1]) for r in picked.select(value, key).collect())
-    bounds = sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if len(seen) > parts else []
-    table = F.array(*[F.struct(F.lit(float(v)).alias("v"), F.lit(k).alias("k")) for v, k in bounds])
-    part = F.size(F.filter(table, lambda b: b <= order)) if bounds else F.lit(0)
-    spread = rows.withColumn("_part", part)
-    spread = spread.withColumn("_within", F.row_number().over(Window.partitionBy("_part").orderBy(F.col(value).desc(), key)))
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("size"))
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // per_range + 1)
+    order = [F.col(value).desc_nulls_last(), F.col(key)]
+    spread = kept(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    within = spread.withColumn("_within", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("size"))
     below = F.sum("size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     lifts = sizes.select("_part", F.coalesce(below, F.lit(0)).alias("_below"))
-    return spread.join(F.broadcast(lifts), "_part").withColumn(name, (F.col("_within") + F.col("_below")).cast("long")).drop("_part", "_within", "_below")
+    return within.join(F.broadcast(lifts), "_part").withColumn(name, (F.col("_within") + F.col("_below")).cast("long")).drop("_part", "_within", "_below")
 
 
 def assign_tiers(posts: DataFrame, velocity: str = "views_velocity", key: str = "post_id", hot: float = 0.2, warm: float = 0.6) -> DataFrame:

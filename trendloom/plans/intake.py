@@ -221,12 +221,12 @@ def unlabelled_tokens(spark, sf_dir):
     return tables.without_known(table(spark, sf_dir, "part").select("p_partkey"), done, "p_partkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, p_name AS name, p_size AS size FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size > 10")
+@query("SELECT l_orderkey, l_linenumber, s_name AS name, round(s_acctbal, 2) AS balance FROM lineitem LEFT JOIN supplier ON l_partkey = s_suppkey")
 def candidate_tokens(spark, sf_dir):
-    """Each candidate with its token, where there is one."""
-    tokens = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("mint"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))
+    """Each candidate with its token, where there is one: part numbers read as suppliers', of which there are fewer."""
+    tokens = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("mint"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("mint"))
-    return tables.embed_parent(rows, tokens, "mint", "token").select("l_orderkey", "l_linenumber", "token.name", "token.size")
+    return tables.embed_parent(rows, tokens, "mint", "token").select("l_orderkey", "l_linenumber", "token.name", F.round("token.balance", 2).alias("balance"))
 
 
 @query("SELECT p_partkey, round(CASE WHEN p_size % 4 = 0 THEN 0 WHEN split_part(p_name, ' ', 2) = 'ring' THEN 1 ELSE 1 / 3 END, 6) AS overlap FROM part")
@@ -268,13 +268,13 @@ def hashtag_batch(spark, sf_dir):
 
 @query(
     BARS + ", k AS (SELECT mint, max_by(c, t) AS current_mcap, greatest(min_by(o, t), max(h)) / min_by(o, t) AS m, greatest(min_by(o, t), max(h)) AS peak FROM b GROUP BY mint), "
-    f"q AS (SELECT l_partkey AS mint, {ROW} AS pair, l_extendedprice AS liquidity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_linestatus = 'O' DESC, l_quantity DESC, l_extendedprice DESC, {ROW}) AS r FROM lineitem WHERE l_discount > 0.02) "
+    f"q AS (SELECT l_suppkey AS mint, {ROW} AS pair, l_extendedprice AS liquidity, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linestatus = 'O' DESC, l_quantity DESC, l_extendedprice DESC, {ROW}) AS r FROM lineitem) "
     "SELECT k.mint, pair, liquidity, round(m, 6) AS peak_multiple, CASE WHEN m >= 1.5 AND coalesce(liquidity >= 60000, false) AND NOT (m < 1.2 OR liquidity IS NULL) THEN 'winner' WHEN (m < 1.2 OR liquidity IS NULL) AND NOT (m >= 1.5 AND coalesce(liquidity >= 60000, false)) THEN 'loser' ELSE 'ignored' END AS outcome FROM k LEFT JOIN q ON k.mint = q.mint AND q.r = 1 WHERE m <= 3 AND peak <= 2500 AND k.mint <> 7", "trades")
 def classified_tokens(spark, sf_dir):
-    """B1 over monthly candles: peaks, best pair, plausibility and outcome; the market value is that of one unit."""
+    """B1 over monthly candles: peaks, best pair (that of the supplier of the same number, if there is one), plausibility and outcome; the market value is that of one unit."""
     order = F.struct("ts", "id")
     bars = trades(spark, sf_dir).groupBy("mint", F.date_trunc("month", "ts").alias("t")).agg(F.min_by("price", order).alias("o"), F.max("price").alias("h"), F.max_by("price", order).alias("c"))
-    pairs = _lines(spark, sf_dir).where("l_discount > 0.02").select(F.col("l_partkey").alias("mint"), F.col("id").alias("pair"), (F.col("l_linestatus") == "O").alias("sol_quote"), F.col("l_quantity").alias("volume"), F.col("l_extendedprice").alias("liquidity"))
+    pairs = _lines(spark, sf_dir).select(F.col("l_suppkey").alias("mint"), F.col("id").alias("pair"), (F.col("l_linestatus") == "O").alias("sol_quote"), F.col("l_quantity").alias("volume"), F.col("l_extendedprice").alias("liquidity"))
     found = market.classified_tokens(bars, pairs, [7], 1.0, 3.0, 2500.0, win_multiple=1.5, lose_multiple=1.2, win_usd=60_000)
     return found.select("mint", "pair", "liquidity", r6("peak_multiple"), "outcome")
 

@@ -91,11 +91,12 @@ def dedup_by_ticker(spark, sf_dir):
     return market.dedup_by_ticker(p).select("ticker", "mint", "liquidity")
 
 
-@query("WITH m AS (SELECT l_partkey AS mint, max(l_extendedprice) AS v FROM lineitem WHERE l_quantity >= 49 GROUP BY 1), s AS (SELECT p_name AS symbol, max(l_extendedprice) AS v FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 GROUP BY 1) SELECT p_partkey AS mint, coalesce(m.v, s.v) AS v FROM part LEFT JOIN m ON p_partkey = m.mint LEFT JOIN s ON p_name = s.symbol")
+@query("WITH m AS (SELECT l_suppkey AS mint, max(l_extendedprice) AS v FROM lineitem GROUP BY 1), s AS (SELECT p_name AS symbol, max(l_extendedprice) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT p_partkey AS mint, coalesce(m.v, s.v) AS v FROM part LEFT JOIN m ON p_partkey = m.mint LEFT JOIN s ON p_name = s.symbol")
 def symbol_or_mint_join(spark, sf_dir):
-    """What parts sold for in large quantities, by the part or else by its name."""
+    """The best price by the number of a part, read as a supplier's, of which there are fewer, or else by the part's name."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mint"), F.col("p_name").alias("symbol"))
-    v = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("mint"), F.col("l_extendedprice").alias("v")).join(p, "mint")
+    names = p.withColumnRenamed("mint", "l_partkey")
+    v = table(spark, sf_dir, "lineitem").join(names, "l_partkey").select(F.col("l_suppkey").alias("mint"), "symbol", F.col("l_extendedprice").alias("v"))
     return market.by_symbol_or_mint(p, v, "v").select("mint", "v")
 
 

@@ -68,8 +68,8 @@ def tf_cosine_pairs(spark, sf_dir):
     """F32, J12 over the benchmark's items."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     v = similarity.tf_vectors(similarity.token_rows(items, "id", text.tokens(F.col("text"))), "id")
-    out = similarity.cosine_pairs(v.withColumnRenamed("id", "a"), "a", v.withColumnRenamed("id", "b"), "b", 0.1)
-    return out.where("a < b").select("a", "b", r6("cosine"))
+    out = similarity.cosine_pairs(v.withColumnRenamed("id", "a"), "a", v.withColumnRenamed("id", "b"), "b", 0.1, F.col("a") < F.col("b"))
+    return out.select("a", "b", r6("cosine"))
 
 
 @query("WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(x) AS m FROM e GROUP BY ALL), s AS (SELECT e.vec_id, e.label, sum(e.x * c.m) / (sqrt(sum(e.x * e.x)) * sqrt(sum(c.m * c.m))) AS cosine FROM e JOIN c ON e.label = c.label AND e.i = c.i GROUP BY ALL) SELECT label, count(*) AS n, round(avg(cosine), 6) AS mean_cosine, round(min(cosine), 6) AS least FROM s GROUP BY label")
@@ -194,9 +194,31 @@ def narratives_formed(spark, sf_dir):
     return similarity.form_narratives(turns, pairs)
 
 
-@query(None)
-def greedy_narratives(spark, sf_dir):
-    """C1 in the order-dependent mode, by role of turn and hundred conversations."""
+#: Turns of conversations as posts of shards, and what each two posts of a shard have in common.
+SHARDS = (
+    f"z AS (SELECT role || '/' || (conv_id // 100)::VARCHAR AS shard, turn, conv_id * 1000 + turn AS id, 'c' || conv_id AS handle, (length(text) % 100)::DOUBLE AS score, {tokens_sql('text')} AS words FROM conversations), "
+    "k AS (SELECT id, token, count(*) AS tf FROM (SELECT id, unnest(words) AS token FROM z) GROUP BY ALL), l AS (SELECT id, count(*) AS n, sqrt(sum(tf * tf)) AS norm FROM k GROUP BY id), "
+    "pr AS MATERIALIZED (SELECT a.id AS a, b.id AS b, count(*) / (any_value(la.n) + any_value(lb.n) - count(*)) AS overlap, sum(a.tf * b.tf) / (any_value(la.norm) * any_value(lb.norm)) AS dot FROM k a JOIN k b ON a.token = b.token "
+    "JOIN z za ON za.id = a.id JOIN z zb ON zb.id = b.id AND za.shard = zb.shard JOIN l la ON la.id = a.id JOIN l lb ON lb.id = b.id GROUP BY a.id, b.id)")
+
+
+def shard_posts(spark, sf_dir):
+    """Turns of conversations as posts; a shard is a role and a hundred conversations."""
     t = table(spark, sf_dir, "conversations")
-    p = t.select(F.concat_ws("/", "role", F.floor(F.col("conv_id") / 100).cast("string")).alias("shard"), (F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), F.concat(F.lit("c"), "conv_id").alias("handle"), (F.length("text") % 100).cast("double").alias("score"), text.cashtags(F.col("text")).alias("tags"), text.tokens(F.col("text")).alias("words"))
-    return similarity.greedy_cluster(p, "shard")
+    return t.select(
+        F.concat_ws("/", "role", F.floor(F.col("conv_id") / 100).cast("string")).alias("shard"), "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("post_id"), F.concat(F.lit("c"), "conv_id").alias("handle"),
+        (F.length("text") % 100).cast("double").alias("score"), text.cashtags(F.col("text")).alias("tags"), text.tokens(F.col("text")).alias("words"))
+
+
+# Posts follow one another in the recursion; each sees all those before it. No turn has a cashtag.
+@query(
+    f"WITH RECURSIVE {SHARDS}, p AS MATERIALIZED (SELECT shard, id, handle, row_number() OVER (PARTITION BY shard ORDER BY score DESC, id) AS pos FROM z), "
+    "g(shard, pos, id, handle, n, reason, score) USING KEY (shard, pos) AS (SELECT shard, pos, id, handle, id, 'new', 0.0::DOUBLE FROM p WHERE pos = 1 UNION ALL "
+    "(WITH q AS (SELECT p.* FROM p JOIN g ON p.shard = g.shard AND p.pos = g.pos + 1), "
+    "m AS (SELECT q.shard, q.pos, x.n, max(overlap) FILTER (WHERE overlap >= 0.28) AS o, max(CASE WHEN x.id = x.n AND dot >= 0.42 THEN dot END) AS c, min(x.pos) AS first FROM q JOIN recurring.g x ON x.shard = q.shard LEFT JOIN pr ON pr.a = q.id AND pr.b = x.id GROUP BY ALL HAVING NOT bool_or(x.handle = q.handle)), "
+    "h AS (SELECT *, row_number() OVER (PARTITION BY shard, pos ORDER BY o IS NULL, CASE WHEN o IS NULL THEN -c END, first) AS r FROM m WHERE o IS NOT NULL OR c IS NOT NULL) "
+    "SELECT q.shard, q.pos, q.id, q.handle, coalesce(h.n, q.id), CASE WHEN h.o IS NOT NULL THEN 'keyword' WHEN h.c IS NOT NULL THEN 'embedding' ELSE 'new' END, coalesce(h.o, h.c, 0.0) FROM q LEFT JOIN h ON h.shard = q.shard AND h.pos = q.pos AND h.r = 1)) "
+    "SELECT shard, id AS post_id, n AS narrative_id, reason, round(score, 6) AS score FROM g")
+def greedy_narratives(spark, sf_dir):
+    """C1, K3 in the order-dependent mode, by role of turn and hundred conversations."""
+    return similarity.greedy_cluster(shard_posts(spark, sf_dir), "shard").select("shard", "post_id", "narrative_id", "reason", r6("score"))

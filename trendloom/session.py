@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any scale; sizes of partitions are the cluster's to choose, adaptive execution evens them out.
 SETTINGS = {
@@ -18,3 +21,27 @@ SETTINGS = {
 def session(master: str | None = None, **more: str) -> SparkSession:
     builder = SparkSession.builder.config(map=SETTINGS | more)
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+_OWN: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, one of our own only in local mode."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _OWN[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """A table written into the shared folder and read again: cuts lineage, and lost executors don't lose it."""
+    path = new_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

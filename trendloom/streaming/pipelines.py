@@ -2,38 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from ..operators.budget import next_floor, next_floor_value
+from ..session import new_folder
+from .stateful import near_misses  # noqa: F401
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, one of our own only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _OWN[spark.sparkContext.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return found.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
-
-
-def replayed(rows: DataFrame, sink: Callable[[DataFrame, int], None] | None, name: str, mode: str = "append") -> str:
+def replayed(rows: DataFrame, sink: Callable[[DataFrame, int], None] | None, name: str, mode: str = "append", out: str | None = None, marks: str | None = None) -> str:
     """Run a stream over what its source holds now (T1); returns the folder of its output.
 
-    Without a sink the rows are appended as Parquet, exactly once by the file sink's log. The checkpoint lies in the shared
-    folder, so a restarted query goes on where the last one stopped (T11).
+    Without a sink the rows are appended as Parquet, exactly once by the file sink's log. marks is the folder of the checkpoint:
+    a query that is started again with the same marks and out goes on where the last one stopped and reads nothing twice
+    (T11). Folders that aren't given are new ones in the shared folder, for a replay that begins anew.
     """
     spark = rows.sparkSession
-    out, marks = new_folder(spark, name), new_folder(spark, f"{name}-marks")
+    out, marks = out or new_folder(spark, name), marks or new_folder(spark, f"{name}-marks")
     writer = rows.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
     query = writer.foreachBatch(sink).start() if sink else writer.format("parquet").option("path", out).start()
     query.awaitTermination()
@@ -72,63 +59,22 @@ def active_spells(rows: DataFrame, key: str, event_time: str, gap: str = "12 hou
     return spells.select(key, F.col("w.start").alias("opened"), F.col("w.end").alias("closed"), "n")
 
 
-def near_misses(rows: DataFrame, floor: int, ttl_hours: int = 12, late: str = "0 seconds") -> DataFrame:
-    """rows(post_id long, views long, at timestamp) -> (post_id, first_seen, views, outcome): the retry queue.
-
-    A post below the floor waits; it is promoted once a later count reaches the floor within its time to live, and expires
-    when the watermark passes that. Posts that reach the floor at once are promoted at once.
-    """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    ttl = ttl_hours * 3_600_000
-
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            first, views = state.get
-            state.remove()
-            yield pd.DataFrame({"post_id": [key[0]], "first_seen": [pd.Timestamp(first, unit="ms")], "views": [views], "outcome": ["expired"]})
-            return
-        got = pd.concat(list(batches)).sort_values("at")
-        if state.exists and state.get[0] < 0:
-            return  # promoted before
-        first, views = state.get if state.exists else (int(got["at"].iloc[0].value // 1_000_000), 0)
-        for at, seen in zip(got["at"], got["views"]):
-            if at.value // 1_000_000 - first > ttl:
-                break
-            views = max(views, int(seen))
-        if views >= floor:
-            state.update((-1, views))
-            yield pd.DataFrame({"post_id": [key[0]], "first_seen": [pd.Timestamp(first, unit="ms")], "views": [views], "outcome": ["promoted"]})
-            return
-        state.update((first, views))
-        state.setTimeoutTimestamp(max(first + ttl, state.getCurrentWatermarkMs() + 1))
-
-    return rows.withWatermark("at", late).groupBy("post_id").applyInPandasWithState(
-        step, "post_id long, first_seen timestamp, views long, outcome string", "first long, views long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def lane_floors(cycles: DataFrame, base: int, lane_min: int, floor_max: int = 100_000) -> DataFrame:
-    """cycles(lane, cycle long, raw long, reads long, target long) -> (lane, cycle, floor): the controller with state.
+    """cycles(lane, cycle long, raw long, reads long, target long[, any_zero boolean]) -> (lane, cycle, floor): the controller with state.
 
-    Nothing found lowers the floor by 40 %, too many reads raise it by 20 %, too few lower it by 20 %. Cycles of a lane that
-    come in one batch are taken in order.
+    The rule is budget.next_floor's. any_zero says that another lane found nothing in the cycle, false where the column is missing. Cycles of a
+    lane that come in one batch are taken in order. A lane keeps one number for good.
     """
-    import math
-
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    if "any_zero" not in cycles.columns:
+        cycles = cycles.withColumn("any_zero", F.lit(False))
+
     def step(key, batches, state):
         floor, out = state.get[0] if state.exists else base, []
         for c in pd.concat(list(batches)).sort_values("cycle").itertuples():
-            target = max(1, c.target)
-            if c.raw == 0:
-                floor = max(lane_min, math.floor(floor * 0.6))
-            elif c.reads > target:
-                floor = min(floor_max, math.ceil(floor * 1.2))
-            elif c.reads < target * 0.6:
-                floor = max(lane_min, math.floor(floor * 0.8))
+            floor = next_floor_value(floor, c.raw, c.reads, c.target, c.any_zero, lane_min, floor_max)
             out.append((key[0], c.cycle, floor))
         state.update((floor,))
         yield pd.DataFrame(out, columns=["lane", "cycle", "floor"])
@@ -138,14 +84,14 @@ def lane_floors(cycles: DataFrame, base: int, lane_min: int, floor_max: int = 10
 
 def lane_floors_batch(cycles: DataFrame, base: int, lane_min: int, floor_max: int = 100_000) -> DataFrame:
     """The same floors over a finished table: a fold over each lane's cycles in order. A lane has a few hundred cycles a day."""
-    from ..operators.budget import next_floor
-
-    row = F.struct("cycle", "raw", "reads", "target")
+    if "any_zero" not in cycles.columns:
+        cycles = cycles.withColumn("any_zero", F.lit(False))
+    row = F.struct("cycle", "raw", "reads", "target", "any_zero")
     kind = "struct<f:bigint,out:array<struct<cycle:bigint,floor:bigint>>>"
     start = F.struct(F.lit(base).cast("long").alias("f"), F.array().cast("array<struct<cycle:bigint,floor:bigint>>").alias("out")).cast(kind)
 
     def step(acc, c):
-        f = next_floor(acc["f"], c["raw"], c["reads"], c["target"], F.lit(False), F.lit(lane_min), floor_max)
+        f = next_floor(acc["f"], c["raw"], c["reads"], c["target"], c["any_zero"], F.lit(lane_min), floor_max)
         return F.struct(f.alias("f"), F.concat(acc["out"], F.array(F.struct(c["cycle"].alias("cycle"), f.alias("floor")))).alias("out"))
 
     lanes = cycles.groupBy("lane").agg(F.sort_array(F.collect_list(row)).alias("c"))
