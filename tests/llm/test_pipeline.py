@@ -62,3 +62,9 @@ def test_clashing_columns_and_missing_ones(spark):
     assert sorted((r["spans"][0], "[SECRET]" in r["text"]) for r in masked.collect()) == [(1, True), (2, True), (3, True), (4, False)]
     judged = corpus_pipeline.quality_rules(spark, docs, DATA)
     assert judged.columns == docs.columns
+
+
+def test_maps_in_repeated_rows(spark):
+    docs = spark.sql("select 1L doc_id, 'a b c d e f' text, map('k', id % 2) m, array(map(1, 'x')) n from range(4) union all select 2L, null, null, null")
+    got = corpus_pipeline.near_dedup(spark, docs, DATA)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [1, 2]

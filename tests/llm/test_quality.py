@@ -74,3 +74,14 @@ def test_nulls_repeats_and_empty(docs, spark):
     got = sorted(((r["doc_id"], r["kept"]) for r in quality.judge_quality(docs(rows), none).collect()), key=str)
     assert got == sorted([(None, True), (1, False), (1, False)], key=str)
     assert quality.judge_quality(docs([]), none).count() == 0
+
+
+def test_buckets_dont_follow_the_size(docs, spark, monkeypatch):
+    """Unrelated text doesn't change how many buckets the n-grams are hashed to."""
+    rows = [(i, f"good words number {i % 7} are here and make {i % 3} lines of text for all") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    seen, plain = [], quality.log_ratios
+    monkeypatch.setattr(quality, "log_ratios", lambda *a, **b: seen.append(len(r := plain(*a, **b))) or r)
+    for d in (rows, rows + [(100 + i, "other " * 20_000) for i in range(200)]):
+        assert quality.judge_quality(docs(d), labels).count() == len(d)
+    assert seen == [quality.BUCKETS] * 2 == [1 << 16] * 2

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from trendloom.llm import urlfilter
 from trendloom.llm.queries import URL_RULES
 
@@ -80,3 +82,27 @@ def test_block_above_the_root(spark):
     pages = [(1, "http://a.net/a/b/c/p", '<link rel=canonical href="../../../en/8">'), (2, "http://a.net/en/8", '<link rel=canonical href="http://x.org/es/1">'), (3, "http://a.net/a/b/c/q", '<!-- <link rel=canonical href="../../../en/8">')]
     got = {r["page_id"]: r["verdict"] for r in urlfilter.judge_urls(spark.createDataFrame([(*p, "z", "z") for p in pages], SCHEMA), URL_RULES).collect()}
     assert got == {1: "block", 2: "block", 3: "allow"}
+
+
+@pytest.mark.parametrize("many", [0, 5000])
+def test_rule_tables_equal_literal_rules(spark, many):
+    """The same rules as a literal, as a table, and among thousands of others; hosts and paths of every shape."""
+    rng = random.Random(7)
+    names = ["com", "example.com", "a.example.com", "net", "example.net.", "", "x..y", "localhost"]
+    paths = ["/", "/en/", "/en/7", "", "/e", "/en/7/8", "//", "/é"]
+    rules = [(v, n + p) for v, n, p in ((rng.choice(["allow", "block"]), rng.choice(names), rng.choice(paths)) for _ in range(60)) if "/" in p]
+    urls = [f"http://{rng.choice(['', 'b.', 'a.', '.'])}{rng.choice(names)}{rng.choice(paths)}{rng.choice(['', '?q', '#f'])}" for _ in range(300)] + [None, "no url", "http://a.com/" + "x" * 3000, "http://" + "a." * 2000 + "com/en/7"]
+    rows = spark.createDataFrame([(i, u, None, "z", "z") for i, u in enumerate(urls)], SCHEMA)
+    want = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge_urls(rows, rules).collect()}
+    other = [("block", f"host{i}.org/p{i}") for i in range(many)]
+    for given in (rules + other, urlfilter.rule_table(spark, rules + other)):
+        assert want == {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge_urls(rows, given).collect()}
+    hit = spark.createDataFrame([(1, "http://sub.host77.org/p77/x", None, "z", "z")], SCHEMA)
+    if many:
+        assert urlfilter.judge_urls(hit, rules + other).first()["rule"] == "host77.org/p77"
+
+
+def test_no_rules(spark):
+    rows = spark.createDataFrame([(1, "http://a.com/", None, "z", "z"), (2, None, None, "z", "z")], SCHEMA)
+    for rules in ([], urlfilter.rule_table(spark, [("block", "x/")]).limit(0)):
+        assert {(r["rule"], r["verdict"]) for r in urlfilter.judge_urls(rows, rules).collect()} == {(None, "allow")}

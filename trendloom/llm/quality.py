@@ -13,6 +13,8 @@ from .common import SPACE, WORD, keep, let, text_column
 #: The characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 EMPTY = "array<bigint>"
+#: Buckets that n-grams are hashed to, at any size of the corpus: a verdict depends on what is counted, not on how much.
+BUCKETS = 1 << 16
 
 
 def words_of(text: Column) -> Column:
@@ -77,12 +79,6 @@ def trusted_ids(labels: DataFrame, id_col: str, label_col: str, most: int) -> Da
     return ids.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
-def bucket_count(docs: DataFrame, text_col: str, least: int, at_bytes: int = 64 << 20) -> int:
-    """Buckets for the n-grams of all texts: `least` up to at_bytes of text, beyond that growing with the cube root of the bytes."""
-    total = docs.agg(F.sum(F.octet_length(text_column(docs, text_col)))).first()[0] or 0
-    return max(least, int(least * (total / at_bytes) ** (1 / 3)))
-
-
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, smoothing: float = 1.0) -> list[float]:
     """For each bucket, log of its smoothed share in trusted documents over that in all documents.
 
@@ -126,12 +122,12 @@ def best_threshold(scored: DataFrame, cells: int = 2000, low: float = -5.0, high
     return low + (best[0] + best[run]) / 2 * (high - low) / cells
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = 1 << 14, most_trusted: int = 20_000, carry: bool = False) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, most_trusted: int = 20_000, carry: bool = False) -> DataFrame:
     """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept) for every row.
 
     A document is kept if it passes the base rules and its length-normalised log-likelihood ratio reaches the threshold,
     which is fitted to labelled documents that pass the base rules: all bad ones, and those good ones, a third by hash and each
-    weighing as three, that the model hasn't seen. The model has at least `buckets` n-gram buckets, more as the texts grow. The trusted side of the model is a sample of most_trusted of the other good ones at most, the raw side
+    weighing as three, that the model hasn't seen. The model has `buckets` n-gram buckets. The trusted side of the model is a sample of most_trusted of the other good ones at most, the raw side
     all documents. Null texts count as empty: no words, base_failed.
     Without trusted documents, or without labels of both kinds, the ratio has no vote. Rows stay as often as they come; a
     null id is judged like any other; other columns aren't read. With carry they stay, all columns of docs in a struct `row`, so
@@ -142,7 +138,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     carried = ["row"] if carry else []
     ids = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     trusted = keep(trusted_ids(ids, "doc_id", "label", most_trusted), "trusted")
-    ratios = log_ratios(rows, trusted, "id", "text", bucket_count(rows, "text", buckets))
+    ratios = log_ratios(rows, trusted, "id", "text", buckets)
     counted = base_counts(rows, "text")
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = keep(counted.select("id", *counts, score(F.col("words"), ratios).alias("score"), *carried), "judged")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import keep
 from .components import connected_components
 
-#: A rule set is a literal of the plan; larger ones are refused.
-MOST_RULES = 1000
+#: Rule sets of up to this many rules are a literal of the plan; larger ones are a table that hosts and paths are joined to.
+LITERAL_RULES = 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -22,8 +22,6 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """struct(rule, verdict) of the longest (verdict, host/path) rule that fits, allow before block at equal length; or null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; {MOST_RULES} at most")
     if not rules:
         return F.lit(None).cast("struct<rule:string,verdict:string>")
     order = sorted(rules, key=lambda r: (-len(r[1]), r[0] != "allow", r[1]))
@@ -32,6 +30,32 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colum
     return F.get(F.transform(fitting, lambda r: F.struct(r["rule"].alias("rule"), r["verdict"].alias("verdict"))), F.lit(0))
 
 
+def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
+    return spark.createDataFrame([(v, r) for v, r in rules], "verdict string, rule string")
+
+
+def joined_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """places(host, path, ...) with r as best_rule gives it, for rules(verdict, rule) of any number.
+
+    Each distinct place meets the rules by equi joins: its host and the domains above it by the rules' hosts; then, for each
+    length that the paths of such a host's rules have, that long a start of its path. So what a place brings about is bounded by its own
+    labels and the lengths of rules, not by the number of rules. No more labels are tried than the rules' hosts have.
+    """
+    at = F.regexp_extract("rule", r"(?s)^([^/]*)", 1)
+    known = rules.where("rule is not null and verdict is not null").select("rule", "verdict", at.alias("at"), F.substr("rule", F.length(at) + 1).alias("start"))
+    # Of an allow and a block by the same rule the allow counts.
+    known = keep(known.groupBy("at", "start", "rule").agg(F.min("verdict").alias("verdict")).withColumn("n", F.length("start")), "rules")
+    labels = known.agg(F.coalesce(F.max(F.size(F.split("at", "\\."))), F.lit(0))).first()[0]
+    ones = keep(places.select("host", "path").distinct(), "places")
+    parts = F.split("host", "\\.", -1)
+    above = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))), lambda k: F.array_join(F.slice(parts, -k, k), "."))
+    tried = ones.select("host", "path", F.explode(above).alias("at")) if labels else ones.select("host", "path", F.lit("").alias("at")).where("false")
+    starts = tried.join(known.select("at", "n").distinct(), "at").where(F.col("n") <= F.length("path")).withColumn("start", F.substr("path", F.lit(1), F.col("n")))
+    best = F.max(F.struct(F.length("rule").alias("n"), (F.col("verdict") == "allow").alias("allow"), F.struct("rule", "verdict").alias("r")))
+    found = keep(starts.join(known.drop("n"), ["at", "start"]).groupBy("host", "path").agg(best.alias("b")).select("host", "path", F.col("b.r").alias("r")), "ruled")
+    return places.join(found, ["host", "path"], "left")
+
+
 def resource(url: Column) -> Column:
     """A URL as a node: scheme and host lower-cased, no fragment; null without ://."""
     url = F.regexp_replace(url.cast("string"), "(?s)#.*$", "")
@@ -77,24 +101,31 @@ def alias_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return based.select(resource(F.col("url")).alias("src"), resource(resolved).alias("dst"))
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
     """(id_col, host, path, rule, verdict) for every page row.
 
     A page's own longest rule decides, so an explicit allow takes precedence over any block that reaches it. A page without
     a rule is blocked if one of its redirect and canonical aliases, near or far, is blocked by a rule; else it is allowed.
-    redirects(src, dst) adds redirect edges. Links in comments don't count, repeated ones count once; a base tag isn't looked at. Alias URLs count whether or not they are pages. A null URL or one without
+    rules are (verdict, host/path) pairs, or a table rules(verdict, rule) of any size. redirects(src, dst) adds redirect edges. Links in comments don't count, repeated ones count once; a base tag isn't looked at. Alias URLs count whether or not they are pages. A null URL or one without
     :// has an empty host and path, fits no rule and has no aliases. Rows stay as often as they come; other columns of
     pages are not read.
     """
     edges = alias_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.union(redirects.select(resource(F.col("src")), resource(F.col("dst"))))
+    if isinstance(rules, list) and len(rules) > LITERAL_RULES:
+        rules = rule_table(pages.sparkSession, rules)
+
+    def ruled(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("r", best_rule(F.col("host"), F.col("path"), rules)) if isinstance(rules, list) else joined_rules(rows, rules)
+
     nodes = connected_components(edges)
-    marked = keep(nodes.withColumn("r", best_rule(*host_and_path(F.col("node")), rules)), "aliases")
+    host, path = host_and_path(F.col("node"))
+    marked = keep(ruled(nodes.withColumn("host", host).withColumn("path", path)), "aliases")
     blocked = keep(marked.where("r.verdict = 'block'").select("component").distinct(), "blocked")
     aliased = keep(marked.join(blocked, "component", "left_semi").select("node"), "blocked_aliases")
     host, path = host_and_path(pages[url_col])
     own = pages.select(pages[id_col].alias("id"), host.alias("host"), path.alias("path"), resource(pages[url_col]).alias("node"))
-    own = own.withColumn("r", best_rule(F.col("host"), F.col("path"), rules))
+    own = ruled(own)
     hit = own.join(aliased.withColumn("hit", F.lit(True)), "node", "left")
     return hit.select(F.col("id").alias(id_col), "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("hit"), F.lit("block")), F.lit("allow")).alias("verdict"))
