@@ -129,6 +129,19 @@ def test_overlap_pairs_against_brute_force(spark, t):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
 
 
+@pytest.mark.parametrize("tile", [3, 20])
+def test_tiles_of_hot_tokens_change_nothing(spark, tile):
+    import random
+
+    rng = random.Random(11)
+    sets = {i: {f"word{int(rng.paretovariate(0.7)) % 30}" for _ in range(rng.randrange(0, 10))} | {"every"} for i in range(90)}
+    d = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, w array<string>")
+    rows = similarity.token_rows(d, "id", F.col("w")).select("id", "token", "size")
+    got = {(r["a"], r["b"]): r["overlap"] for r in similarity.overlap_join(rows, "a", rows, "b", 0.3, same=True, tile=tile).collect()}
+    want = brute_overlap(sets, 0.3)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
+
+
 def test_overlap_at_the_threshold_itself(spark):
     """7 of 25 words is 0.28 exactly, which 25 * 0.28 in floating point overshoots; also where the shared words are the commonest."""
     sets = {0: {f"w{i:02}" for i in range(25)}, 1: {f"w{i:02}" for i in range(18, 25)}, 2: {"w24"}, 3: set()}

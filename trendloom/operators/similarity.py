@@ -17,34 +17,61 @@ def token_rows(docs: DataFrame, key: str, words) -> DataFrame:
     return rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(key)))
 
 
-def overlap_join(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float = KEYWORD, same: bool = False) -> DataFrame:
+def in_tiles(left: DataFrame, a: str, right: DataFrame, b: str, tile: int) -> tuple[DataFrame, DataFrame]:
+    """left and right, to be joined by (token, ta, tb): the rows of a token of more than `tile` of them on a side are dealt to
+    tiles by their key, and each tile of one side meets each of the other, so that no token is one task."""
+    count = lambda rows, n: rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(n))
+    hot = count(left, "ga").join(count(right, "gb"), "token").where("ga > 1 or gb > 1")
+
+    def dealt(rows, key, own, other):
+        r = rows.join(hot, "token", "left").withColumn(f"t{own}", F.pmod(F.xxhash64(key), F.coalesce(f"g{own}", F.lit(1))).cast("int"))
+        return r.withColumn(f"t{other}", F.explode(F.sequence(F.lit(0), F.coalesce(f"g{other}", F.lit(1)) - 1))).drop("ga", "gb")
+
+    return dealt(left, a, "a", "b"), dealt(right, b, "b", "a")
+
+
+def overlap_candidates(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float = KEYWORD, tile: int = 4096) -> DataFrame:
+    """(a, b, na, nb): pairs of sets(key, token, size, pos) that may overlap by the threshold, all such pairs among them.
+
+    pos numbers a set's tokens from 1, from rare to common ones, in one order for all sets. Two sets of that overlap share one
+    of the first size - ceil(t * size) + 1 tokens of each. They share as many as ceil(t / (1 + t) * (na + nb)), so that their
+    first shared token has that many left from its place on in both; and their sizes aren't further apart than the threshold.
+    """
+    least = lambda n: n * threshold - 1e-9  # noqa: E731  (products such as 25 * 0.28 come out a trifle too large)
+
+    def prefix(s, key, n, p):
+        return s.where(F.col("pos") <= F.col("size") - F.ceil(least(F.col("size"))) + 1).select(key, "token", F.col("size").alias(n), F.col("pos").alias(p))
+
+    pa, pb = in_tiles(prefix(left, a, "na", "ia"), a, prefix(right, b, "nb", "ib"), b, tile)
+    na, nb, ia, ib = (F.col(c) for c in ("na", "nb", "ia", "ib"))
+    rest = 1 + F.least(na - ia, nb - ib) >= (na + nb) * (threshold / (1 + threshold)) - 1e-9
+    found = pa.join(pb, ["token", "ta", "tb"]).where((na >= least(nb)) & (nb >= least(na)) & rest)
+    return found.select(a, b, "na", "nb")
+
+
+def overlap_join(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float = KEYWORD, same: bool = False, tile: int = 4096) -> DataFrame:
     """(a, b, shared, overlap): pairs of a row of left and one of right of a Jaccard overlap of at least the threshold.
 
-    An inverted-index join in the manner of prefix filters: tokens are ordered from rare to common, and two sets of that
-    overlap share one of the first size - ceil(t * size) + 1 tokens of each, so that only these join; sets too different in
-    size drop out. Candidates are then counted on all their tokens. The commonest tokens, whose lists are longest, take part
-    only for sets that have nothing rarer. same: both sides are the same rows, and only pairs a < b count.
+    An inverted-index join in the manner of prefix and positional filters, see overlap_candidates. Candidates are then counted
+    on all their tokens. The commonest tokens, whose lists are longest, take part only for sets that have nothing rarer, and
+    their lists are joined in tiles of about `tile` rows. same: both sides are the same rows, and only pairs a < b count.
     """
     tokens = left.select("token") if same else left.select("token").union(right.select("token"))
     freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    least = lambda n: n * threshold - 1e-9  # noqa: E731  (products such as 25 * 0.28 come out a trifle too large)
 
     def sets(rows, key):
         w = Window.partitionBy(key).orderBy("df", "token")
         return rows.join(freq, "token").select(key, "token", "size", F.row_number().over(w).alias("pos"))
 
-    def prefix(s, key, n):
-        return s.where(F.col("pos") <= F.col("size") - F.ceil(least(F.col("size"))) + 1).select(key, "token", F.col("size").alias(n))
-
     def words(s, key, name):
         return s.groupBy(key).agg(F.collect_list("token").alias(name))
 
     sa = sets(left.withColumnRenamed(left.columns[0], a), a)
     sb = sa.withColumnRenamed(a, b) if same else sets(right.withColumnRenamed(right.columns[0], b), b)
-    found = prefix(sa, a, "na").join(prefix(sb, b, "nb"), "token").where((F.col("na") >= least(F.col("nb"))) & (F.col("nb") >= least(F.col("na"))))
+    found = overlap_candidates(sa, a, sb, b, threshold, tile)
     if same:
         found = found.where(F.col(a) < F.col(b))
-    both = found.select(a, b, "na", "nb").distinct().join(words(sa, a, "wa"), a).join(words(sb, b, "wb"), b)
+    both = found.distinct().join(words(sa, a, "wa"), a).join(words(sb, b, "wb"), b)
     out = both.withColumn("shared", F.size(F.array_intersect("wa", "wb")))
     return out.select(a, b, "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("overlap")).where(F.col("overlap") >= threshold)
 
@@ -82,14 +109,8 @@ def cosine_candidates(a: DataFrame, a_key: str, b: DataFrame, b_key: str, thresh
 
     pa = prefix(a, a_key, "mb").select(a_key, "token", F.col("weight").alias("wa"), F.col("left").alias("ra"))
     pb = prefix(b, b_key, "ma").select(b_key, "token", F.col("weight").alias("wb"), F.col("left").alias("rb"))
-    tiles = lambda p, n: p.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias(n))
-    hot = tiles(pa, "ga").join(tiles(pb, "gb"), "token").where("ga > 1 or gb > 1")
-
-    def dealt(p, key, own, other):
-        r = p.join(hot, "token", "left").withColumn(f"t{own}", F.pmod(F.xxhash64(key), F.coalesce(f"g{own}", F.lit(1))).cast("int"))
-        return r.withColumn(f"t{other}", F.explode(F.sequence(F.lit(0), F.coalesce(f"g{other}", F.lit(1)) - 1))).drop("ga", "gb")
-
-    met = dealt(pa, a_key, "a", "b").join(dealt(pb, b_key, "b", "a"), ["token", "ta", "tb"])
+    pa, pb = in_tiles(pa, a_key, pb, b_key, tile)
+    met = pa.join(pb, ["token", "ta", "tb"])
     near = met.groupBy(a_key, b_key).agg((F.sum(F.col("wa") * F.col("wb")) + F.max("ra") + F.max("rb")).alias("most"))
     return near.where(F.col("most") >= least).select(a_key, b_key)
 

@@ -40,6 +40,26 @@ def expire(rows: DataFrame, ts: str, now: Column, hours: int) -> DataFrame:
     return rows.where(F.col(ts).cast("timestamp") >= now - F.expr(f"INTERVAL {hours} HOURS"))
 
 
+def cached(requests: DataFrame, cache: DataFrame, key: str, now: Column, ttl_s: int, stale_s: int) -> DataFrame:
+    """requests with value, state and refresh from cache(key, value, fetched_at).
+
+    state is fresh within the time to live, stale for stale_s more, in which the old value is still served while a new one is
+    fetched, else missing, without a value. refresh says which keys to fetch. Of a key's entries the newest counts.
+    """
+    last = cache.groupBy(key).agg(F.max(F.struct(F.col("fetched_at").cast("timestamp").alias("at"), "value")).alias("_c"))
+    age = F.unix_micros(now) - F.unix_micros(F.col("_c.at"))
+    state = F.when(age <= ttl_s * 1_000_000, "fresh").when(age <= (ttl_s + stale_s) * 1_000_000, "stale").otherwise("missing")
+    out = requests.join(last, key, "left").withColumn("state", state).withColumn("value", F.when(F.col("state") != "missing", F.col("_c.value")))
+    return out.withColumn("refresh", F.col("state") != "fresh").drop("_c")
+
+
+def maybe_single(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row of a unique key, or none; two rows of a key are an error (S5). For many keys at once, join."""
+    found = rows.where(F.col(key) == value).limit(2)
+    few = found.agg(F.assert_true(F.count(F.lit(1)) < 2, F.lit(f"more than one row with this {key}")).alias("_ok"))
+    return found.join(F.broadcast(few), F.col("_ok").isNull()).drop("_ok")  # one row
+
+
 def without_known(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't known yet."""
     return rows.join(known.select(key).distinct(), key, "left_anti")

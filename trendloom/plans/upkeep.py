@@ -11,7 +11,7 @@ from ..session import new_folder
 from ..sources import landing, variants
 from ..streaming import pipelines
 from .intake import ROW, _lines
-from .registry import query, snapshots, table
+from .registry import now, query, snapshots, table
 from .streams import _stream
 
 
@@ -148,3 +148,20 @@ def story_scores(spark, sf_dir):
     found = gates.match_confidence(post, {"ticker": F.lit("$COIN"), "name": F.lit("Brass"), "mint": F.lit("9xQeWvG816bUx9EPjHmaT23yvVM2ZWbrrpZb9PusVFin"), "launch_ms": F.lit(0)}, synonyms={"brass": ["brass", "ring"]}, stories=STORY, accounts=KNOWN)
     name_hit = F.when(F.lower("p_name").contains("brass"), 0.15).otherwise(0.0)  # the name as a whole, a rule of match_scores
     return p.select("p_partkey", F.round(found["score"] - name_hit, 6).alias("score"))
+
+
+@query(
+    "WITH c AS (SELECT user_id, max(ts) AS at, max_by(value, (ts, value)) AS value FROM events WHERE event_type <> 'error' GROUP BY user_id), a AS (SELECT u.user_id, c.value, CASE WHEN c.at >= TIMESTAMP '2024-01-31' - INTERVAL 24 HOUR THEN 'fresh' WHEN c.at >= TIMESTAMP '2024-01-31' - INTERVAL 48 HOUR THEN 'stale' ELSE 'missing' END AS state FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN c ON u.user_id = c.user_id) "
+    "SELECT user_id, CASE WHEN state <> 'missing' THEN value END AS value, state, state <> 'fresh' AS refresh FROM a")
+def cached_values(spark, sf_dir):
+    """What a cache of each user's last value serves, and what is to be fetched."""
+    e = table(spark, sf_dir, "events")
+    cache = e.where("event_type <> 'error'").select("user_id", "value", F.col("ts").alias("fetched_at"))
+    return tables.cached(e.select("user_id").distinct(), cache, "user_id", now(), 86_400, 86_400).select("user_id", "value", "state", "refresh")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)")
+def point_lookup(spark, sf_dir):
+    """One order by its key, which Parquet's statistics lead to."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return tables.maybe_single(o, "o_orderkey", o.agg(F.max("o_orderkey")).first()[0])
