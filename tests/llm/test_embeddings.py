@@ -47,7 +47,7 @@ def test_recall_and_precision(spark):
         assert (got[i]["n_links"], got[i]["component_id"]) == (0, i)
 
 
-@pytest.mark.parametrize("dim", [2, 4, 8, 16, 32, 64, 384])
+@pytest.mark.parametrize("dim", [2, 4, 6, 8, 16, 32, 33, 64, 384])
 def test_recall_in_any_dimensions(spark, dim):
     rng = np.random.default_rng(dim)
     rows = []
@@ -82,3 +82,17 @@ def test_given_table(spark):
 def test_small_tables(spark, rows):
     got = embeddings.near_vectors(spark.createDataFrame([(i, v, 0, "x") for i, v in rows], SCHEMA)).collect()
     assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("words", [64, 128])
+def test_caps_find_new_pairs_as_often_as_fitted(words):
+    """Other random pairs than those that the threshold is fitted to, also with more code words."""
+    rng = np.random.default_rng(99)
+    for dim in (6, 12, 64):
+        a, b = rng.normal(size=(2, 300, dim))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        t = embeddings.cap_threshold(dim, 8, words, 42, 0.9, 0.99)
+        x, y = (embeddings.decode(u, 8, words, t, 42) for u in (a, b))
+        assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y)]) >= 0.96

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,9 +14,11 @@ from .components import connected_components
 from .simhash import Links
 
 BLOCKS = 2
-#: Vectors of fewer dimensions all meet in one filter, whose tiles are compared exactly: there the codes miss links (recall at a
-#: cosine of 0.905: 0.47 in 16 dimensions, 0.96 in 32, 0.98 in 64 and more).
-EXACT_BELOW = 32
+#: Vectors of fewer dimensions all meet in one filter, whose tiles are compared exactly: blocks of one or two coordinates have few
+#: directions, so that caps that find the pairs hold a large part of everything.
+EXACT_BELOW = 6
+#: Code words for each block up to this many distinct vectors; twice as many for each four times as many vectors, so that filters don't fill.
+WORDS, WORDS_FOR = 64, 1_000_000
 
 
 def product_code(dim: int, words: int, seed: int):
@@ -26,6 +30,25 @@ def product_code(dim: int, words: int, seed: int):
     return turn, cuts, [c / np.linalg.norm(c, axis=1, keepdims=True) for c in code]
 
 
+@functools.lru_cache(maxsize=64)
+def cap_threshold(dim: int, codes: int, words: int, seed: int, cosine: float, recall: float, pairs: int = 400) -> float:
+    """The highest threshold, in standard deviations, at which so large a share of random pairs at the cosine has a filter in common."""
+    rng = np.random.default_rng([seed, dim, words])
+    a, b = rng.normal(size=(2, pairs, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = cosine * a + np.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    best = np.full(pairs, -np.inf)
+    for c in range(codes):
+        turn, cuts, code = product_code(dim, words, seed + c)
+        parts = [[(x @ turn)[:, cuts[i] : cuts[i + 1]] @ code[i].T for i in range(BLOCKS)] for x in (a, b)]
+        step = max(1, (1 << 20) // words**2)
+        for k in range(0, pairs, step):
+            both = [left[k : k + step, :, None] + right[k : k + step, None, :] for left, right in parts]
+            best[k : k + step] = np.maximum(best[k : k + step], np.minimum(*both).max(axis=(1, 2)))
+    return float(np.quantile(best, 1 - recall) / np.sqrt(BLOCKS / dim))
+
+
 def decode(units: np.ndarray, codes: int, words: int, threshold: float, seed: int) -> list[np.ndarray]:
     """List-decode unit vectors: each one's numbers of all filters whose direction it exceeds the threshold with.
 
@@ -84,15 +107,15 @@ def near_pairs_in(units: np.ndarray, filters: list, mult: np.ndarray, this: int,
     return count, links.settle()
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, codes: int = 8, words: int = 64, threshold: float = 3.1, seed: int = 42, tile_rows: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, codes: int = 8, recall: float = 0.99, seed: int = 42, tile_rows: int = 1024) -> DataFrame:
     """(id_col, n_links, component_id, kept): a row for each input row.
 
     n_links counts the other rows linked directly, component_id is the smallest id reachable, kept marks that id.
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing. Equal vectors are merged
-    first and link with each other. Vectors of different length never link. Filters find a pair of the given cosine with a
-    probability that codes, words and threshold set (measured on random pairs in 64 dimensions: 0.97 at a cosine of 0.9, 0.99
-    at 0.93; tests hold it to 0.95 from 2 to 384), all of them below EXACT_BELOW dimensions; all found pairs are verified in double precision. Filters with more than tile_rows vectors are compared tile by
-    tile. A null id gets a null component. Other columns aren't read.
+    first and link with each other. Vectors of different length never link. A pair of exactly the given cosine is found with a
+    probability of `recall`, to which the caps are fitted for each number of dimensions by simulated pairs, closer pairs with a higher one, all of them
+    below EXACT_BELOW dimensions; all found pairs are verified in double precision. Filters with more than tile_rows vectors
+    are compared tile by tile. A null id gets a null component. Other columns aren't read.
     """
     kind = dict(vectors.select(vectors[vector_col].alias("v")).dtypes)["v"]
     kind = "array<float>" if kind == "array<float>" else "array<double>"
@@ -101,6 +124,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = keep(rows.withColumn("v", F.when(F.coalesce(sound, F.lit(False)), F.transform("v", lambda x: F.when(x == 0, F.abs(x)).otherwise(x)))), "vectors")
     reps = keep(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("mult")).where("rep is not null"), "reps")
 
+    words, distinct = WORDS, reps.count()
+    while WORDS_FOR * (words // WORDS) ** 2 < distinct:
+        words *= 2
+
     def capped(batches):
         for batch in batches:
             vs = batch.column("v")
@@ -108,7 +135,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
             for dim in np.unique(size):
                 at = np.nonzero(size == dim)[0]
                 flat = vs.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                found = decode(unit_rows(flat), codes, words, threshold, seed) if dim >= EXACT_BELOW else [np.zeros(1, np.int32)] * len(at)
+                found = decode(unit_rows(flat), codes, words, cap_threshold(int(dim), codes, words, seed, cosine, recall), seed) if dim >= EXACT_BELOW else [np.zeros(1, np.int32)] * len(at)
                 part = batch.take(pa.array(at))
                 yield pa.record_batch(
                     [part.column("rep"), part.column("mult"), part.column("v"), pa.array(np.full(len(at), dim, np.int32)), pa.array(found, pa.list_(pa.int32()))],
