@@ -57,6 +57,17 @@ def test_bpe_of_long_pieces_and_new_scripts(docs, tiktoken_library, longest):
     assert got == {i: tiktoken_library.encode_ordinary(t) for i, t in rows}
 
 
+def test_bpe_of_a_very_long_piece(docs, tiktoken_library):
+    """200,000 letters, digits, marks and blanks without a break: the time grows about as the length."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(letters) for _ in range(200_000))) for i, letters in enumerate(("etaoinshrdlu", "0123456789", "=-_<>", " ", "漢字かな"))]
+    got = {r["doc_id"]: r for r in bpe.decode(bpe.encode(docs(rows), path), path).collect()}
+    for i, t in rows:
+        assert bytes(got[i]["bytes"]).decode() == t
+        assert list(got[i]["ids"]) == tiktoken_library._encode_single_piece(t.encode())
+
+
 @given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=4), st.integers(-9, -1)), min_size=1, max_size=12, unique_by=lambda x: x[0]), st.text("abcd", max_size=12), st.booleans())
 @settings(max_examples=300, deadline=None)
 def test_viterbi_is_optimal(pieces, word, byte_fallback):

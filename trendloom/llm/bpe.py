@@ -1,12 +1,14 @@
 """Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of distinct words.
 
 Between the two, plain Python only numbers the distinct pieces of a task's documents and puts the folded pieces back in
-their places; nothing is shuffled.
+their places; nothing is shuffled. Pieces of thousands of bytes, which no prose has, are merged there by a heap, as a fold
+copies its state at every step.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 
 import numpy as np
@@ -56,6 +58,36 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of one long piece, by the same rule as the fold: linked tokens and a heap of neighbours by rank, then place."""
+    n, longest = len(raw), max(map(len, ranks))
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token at a place; 0 for a place that has none any more
+    waiting = [(ranks[raw[i : i + 2]], i, i + 2) for i in range(n - 1) if raw[i : i + 2] in ranks]
+    heapq.heapify(waiting)
+
+    def offer(start: int, stop: int) -> None:
+        rank = ranks.get(raw[start:stop]) if stop - start <= longest else None
+        if rank is not None:
+            heapq.heappush(waiting, (rank, start, stop))
+
+    while waiting:
+        _, i, stop = heapq.heappop(waiting)
+        j = after[i]
+        if not j or j == n or after[j] != stop:
+            continue  # one of the two has merged with another meanwhile
+        after[i], after[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+            offer(i, after[stop])
+        if before[i] >= 0:
+            offer(before[i], stop)
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[raw[i : after[i]]])
+        i = after[i]
+    return ids
+
+
 class Vocabulary:
     """A rank file as literals of a plan: ids of bytes, ranks of pairs of tokens whose bytes join to a token, and tokens."""
 
@@ -83,12 +115,11 @@ class Vocabulary:
         cell = F.get(pairs, F.pmod(pair, F.lit(CELLS)).cast("int"))
         return F.get(cell, F.array_position(cell, pair).cast("int"))  # what follows the pair; a pair that isn't there has place 0
 
-    def fold(self, raw: Column, longest: int) -> Column:
+    def fold(self, raw: Column) -> Column:
         """Token ids of one piece's bytes: merge the leftmost neighbours of lowest rank until none has a rank.
 
         p holds the tokens, r the ranks of each with the one before, and a null at both ends; r is emptied once no merge is
-        left, so that the steps that remain cost nothing. Pieces of up to `longest` bytes make a merge a step, longer ones,
-        where each step would copy much, all merges of one rank in a step.
+        left, so that the steps that remain cost nothing.
         """
 
         def folded(pairs, p):
@@ -96,8 +127,7 @@ class Vocabulary:
             ranks = F.transform(F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), _pair), lambda x: self.rank(pairs, x))
             start = F.struct(p.alias("p"), F.concat(end, ranks, end).alias("r"))
             steps = F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2)))
-            run = lambda step: F.aggregate(steps, start, step, lambda acc: F.transform(acc["p"], lambda i: i.cast("int")))
-            return F.when(F.size(p) <= longest, run(self._one_merge(pairs))).otherwise(run(self._merges_of_a_rank(pairs)))
+            return F.aggregate(steps, start, self._one_merge(pairs), lambda acc: F.transform(acc["p"], lambda i: i.cast("int")))
 
         letters = F.split(F.decode(raw, "ISO-8859-1"), "")
         tokens = F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c)))
@@ -121,37 +151,6 @@ class Vocabulary:
 
         return step
 
-    def _merges_of_a_rank(self, pairs: Column):
-        """A step: all neighbours of the lowest rank merge from left to right.
-
-        Where a pair that comes up on the way has a lower rank yet, which must go before the others, only the leftmost merge.
-        """
-
-        def step(acc, _):
-            p, r = acc["p"], acc["r"]
-
-            def merged(best, marks):
-                """marks: a 1 where a token joins the one before it, one more mark than tokens."""
-                gone = lambda i: F.get(marks, i) == "1"
-                left = F.filter(F.transform(p, lambda x, i: F.when(~gone(i), F.when(gone(i + 1), F.struct(best.alias("t"), F.lit(None).cast("bigint").alias("r"), F.lit(True).alias("new"))).otherwise(F.struct(x.alias("t"), F.get(r, i).alias("r"), F.lit(False).alias("new"))))), lambda x: x.isNotNull())
-                fresh = lambda q: F.transform(q, lambda x, i: F.when(x["new"] | F.get(q, i - 1)["new"], self.rank(pairs, _pair(F.get(q, i - 1)["t"], x["t"]))).otherwise(x["r"]))
-                # A merged token stands beside the next merge's first token for a while.
-                between = F.transform(F.filter(F.transform(p, lambda x, i: F.when(gone(i - 1) & gone(i + 1), x)), lambda x: x.isNotNull()), lambda x: self.rank(pairs, _pair(best, x)))
-                ranked = lambda q: F.struct(F.transform(q, lambda x: x["t"]).alias("p"), F.concat(fresh(q), F.array(F.lit(None).cast("bigint"))).alias("r"), between.alias("b"))
-                return let(left, ranked)
-
-            def chosen(best):
-                all_marks = F.split(F.regexp_replace(F.array_join(F.transform(r, lambda x: F.when(x == best, "1").otherwise("0")), ""), "11", "10"), "")
-                one_mark = let(F.array_position(r, best) - 1, lambda first: F.transform(r, lambda x, i: F.when(i == first, "1").otherwise("0")))
-                lower = lambda x: F.coalesce(F.array_min(F.concat(x["r"], x["b"])) < best, F.lit(False))
-                plain = lambda x: F.struct(x["p"].alias("p"), x["r"].alias("r"))
-                joined = lambda marks: let(marks, lambda m: merged(best, m))
-                return let(joined(all_marks), lambda x: F.when(lower(x), plain(joined(one_mark))).otherwise(plain(x)))
-
-            return let(F.array_min(r), lambda best: F.when(best.isNull(), _settled(acc)).otherwise(chosen(best)))
-
-        return step
-
     def decode(self, ids: Column) -> Column:
         """Bytes of a sequence of ids: the tokens' binary pieces, joined."""
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.tokens, i)), ""))
@@ -190,8 +189,8 @@ def _number_pieces(most_words: int, part: int):
     return run
 
 
-def _place_ids():
-    """Rows of numbered pieces with their ids, and of documents -> (id, ids)."""
+def _place_ids(ranks: dict[bytes, int]):
+    """Rows of numbered pieces with their ids, and of documents -> (id, ids). Pieces without ids are the long ones."""
 
     def run(batches):
         gen, flat, size, waiting = None, np.zeros(0, np.int32), np.zeros(0, np.int64), []
@@ -204,7 +203,10 @@ def _place_ids():
                 is_word = part.column("word").is_valid()
                 words, docs = part.filter(is_word), part.filter(part.column("word").is_null())
                 if len(words):
-                    ids = words.column("ids")
+                    ids, long_ = words.column("ids"), words.column("ids").is_null()
+                    if long_.true_count:
+                        texts = words.column("word")
+                        ids = pa.array([merged(texts[i].as_py().encode(), ranks) if x else ids[i].as_py() for i, x in enumerate(long_.to_pylist())], pa.list_(pa.int32()))
                     waiting.append((ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())))
                 if not len(docs):
                     continue
@@ -231,15 +233,16 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     """(id_col, ids): token ids of every whole text, as the tokenizer that has these ranks would give; no special tokens.
 
     Null and empty texts have no ids. Distinct pieces of a task's documents are folded once by Spark; after most_words of them
-    the numbering begins anew, which bounds a worker's memory. Pieces of over `longest` bytes fold by ranks instead of by single
-    merges, to the same ids. Rows stay as often as they come; other columns are not read.
+    the numbering begins anew, which bounds a worker's memory. Pieces of over `longest` bytes are merged by a heap, to the same
+    ids, in a time that grows about as their length. Rows stay as often as they come; other columns are not read.
     """
-    vocabulary = Vocabulary(read_ranks(ranks_path))
+    ranks = read_ranks(ranks_path)
+    vocabulary = Vocabulary(ranks)
     pieces = F.regexp_extract_all(text_column(docs, text_col), F.lit(PATTERN), F.lit(1))
     rows = docs.select(docs[id_col].cast("long").alias("id"), pieces.alias("pieces"))
     numbered = rows.mapInArrow(_number_pieces(most_words, 1 << 20), PIECES)
-    folded = numbered.withColumn("ids", F.when(F.col("word").isNotNull(), vocabulary.fold(F.encode("word", "UTF-8"), longest)))
-    return folded.mapInArrow(_place_ids(), "id long, ids array<int>").toDF(id_col, "ids")
+    folded = numbered.withColumn("ids", F.when(F.octet_length("word") <= longest, vocabulary.fold(F.encode("word", "UTF-8"))))
+    return folded.mapInArrow(_place_ids(ranks), "id long, ids array<int>").toDF(id_col, "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
