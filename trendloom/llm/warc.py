@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 
@@ -90,9 +91,14 @@ def shard_bounds(rows: DataFrame, key: str, size: str, most: int, least_shards:
     return out
 
 
+def bound_table(bounds: list[int]) -> Column:
+    """Bounds as one literal, whose planning doesn't grow with their number; a row a shard, so some 3 MB for 100 TB."""
+    return F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")
+
+
 def place_of(key: Column, bounds: list[int]) -> Column:
     """Number of the last of the sorted bounds that is at most the key, by halving; -1 below the first or for a null."""
-    table = F.array(*map(F.lit, bounds)).cast("array<bigint>")
+    table = bound_table(bounds)
 
     def halve(acc, _):
         middle = F.shiftright(acc["low"] + acc["high"], 1)
@@ -107,7 +113,7 @@ def place_of(key: Column, bounds: list[int]) -> Column:
 
 
 def last_bound(key: Column, bounds: list[int]) -> Column:
-    return F.get(F.array(*map(F.lit, bounds)).cast("array<bigint>"), place_of(key, bounds))
+    return F.get(bound_table(bounds), place_of(key, bounds))
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_revisit: int = 0, roll_bytes: int = 64 << 20, shard_bytes: int = 256 << 20, least_shards: int = 64, level: int = 6, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
