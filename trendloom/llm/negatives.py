@@ -70,18 +70,25 @@ def best(found: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return r[keep_], c[keep_]
 
 
-def visits(anchors: DataFrame, index: dict[int, np.ndarray], radii: dict[tuple[int, int], float], first: int, last: int, schema: str) -> DataFrame:
+def label_bit(label):
+    """A label as one of 64 bits; lists of a centroid know the bits of their labels."""
+    return F.expr(f"shiftleft(1L, cast(pmod(xxhash64({label}), 64) as int))")
+
+
+def visits(anchors: DataFrame, index: dict[int, np.ndarray], radii: dict[tuple[int, int], tuple[float, int]], same: bool, first: int, last: int, schema: str) -> DataFrame:
     """anchors, each with every list of its visits number first to last - 1 that may still matter, as column c.
 
     An anchor visits lists in order of the bound a.m + |a| r on the scores of a list of centroid m and radius r; wants holds
     the windows of scores (low, high, least) it looks for. A list matters to a window if its bound reaches low and `least`,
-    the kth best found, and a.m - |a| r doesn't exceed high. Vectors of a length that the sample lacks have one list without a bound.
+    the kth best found, and a.m - |a| r doesn't exceed high; with `same` also only if it may hold the anchor's label. Vectors of a length that the sample lacks have one list without a bound.
     """
-    known = {d: (m, np.array([radii.get((d, c), -1.0) for c in range(len(m))])) for d, m in index.items()}
+    of = lambda d, m, i, none: np.array([radii.get((d, c), (none, none))[i] for c in range(len(m))])
+    known = {d: (m, of(d, m, 0, -1.0), of(d, m, 1, 0).astype(np.int64)) for d, m in index.items()}
 
     def run(batches):
         for batch in batches:
-            size = batch.column("d").to_numpy()
+            size, bit = batch.column("d").to_numpy(), batch.column("bit").to_numpy()
+            batch = batch.drop_columns(["bit"])
             at, lists = [], []
             wants = batch.column("wants").to_pylist()
             for d in np.unique(size).tolist():
@@ -91,7 +98,7 @@ def visits(anchors: DataFrame, index: dict[int, np.ndarray], radii: dict[tuple[i
                         at += rows.tolist()
                         lists += [0] * len(rows)
                     continue
-                m, radius = known[d]
+                m, radius, labels = known[d]
                 held = np.nonzero(radius >= 0)[0]
                 for i in range(0, len(rows), 1024):
                     part = rows[i : i + 1024]
@@ -103,8 +110,9 @@ def visits(anchors: DataFrame, index: dict[int, np.ndarray], radii: dict[tuple[i
                     high, low = (np.take_along_axis(x, order, axis=1) for x in (middle + wide + slack, middle - wide - slack))
                     for k, row in enumerate(part.tolist()):
                         hit = np.zeros(order.shape[1], bool)
+                        may = (labels[held[order[k]]] & bit[row]) != 0 if same else True
                         for w in wants[row]:
-                            hit |= (high[k] >= max(w["low"], w["least"])) & (low[k] <= w["high"])
+                            hit |= may & (high[k] >= max(w["low"], w["least"])) & (low[k] <= w["high"])
                         found = held[order[k][hit]].tolist()
                         at += [row] * len(found)
                         lists += found
@@ -112,7 +120,7 @@ def visits(anchors: DataFrame, index: dict[int, np.ndarray], radii: dict[tuple[i
                 part = batch.take(pa.array(at[i : i + 4096], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lists[i : i + 4096], pa.int32())], names=[*part.schema.names, "c"])
 
-    return anchors.mapInArrow(run, f"{schema}, c int")
+    return anchors.withColumn("bit", label_bit("label")).mapInArrow(run, f"{schema}, c int")
 
 
 def search(anchors: DataFrame, lists: DataFrame, blocks: DataFrame, index: dict, radii: dict, same: bool, k: int, first: int = 4, growth: int = 8, tile_rows: int = 8192) -> DataFrame:
@@ -154,7 +162,7 @@ def search(anchors: DataFrame, lists: DataFrame, blocks: DataFrame, index: dict,
             least = found.where(F.col("rank") == k).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("reached"))
             now = F.transform("wants", lambda x, w: x.withField("least", F.greatest(x["least"], F.try_element_at("reached", w))))
             asked = anchors.join(least, "row", "left").withColumn("wants", now)
-        asked = keep(visits(asked.select("row", "id", "label", "d", "v", "wants"), index, radii, start, last, schema), "visits")
+        asked = keep(visits(asked.select("row", "id", "label", "d", "v", "wants"), index, radii, same, start, last, schema), "visits")
         tiles = keep(asked.groupBy("d", "c").agg(F.ceil(F.count(F.lit(1)) / tile_rows).cast("int").alias("tiles")).join(blocks, ["d", "c"]), "tiles")
         here = asked.join(tiles, ["d", "c"]).withColumn("t", F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         there = lists.join(tiles.drop("g"), ["d", "c"]).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -201,9 +209,9 @@ def hard_negatives(vectors: DataFrame, is_anchor, id_col: str = "vec_id", vector
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c), pa.array(far)], names=[*batch.schema.names, "c", "far"])
 
     lists = keep(rows.mapInArrow(assign, "id long, label int, d int, v array<long>, c int, far double"), "lists")
-    sizes = keep(lists.groupBy("d", "c").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")), "list_sizes")
-    known = sizes.where(F.col("d").isin(list(index) or [-1])).select("d", "c", "radius").collect()  # a row a list of the index
-    radii = {(r["d"], r["c"]): r["radius"] for r in known}
+    sizes = keep(lists.groupBy("d", "c").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.bit_or(label_bit("label")).alias("labels")), "list_sizes")
+    known = sizes.where(F.col("d").isin(list(index) or [-1])).select("d", "c", "radius", "labels").collect()  # a row a list of the index
+    radii = {(r["d"], r["c"]): (r["radius"], r["labels"]) for r in known}
     blocks = sizes.select("d", "c", F.ceil(F.col("n") / block_rows).cast("int").alias("g"))
     dealt = lists.join(F.broadcast(blocks.where(F.col("d").isin(list(index) or [-1]) & (F.col("g") > 1))), ["d", "c"], "left") if known else lists.withColumn("g", F.lit(1))
     if len(known) < sizes.count():  # lists of lengths that the sample lacks
