@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions import gates
-from trendloom.operators import market, similarity, sketches, tables, tiering
+from trendloom.operators import market, reports, similarity, sketches, tables, tiering
 from trendloom.sources import files, landing, variants
 from trendloom.streaming import pipelines
 
@@ -182,3 +182,29 @@ def test_stories_and_accounts(one):
     account = [{"reason": "own", "points": 0.1, "handle": "me", "text": ["hi"]}]
     assert score("hi", "ME", accounts=account)[0] == 0.5 and score("ho", "me", accounts=account)[0] == 0.4
     assert score("my diary", ticker="$diary")[0] == 0.4 and score("buy $diary", ticker="$diary")[0] == 0.6
+
+
+@pytest.mark.parametrize("target,stop,status", [(1, 3, "done"), (2, 6, "done"), (3, 9, "short"), (0, 0, "done")])
+def test_a_cohort_search_stops_where_both_groups_are_full(spark, target, stop, status):
+    kinds = ["winner", "ignored", "loser", "winner", "winner", "loser", "ignored", "winner", "winner"]
+    d = spark.createDataFrame([(i, float(-i), k) for i, k in enumerate(kinds)], "id long, v double, outcome string")
+    got = reports.cohort_until(d, "v", "id", "outcome", target).orderBy("rank").collect()
+    assert [r["id"] for r in got] == list(range(stop)) and {r["status"] for r in got} <= {status}
+    assert reports.cohort_until(d.limit(0), "v", "id", "outcome", 1).count() == 0
+
+
+def test_sql_over_windows(spark):
+    assert market.day_windows(90) == [(0, 30), (30, 60), (60, 90)] and market.day_windows(40) == [(0, 30), (30, 40)]
+    d = spark.createDataFrame([(1, 5, "new"), (2, 35, "old"), (3, 95, "gone"), (1, 45, "older")], "k int, age int, v string")
+    got = market.over_windows(spark, "SELECT k, v FROM {d} WHERE age >= :newest AND age < :oldest", 60, "k", d=d)
+    assert sorted(map(tuple, got.collect())) == [(1, "older"), (2, "old")]
+
+
+def test_cached_and_single(spark):
+    cache = spark.createDataFrame([("a", 1, "2024-01-01 11:59:00"), ("b", 2, "2024-01-01 11:50:00"), ("c", 3, "2024-01-01 10:00:00"), ("a", 0, "2024-01-01 09:00:00")], "k string, value int, fetched_at string")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "k string")
+    got = {r["k"]: (r["value"], r["state"], r["refresh"]) for r in tables.cached(asked, cache, "k", F.lit("2024-01-01 12:00:00").cast("timestamp"), 300, 600).collect()}
+    assert got == {"a": (1, "fresh", False), "b": (2, "stale", True), "c": (None, "missing", True), "d": (None, "missing", True)}
+    assert tables.maybe_single(cache, "k", "b").first()["value"] == 2 and tables.maybe_single(cache, "k", "z").count() == 0
+    with pytest.raises(Exception, match="more than one row"):
+        tables.maybe_single(cache, "k", "a").collect()

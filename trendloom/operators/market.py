@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import gates
@@ -160,6 +160,24 @@ def graduations(migrations: DataFrame, creations: DataFrame, suffix: str | None
     return first.join(made, "mint", "left")
 
 
+def day_windows(days: int, step: int = 30) -> list[tuple[int, int]]:
+    """(from, to) in days before now, newest first: how a long lookback is cut into windows."""
+    return [(a, min(days, a + step)) for a in range(0, days, step)]
+
+
+def over_windows(spark: SparkSession, text: str, days: int, key: str, step: int = 30, **tables: DataFrame) -> DataFrame:
+    """The rows of a SQL text with the parameters :newest and :oldest, days before now, run for each window; of a key's rows that of the oldest window counts.
+
+    tables are named in braces in the text. All windows are one plan, whose scans Spark prunes by the windows' conditions.
+    """
+    out = None
+    for i, (newest, oldest) in enumerate(day_windows(days, step)):
+        part = spark.sql(text, args={"newest": newest, "oldest": oldest}, **tables).withColumn("_window", F.lit(i))
+        out = part if out is None else out.unionByName(part)
+    w = Window.partitionBy(key).orderBy(F.col("_window").desc())
+    return out.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "_window")
+
+
 def peak_multiples(tokens: DataFrame, trades: DataFrame, venues: list[str], least_usd: float = 10, near: float = 0.9, supply: float = 1e9) -> DataFrame:
     """Peak over the price at graduation for each token.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 #: Edges of score bands, cumulative thresholds, and candidates for the elbow in order of preference.
 BANDS = [0.0, 0.3, 0.5, 0.6, 0.7, 0.8, 0.9, 1.01]
 THRESHOLDS = [0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85]
@@ -193,3 +195,20 @@ def best_match(hits: DataFrame, key: str, eligible: Column, least: float = 0.35)
     ok = F.coalesce(eligible & (F.col("confidence") >= least) & ~F.col("wrong_address"), F.lit(False))
     w = Window.partitionBy(key).orderBy(F.col("ok").desc(), F.when(F.col("ok"), F.col("views")).desc_nulls_last(), F.col("confidence").desc(), F.col("views").desc(), "post_id")
     return hits.withColumn("ok", ok).where(F.col("ok") | ~F.col("wrong_address")).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+
+
+def cohort_until(rows: DataFrame, order: str, key: str, outcome: str, target: int, groups: tuple[str, str] = ("winner", "loser")) -> DataFrame:
+    """The rows that a search in descending `order` goes through until both groups have `target` rows, with their rank and status.
+
+    The row that fills the second group is the last one; rows of a full group that come before it stay. status is done if both
+    groups are filled, else short, and then all rows are gone through. Where a group fills is its target-th rank, so nothing
+    but two ranks is needed of the whole order. A search that goes on leaves out what it has seen by an anti join.
+    """
+    from .tiering import global_rank
+
+    ranked = kept(global_rank(rows, order, key), "ranked")
+    ends = [ranked.where(F.col(outcome) == g).orderBy("rank").limit(target).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last")) for g in groups]
+    one = ends[0].select(F.col("n").alias("n0"), F.col("last").alias("l0")).crossJoin(ends[1])  # one row
+    full = (F.col("n0") >= target) & (F.col("n") >= target)
+    stop = one.select(F.when(full, F.greatest("l0", "last")).alias("_stop"), F.when(full, "done").otherwise("short").alias("status"))
+    return ranked.crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col("rank") <= F.col("_stop"))).drop("_stop")  # one row

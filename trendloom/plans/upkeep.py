@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import gates
-from ..operators import narratives, sketches, tables
+from ..operators import market, narratives, reports, sketches, tables
 from ..session import new_folder
 from ..sources import landing, variants
 from ..streaming import pipelines
@@ -165,3 +165,34 @@ def point_lookup(spark, sf_dir):
     """One order by its key, which Parquet's statistics lead to."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return tables.maybe_single(o, "o_orderkey", o.agg(F.max("o_orderkey")).first()[0])
+
+
+@query(
+    "WITH t AS (SELECT doc_id, n_chars, CASE WHEN quality = 1 AND toxic = 0 THEN 'winner' WHEN quality = 0 THEN 'loser' ELSE 'ignored' END AS outcome, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents JOIN labels USING (doc_id)), "
+    "c AS (SELECT *, count(*) FILTER (WHERE outcome = 'winner') OVER w AS won, count(*) FILTER (WHERE outcome = 'loser') OVER w AS lost FROM t WINDOW w AS (ORDER BY rank ROWS UNBOUNDED PRECEDING)), "
+    "e AS (SELECT min(rank) FILTER (WHERE won >= 20 AND lost >= 20) AS stop FROM c) SELECT doc_id, outcome, rank, CASE WHEN stop IS NULL THEN 'short' ELSE 'done' END AS status FROM c, e WHERE stop IS NULL OR rank <= stop")
+def cohort_search(spark, sf_dir):
+    """Documents, longest first, until twenty good and twenty bad ones are found."""
+    l = table(spark, sf_dir, "labels")
+    kind = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "winner").when(F.col("quality") == 0, "loser").otherwise("ignored")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n")).join(l, "doc_id").select("doc_id", "n", kind.alias("outcome"))
+    return reports.cohort_until(rows, "n", "doc_id", "outcome", 20).select("doc_id", "outcome", "rank", "status")
+
+
+PEAKS = """
+WITH grads AS (
+  SELECT l_partkey AS mint, min(l_shipdate) AS graduated_at FROM {trades} GROUP BY l_partkey
+  HAVING min(l_shipdate) >= timestamp_ntz'1996-01-01' - make_dt_interval(:oldest) AND min(l_shipdate) < timestamp_ntz'1996-01-01' - make_dt_interval(:newest)),
+first AS (
+  SELECT g.mint, g.graduated_at, min_by(t.l_extendedprice / t.l_quantity, struct(t.l_shipdate, t.l_orderkey, t.l_linenumber)) AS price, max(t.l_extendedprice / t.l_quantity) AS peak
+  FROM grads g JOIN {trades} t ON t.l_partkey = g.mint GROUP BY g.mint, g.graduated_at)
+SELECT mint, p_name AS name, graduated_at, round(peak / price, 6) AS multiple FROM first LEFT JOIN {tokens} ON p_partkey = mint
+"""
+
+
+@query(
+    "WITH g AS (SELECT l_partkey AS mint, min(l_shipdate) AS graduated_at, max(l_extendedprice / l_quantity) AS peak, min_by(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber)) AS price FROM lineitem GROUP BY 1) "
+    "SELECT mint, p_name AS name, graduated_at, round(peak / price, 6) AS multiple FROM g LEFT JOIN part ON p_partkey = mint WHERE graduated_at >= TIMESTAMP '1996-01-01' - INTERVAL 360 DAY AND graduated_at < TIMESTAMP '1996-01-01'")
+def windowed_sql(spark, sf_dir):
+    """A SQL text over twelve windows of thirty days, its rows merged by token."""
+    return market.over_windows(spark, PEAKS, 360, "mint", trades=table(spark, sf_dir, "lineitem"), tokens=table(spark, sf_dir, "part"))

@@ -109,18 +109,26 @@ class Ledger(_Keyed):
         super().init(handle)
         self.spent = handle.getMapState("spent", "unit string, start long", "amount double")
 
-    def add(self, unit: str, width: int, at: int, amount: float) -> float:
-        at -= at % width
-        old = self.spent.getValue((unit, at))[0] if self.spent.containsKey((unit, at)) else None
-        if old is None:
-            self.handle.registerTimer(at + width)
-        self.spent.updateValue((unit, at), ((old or 0.0) + amount,))
-        return (old or 0.0) + amount
-
     def handleInputRows(self, key, rows, timerValues):
         got = in_order(rows, ["at", "tie"])
-        hour = [self.add("hour", HOUR, millis(at), x) for at, x in zip(got["at"], got["amount"])]
-        day = [self.add("day", DAY, millis(at), x) for at, x in zip(got["at"], got["amount"])]
+        sums, times = {}, [millis(at) for at in got["at"]]
+
+        def running(unit: str, width: int) -> list[float]:
+            out = []
+            for at, x in zip(times, got["amount"]):
+                of = unit, at - at % width
+                if of not in sums:  # the state is asked once for each hour and day of a batch
+                    known = self.spent.containsKey(of)
+                    sums[of] = self.spent.getValue(of)[0] if known else 0.0
+                    if not known:
+                        self.handle.registerTimer(of[1] + width)
+                sums[of] += x
+                out.append(sums[of])
+            return out
+
+        hour, day = running("hour", HOUR), running("day", DAY)
+        for of, amount in sums.items():
+            self.spent.updateValue(of, (amount,))
         out = got.drop(columns=["amount"]).assign(hour_spent=hour, day_spent=day)
         out["blocked"] = [("day" if d > self.daily else "hour" if h > self.hourly else None) for h, d in zip(hour, day)]
         for name, value in zip(self.keys, key):
@@ -231,24 +239,25 @@ class TrendCache(_Keyed):
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
-        out = []
+        out, fetched, fresh = [], {k[0]: v[0] for k, v in self.fetched.iterator()}, set()
+        used = self.used.get() if self.used.exists() else (0, 0)
         for at, cycle in in_order(rows, ["at"]).groupby("at", sort=True):
-            now = millis(at)
-            day, n = self.used.get() if self.used.exists() else (0, 0)
-            n = n if day == now // DAY else 0
+            now, asked = millis(at), 0
+            used = used if used[0] == now // DAY else (now // DAY, 0)
             best = cycle.groupby("term")["views"].max()
-            asked = 0
             for term, views in sorted(best.items(), key=lambda x: (-x[1], x[0])):
-                if asked >= self.per_cycle or n >= self.per_day:
+                if asked >= self.per_cycle or used[1] >= self.per_day:
                     break
-                if self.fetched.containsKey((term,)) and self.fetched.getValue((term,))[0] >= now - self.ttl:
-                    continue
-                self.fetched.updateValue((term,), (now,))
-                self.handle.registerTimer(now + self.ttl + 1)
-                asked, n = asked + 1, n + 1
-                out.append((key[0], at, term, int(views)))
-            self.used.update((now // DAY, n))
-            self.handle.registerTimer((now // DAY + 1) * DAY)
+                if fetched.get(term, -self.ttl - 1) < now - self.ttl:
+                    fetched[term] = now
+                    fresh.add(term)
+                    asked, used = asked + 1, (used[0], used[1] + 1)
+                    out.append((key[0], at, term, int(views)))
+        for term in fresh:
+            self.fetched.updateValue((term,), (fetched[term],))
+            self.handle.registerTimer(fetched[term] + self.ttl + 1)
+        self.used.update(used)
+        self.handle.registerTimer((used[0] + 1) * DAY)
         if out:
             yield pd.DataFrame(out, columns=[self.key, "at", "term", "views"])
 
