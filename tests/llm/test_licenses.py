@@ -21,6 +21,19 @@ def brute(text):
     return len(w), places
 
 
+def planted():
+    w = words(MIT)
+    rng = random.Random(3)
+    changed = [x if i % 12 else "other" for i, x in enumerate(w)]
+    grown = [y for i, x in enumerate(w) for y in ([x, "really"] if i % 30 == 7 else [x])]
+    less = [x for i, x in enumerate(w) if i % 30 != 11]
+    shuffled = rng.sample(w, len(w))
+    return [
+        f"{filler(40, 1)} {MIT} {filler(40, 2)}", MIT.upper(), f"{filler(5, 3)} {' '.join(changed)}", " ".join(grown), " ".join(less), " ".join(shuffled), " ".join(w[: len(w) // 2]),
+        f"{GPL}\n\n{filler(3000, 4)}\n{APACHE}", f"{MIT} {filler(10, 5)} {MIT}", filler(5000, 6), "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "released under a different license",
+        "Licensed under the Apache License, Version 2.0. " * 2000, None]
+
+
 def scanned(docs, texts, **more):
     return {r["doc_id"]: r for r in licenses.scan_licenses(docs(list(enumerate(texts))), **more).collect()}
 
@@ -41,16 +54,7 @@ def test_phrases(docs):
 
 
 def test_planted_wordings(docs):
-    w = words(MIT)
-    rng = random.Random(3)
-    changed = [x if i % 12 else "other" for i, x in enumerate(w)]
-    grown = [y for i, x in enumerate(w) for y in ([x, "really"] if i % 30 == 7 else [x])]
-    less = [x for i, x in enumerate(w) if i % 30 != 11]
-    shuffled = rng.sample(w, len(w))
-    texts = [
-        f"{filler(40, 1)} {MIT} {filler(40, 2)}", MIT.upper(), f"{filler(5, 3)} {' '.join(changed)}", " ".join(grown), " ".join(less), " ".join(shuffled), " ".join(w[: len(w) // 2]),
-        f"{GPL}\n\n{filler(3000, 4)}\n{APACHE}", f"{MIT} {filler(10, 5)} {MIT}", filler(5000, 6), "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "released under a different license",
-        "Licensed under the Apache License, Version 2.0. " * 2000, None]
+    w, texts = words(MIT), planted()
     got = scanned(docs, texts)
     labels = [sorted({f["label"] for f in got[i]["found"]}) for i in range(len(texts))]
     assert labels == [["mit"]] * 5 + [[], [], ["apache", "gpl"], ["mit"], [], ["mit"], ["cc-by-nc"], [], ["apache"], []]
@@ -95,3 +99,29 @@ def test_given_documents(spark):
     notices = {"mit": "Released under the MIT License", "apache": "Licensed under the Apache License, Version 2.0", "gpl": "licensed under the GNU General Public License, version 3", "cc-by-nc": "Licensed under CC BY-NC 4.0"}
     got = {r["doc_id"]: {f["label"] for f in r["found"]} for r in licenses.scan_licenses(d).collect()}
     assert got == {i: {k for k, n in notices.items() if n in (t or "")} for i, t in texts.items()} and any(got.values())
+
+
+def test_sql_says_the_same(spark, docs, monkeypatch):
+    """Also for edited, repeated and cut wordings, phrases and words beyond ASCII."""
+    import duckdb
+    import pyarrow as pa
+
+    from trendloom.llm import queries
+
+    rng = random.Random(12)
+    pieces = words(MIT)[:30] + words(APACHE)[:30] + ["MIT License", "apache license", "general public license", "é", "İ"]
+    texts = planted() + [" ".join(rng.choice(pieces) for _ in range(rng.randrange(200))) for _ in range(60)]
+    for base in (MIT, APACHE, GPL):
+        for _ in range(25):
+            out = [x for x in words(base) if rng.random() > 0.06]
+            texts.append(" ".join(y for x in out for y in ([x] if rng.random() > 0.08 else [rng.choice(["more", x + "s"]), x][: rng.randrange(1, 3)])))
+    rows = list(enumerate(texts)) + [(None, MIT), (3, texts[3])]
+    monkeypatch.setattr(queries, "table", lambda *_: docs(rows))
+    got = queries.op13_license_scan(spark, "")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
+    want = con.execute(queries.oracle_sql()["op13_license_scan"])
+    names = [c[0] for c in want.description]
+    tidy = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(tidy, got.select(*names).collect()), key=str) == sorted(map(tidy, want.fetchall()), key=str)

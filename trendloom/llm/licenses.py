@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +74,8 @@ def phrase_places(words: Column, phrases: dict[str, str]) -> Column:
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]], k: int, share: float) -> DataFrame:
     """(t, label, words, size, share) of the templates; those of fewer than k words can't be found and are refused."""
-    rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "t int, label string, text string")
+    given = json.dumps([{"t": i, "label": label, "text": text} for i, (label, text) in enumerate(templates)])
+    rows = spark.range(1).select(F.inline(F.from_json(F.lit(given), "array<struct<t:int,label:string,text:string>>")))
     rows = rows.select("t", "label", words_of(F.col("text")).alias("words")).withColumn("size", F.size("words"))
     rows = rows.withColumn("share", F.when(F.col("size") < WHOLE_BELOW, 1.0).otherwise(share))
     least, total = rows.agg(F.min("size"), F.coalesce(F.sum("size"), F.lit(0))).first()

@@ -111,7 +111,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    """op1, op3, op5, op8, op9, op10 and op13 need hashes, models or tokenizers that SQL lacks: tests hold them against brute force."""
+    """op1, op3, op5, op8, op9 and op10 need hashes, models or tokenizers that SQL lacks: tests hold them against brute force."""
     op2 = """
     WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
     f AS (SELECT b, min(page_id) AS first FROM p GROUP BY b)
@@ -168,4 +168,26 @@ def oracle_sql() -> dict[str, str]:
     x AS (SELECT doc_id, text, n, form, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:], '') AS s FROM c)
     SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM x"""
-    return {"op2_warc_round_trip": op2, "op4_url_filter": op4, "op6_embedding_near_dedup": op6, "op7_preference_format": op7, "op11_hard_negatives": op11, "op12_fill_in_middle": op12}
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    templates = ", ".join(f"({i}, {quoted(label)}, {quoted(text)})" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    # Words and their three followers, of texts and templates; shared ones by offset; offsets merged; words that stand at one of them.
+    op13 = f"""
+    WITH t AS (SELECT t, label, w, len(w) AS size, CASE WHEN len(w) < 20 THEN 1.0 ELSE 0.8 END AS least FROM (SELECT t, label, {words} AS w FROM (VALUES {templates}) v(t, label, text))),
+    d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+    tp AS (SELECT t, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM t), dp AS MATERIALIZED (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM d),
+    tg AS (SELECT *, lead(word, 1) OVER x AS a, lead(word, 2) OVER x AS b, lead(word, 3) OVER x AS c FROM tp WINDOW x AS (PARTITION BY t ORDER BY p)),
+    dg AS MATERIALIZED (SELECT *, lead(word, 1) OVER x AS a, lead(word, 2) OVER x AS b, lead(word, 3) OVER x AS c FROM dp WINDOW x AS (PARTITION BY r ORDER BY p)),
+    h AS (SELECT r, t, dg.p - tg.p AS o, count(*) AS votes FROM dg JOIN tg ON dg.word = tg.word AND dg.a = tg.a AND dg.b = tg.b AND dg.c = tg.c GROUP BY ALL),
+    n AS (SELECT h.*, size, least, o - lag(o) OVER (PARTITION BY r, h.t ORDER BY o) <= least(8, size // 4) AS near FROM h JOIN t ON t.t = h.t),
+    g AS (SELECT *, count(*) FILTER (WHERE near IS NOT TRUE) OVER (PARTITION BY r, t ORDER BY o) AS k FROM n),
+    s AS (SELECT r, t, k FROM g GROUP BY r, t, k, size, least HAVING sum(votes) + 3 * (count(*) - 1) >= size - 3 - 4 * floor((1 - least) * size + 1e-9)),
+    m AS (SELECT s.r, s.t, s.k, count(DISTINCT tp.p) AS hit FROM s JOIN g ON g.r = s.r AND g.t = s.t AND g.k = s.k JOIN tp ON tp.t = s.t JOIN dp ON dp.r = s.r AND dp.p = tp.p + g.o AND dp.word = tp.word GROUP BY ALL),
+    f AS (SELECT r, label, hit / size AS share FROM m JOIN t ON t.t = m.t WHERE hit / size >= least - 1e-9),
+    y AS (SELECT r, p, CASE WHEN word = 'mit' AND a = 'license' THEN 'mit' WHEN word = 'apache' AND a = 'license' THEN 'apache' ELSE 'gpl' END AS label FROM dg
+      WHERE word IN ('mit', 'apache') AND a = 'license' OR word = 'general' AND a = 'public' AND b = 'license'),
+    z AS (SELECT r, count(*) AS n, min(p) AS low, max(p) AS high, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM y GROUP BY r),
+    e AS (SELECT r, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT r, label FROM y UNION ALL SELECT r, label FROM f) GROUP BY r), q AS (SELECT r, max(share) AS share FROM f GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, low::BIGINT AS first_word, high::BIGINT AS last_word, coalesce(z.labels, '') AS base_labels, coalesce(e.labels, '') AS labels, coalesce(share, 0.0) AS score
+    FROM d LEFT JOIN z ON z.r = d.r LEFT JOIN e ON e.r = d.r LEFT JOIN q ON q.r = d.r"""
+    return {"op2_warc_round_trip": op2, "op4_url_filter": op4, "op6_embedding_near_dedup": op6, "op7_preference_format": op7, "op11_hard_negatives": op11, "op12_fill_in_middle": op12, "op13_license_scan": op13}
