@@ -82,9 +82,8 @@ def test_small_tables(spark, rows):
 
 
 def test_best_takes_smaller_ids_of_ties():
-    ids = np.array([1, 4, 9, 12])
-    r, c = negatives.best(np.array([[5, 7, 5, 5], [negatives.SCORE, 1, negatives.SCORE, 1]]), ids, 2)
-    assert list(zip(r.tolist(), c.tolist())) == [(0, 1), (0, 0), (1, 1), (1, 3)]
+    row, score, ids = (np.array(x) for x in ([0, 0, 0, 0, 1, 1], [5, 7, 5, 5, 1, 1], [9, 4, 1, 12, 12, 4]))
+    assert negatives.best(row, score, ids, 2).tolist() == [1, 2, 5, 4]
 
 
 def test_exact_products():

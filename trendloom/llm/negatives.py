@@ -13,7 +13,6 @@ from .common import keep
 MOST_FIT, MOST_LISTS = 20_000, 1024
 #: Fixed value: whole vectors of this length and more take no part, as their scores might not fit into 64 bits.
 LONGEST = 2**31
-SCORE = np.iinfo(np.int64).min
 
 
 def centroids(rows: np.ndarray, lists: int, seed: int = 42, rounds: int = 8) -> np.ndarray:
@@ -53,21 +52,17 @@ def matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whole-number inner products; by floating point where all of them and their partial sums are exact."""
+    """Inner products of whole vectors; as floating-point numbers where all of them and their partial sums are exact."""
     x, y = a.astype(np.float64), b.astype(np.float64)
-    if np.sqrt((x * x).sum(axis=1).max(initial=0) * (y * y).sum(axis=1).max(initial=0)) < 2**52:
-        return (x @ y.T).astype(np.int64)
-    return a @ b.T
+    exact = np.sqrt((x * x).sum(axis=1).max(initial=0) * (y * y).sum(axis=1).max(initial=0)) < 2**52
+    return x @ y.T if exact else a @ b.T
 
 
-def best(found: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of each row's k highest scores, ties by smaller id; entries of SCORE don't count."""
-    least = np.partition(found, -k, axis=1)[:, -k] if found.shape[1] > k else np.full(len(found), SCORE)
-    r, c = np.nonzero((found >= least[:, None]) & (found > SCORE))
-    order = np.lexsort((ids[c], -found[r, c], r))
-    r, c = r[order], c[order]
-    keep_ = np.arange(len(r)) - np.searchsorted(r, r) < k
-    return r[keep_], c[keep_]
+def best(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which of the hits are among the k highest scores of their row, ties by smaller id; in order."""
+    order = np.lexsort((ids, -score, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < k]
 
 
 def label_bit(label):
@@ -144,14 +139,17 @@ def search(anchors: DataFrame, lists: DataFrame, blocks: DataFrame, index: dict,
                 own, tag = part["id"].to_numpy(), part["label"].to_numpy()
                 s = scores(matrix(part["v"]), rows)
                 fits = labels == tag[:, None]
-                s[~(fits & (ids != own[:, None]) if same else ~fits)] = SCORE
+                fits = fits & (ids != own[:, None]) if same else ~fits
                 wants = part["wants"].to_pylist()
-                for w in range(max(map(len, wants))):
-                    has = np.array([r for r, x in enumerate(wants) if len(x) > w])
-                    low, high = (np.array([max(wants[r][w][a], wants[r][w][b]) for r in has])[:, None] for a, b in (("low", "least"), ("high", "high")))
-                    inside = np.where((s[has] >= low) & (s[has] <= high), s[has], SCORE)
-                    r, c = best(inside, ids, k)
-                    for name, x in (("row", part["row"].to_numpy()[has[r]]), ("w", np.full(len(r), w, np.int32)), ("id", ids[c]), ("score", inside[r, c])):
+                most = max(map(len, wants))
+                # A window that an anchor hasn't got holds nothing.
+                low, high = (np.array([[f(w) for w in x] + [none] * (most - len(x)) for x in wants], np.int64) for f, none in ((lambda w: max(w["low"], w["least"]), 2**62), (lambda w: w["high"], -(2**62))))
+                r, c = np.nonzero(fits & (s >= low.min(axis=1)[:, None]) & (s <= high.max(axis=1)[:, None]))
+                found_, named = s[r, c].astype(np.int64), part["row"].to_numpy()
+                for w in range(most):
+                    at = np.nonzero((found_ >= low[r, w]) & (found_ <= high[r, w]))[0]
+                    at = at[best(r[at], found_[at], ids[c[at]], k)]
+                    for name, x in (("row", named[r[at]]), ("w", np.full(len(at), w, np.int32)), ("id", ids[c[at]]), ("score", found_[at])):
                         out[name].append(x)
         return pa.table({c: np.concatenate(x) if x else np.zeros(0, np.int32 if c == "w" else np.int64) for c, x in out.items()})
 
