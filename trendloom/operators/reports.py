@@ -210,5 +210,5 @@ def cohort_until(rows: DataFrame, order: str, key: str, outcome: str, target: in
     ends = [ranked.where(F.col(outcome) == g).orderBy("rank").limit(target).agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last")) for g in groups]
     one = ends[0].select(F.col("n").alias("n0"), F.col("last").alias("l0")).crossJoin(ends[1])  # one row
     full = (F.col("n0") >= target) & (F.col("n") >= target)
-    stop = one.select(F.when(full, F.greatest("l0", "last")).alias("_stop"), F.when(full, "done").otherwise("short").alias("status"))
+    stop = one.select(F.when(full, F.coalesce(F.greatest("l0", "last"), F.lit(0))).alias("_stop"), F.when(full, "done").otherwise("short").alias("status"))
     return ranked.crossJoin(F.broadcast(stop)).where(F.col("_stop").isNull() | (F.col("rank") <= F.col("_stop"))).drop("_stop")  # one row
