@@ -58,9 +58,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merged(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one long piece, by the same rule as the fold: linked tokens and a heap of neighbours by rank, then place."""
-    n, longest = len(raw), max(map(len, ranks))
+def merged(raw: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+    """Token ids of one long piece, by the same rule as the fold: linked tokens and a heap of neighbours by rank, then place. No token is longer than longest."""
+    n = len(raw)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token at a place; 0 for a place that has none any more
     waiting = [(ranks[raw[i : i + 2]], i, i + 2) for i in range(n - 1) if raw[i : i + 2] in ranks]
     heapq.heapify(waiting)
@@ -192,6 +192,8 @@ def _number_pieces(most_words: int, part: int):
 def _place_ids(ranks: dict[bytes, int]):
     """Rows of numbered pieces with their ids, and of documents -> (id, ids). Pieces without ids are the long ones."""
 
+    longest = max(map(len, ranks))
+
     def run(batches):
         gen, flat, size, waiting = None, np.zeros(0, np.int32), np.zeros(0, np.int64), []
         for batch in batches:
@@ -206,7 +208,7 @@ def _place_ids(ranks: dict[bytes, int]):
                     ids, long_ = words.column("ids"), words.column("ids").is_null()
                     if long_.true_count:
                         texts = words.column("word")
-                        ids = pa.array([merged(texts[i].as_py().encode(), ranks) if x else ids[i].as_py() for i, x in enumerate(long_.to_pylist())], pa.list_(pa.int32()))
+                        ids = pa.array([merged(texts[i].as_py().encode(), ranks, longest) if x else ids[i].as_py() for i, x in enumerate(long_.to_pylist())], pa.list_(pa.int32()))
                     waiting.append((ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())))
                 if not len(docs):
                     continue
