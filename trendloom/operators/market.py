@@ -79,24 +79,30 @@ def wallet_pnl(trades: DataFrame, keys: list[str], order: list[str], side: str =
 
     zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("low"))
     moved = lambda acc, x: acc["sum"] + F.when(x["buy"], x["q"]).otherwise(-F.greatest(x["q"], F.lit(0.0)))
-    walk = F.aggregate("r._ts", zero, lambda acc, x: F.struct(moved(acc, x).alias("sum"), F.least(acc["low"], moved(acc, x)).alias("low")))
-    many = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    cut = runs.alias("r").join(many.alias("m"), [F.col(f"r.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys])
-    cut = cut.select(*[F.col(f"r.{k}").alias(k) for k in keys], "r._part", walk.alias("_w"))
-    cut = kept(cut.select(*keys, "_part", F.col("_w.sum").alias("_sum"), F.col("_w.low").alias("_low")), "cut_runs")
+    walk = F.aggregate("_ts", zero, lambda acc, x: F.struct(moved(acc, x).alias("sum"), F.least(acc["low"], moved(acc, x)).alias("low")))
+    # A key of several ranges is the last of one and the first of another: two rows a range at most.
+    ends = runs.groupBy("_part").agg(F.min(F.struct(*keys)).alias("_a"), F.max(F.struct(*keys)).alias("_b"))
+    ends = ends.select("_part", F.explode(F.array("_a", "_b")).alias("_k")).distinct().groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    ends = kept(ends.select(*[F.col("_k")[k].alias(f"_k{i}") for i, k in enumerate(keys)]), "cut_keys")
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"m._k{i}")) for i, k in enumerate(keys)]
+    sums = ["buys", "sells", "buy_usd", "sell_usd"]
+    told = [F.col("_buys").alias("buys"), F.col("_sells").alias("sells"), F.coalesce("_bought", F.lit(0.0)).alias("buy_usd"), F.coalesce("_sold", F.lit(0.0)).alias("sell_usd")]
+    whole = runs.alias("r").join(F.broadcast(ends.alias("m")), same, "left_anti").select(*keys, *told, _trade_fold(F.col("_ts"), F.lit(0.0)).alias("_f"))
+    whole = whole.select(*keys, *sums, F.col("_f.d").alias("realized"), F.col("_f.held").alias("held"), F.col("_f.b").alias("cost"))
+
+    cut = runs.alias("r").join(F.broadcast(ends.alias("m")), same, "left_semi").withColumn("_w", walk)
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # Inventory is the sum so far less the lowest sum so far, as it never falls below nothing.
-    level = cut.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
+    level = kept(cut.select(*keys, "_part", F.col("_w.sum").alias("_sum"), F.col("_w.low").alias("_low")), "cut_runs").withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)))
     begun = level.withColumn("_held", F.col("_base") - F.least(F.lit(0.0), F.coalesce(F.min(F.col("_base") + F.col("_low")).over(before), F.lit(0.0))))
-    begun = begun.where("_held > 0").select("_part", "_held", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    same = [F.col("r._part") == F.col("b._part"), *[F.col(f"r.{k}").eqNullSafe(F.col(f"b._k{i}")) for i, k in enumerate(keys)]]
-    folded = runs.alias("r").join(F.broadcast(begun.alias("b")), same, "left")  # a row a range at most
-    folded = folded.select("r.*", _trade_fold(F.col("r._ts"), F.coalesce("b._held", F.lit(0.0))).alias("_f"))
+    begun = begun.select("_part", "_held", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    here = [F.col("r._part") == F.col("m._part"), *same]
+    folded = cut.alias("r").join(F.broadcast(begun.alias("m")), here).select("r.*", _trade_fold(F.col("r._ts"), F.col("m._held")).alias("_f"))  # two rows a range at most
     parts = folded.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("_part", "_f"))).alias("_fs"), F.sum("_buys").alias("buys"), F.sum("_sells").alias("sells"), F.coalesce(F.sum("_bought"), F.lit(0.0)).alias("buy_usd"), F.coalesce(F.sum("_sold"), F.lit(0.0)).alias("sell_usd"))
     start = F.struct(F.lit(0.0).alias("cost"), F.lit(0.0).alias("pnl"))
     total = F.aggregate("_fs", start, lambda acc, x: F.struct((x["_f"]["a"] * acc["cost"] + x["_f"]["b"]).alias("cost"), (acc["pnl"] + x["_f"]["g"] * acc["cost"] + x["_f"]["d"]).alias("pnl")))
-    return parts.select(*keys, "buys", "sells", "buy_usd", "sell_usd", total["pnl"].alias("realized"), F.element_at("_fs", -1)["_f"]["held"].alias("held"), total["cost"].alias("cost"))
+    return whole.union(parts.select(*keys, *sums, total["pnl"].alias("realized"), F.element_at("_fs", -1)["_f"]["held"].alias("held"), total["cost"].alias("cost")))
 
 
 def top_traders(trades: DataFrame, token: str, wallet: str, ts: str, tie: str, price: str, period: str = "INTERVAL 24 HOURS", k: int = 10, accumulators: int = 5) -> DataFrame:
