@@ -76,6 +76,28 @@ def test_sketches_stay_within_their_error(spark):
         assert abs(back[h]["distinct"] - len(near)) <= 4 * 0.0163 * len(near)
 
 
+def test_exact_lookback_counts_every_member(spark):
+    """More members than a sketch counts exactly, some in many hours, hours without rows, rows without a member or a time."""
+    rng = random.Random(4)
+    rows = [(h, rng.randrange(3000) if rng.random() < 0.97 else None) for h in (0, 1, 2, 5, 6, 9, 30) for _ in range(1500)] + [(12, None)]
+    d = spark.createDataFrame([(h, w, "a") for h, w in rows] + [(None, 1, "a"), (3, 7, None)], "h int, who long, k string").withColumn("ts", F.lit("2024-01-01 00:10:00").cast("timestamp_ntz") + F.make_dt_interval(hours="h"))
+    got = {(r["k"], (r["hour"].day - 1) * 24 + r["hour"].hour): (r["n"], r["distinct"]) for r in sketches.exact_lookback(d, ["k"], "ts", "who", 4).collect()}
+    near = lambda h: [w for t, w in rows if h - 4 < t <= h]
+    assert got == {("a", h): (len(near(h)), len({*near(h)} - {None})) for h in {t for t, _ in rows}} | {(None, 3): (1, 1)}
+
+
+def test_lookback_query_equals_its_sql_with_many_members(spark, tmp_path):
+    import duckdb
+
+    from trendloom import plans
+
+    path = f"{tmp_path}/events.parquet"
+    duckdb.sql(f"COPY (SELECT 'view' AS event_type, TIMESTAMP '2024-01-01' + to_minutes(i % 3000) AS ts, i * 7919 % 9001 AS user_id, 1.0 AS value FROM range(20000) t(i)) TO '{path}' (FORMAT parquet)")
+    want = duckdb.sql(plans.ORACLES["lookback_members"].replace("FROM events", f"FROM '{path}'").replace("JOIN events", f"JOIN '{path}'")).fetchall()
+    got = plans.QUERIES["lookback_members"](spark, str(tmp_path)).collect()
+    assert len(want) == 50 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_groups_are_replaced_alone(spark, tmp_path):
     path = f"{tmp_path}/t"
     tables.write_groups(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "v int, g string"), path, "g")
