@@ -142,6 +142,18 @@ def test_tiles_of_hot_tokens_change_nothing(spark, tile):
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
 
 
+def test_few_pairs_that_only_share_common_words_are_verified(spark, monkeypatch):
+    """Sets of one vocabulary of common words share some of them nearly always; candidates are about the pairs that overlap enough."""
+    rng = random.Random(5)
+    sets = {i: {f"word{int(1000 * rng.random() ** 3)}" for _ in range(60)} for i in range(200)} | {200 + i: {f"word{j}" for j in range(i, 50 + i)} for i in range(5)}
+    d = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, w array<string>")
+    seen, candidates = [], similarity.overlap_candidates
+    monkeypatch.setattr(similarity, "overlap_candidates", lambda *a: seen.append(candidates(*a)) or seen[-1])
+    got = {(r["a"], r["b"]) for r in similarity.overlap_pairs(similarity.token_rows(d, "id", F.col("w")), "id", 0.28).collect()}
+    assert got == brute_overlap(sets, 0.28).keys()
+    assert len(got) <= seen[0].distinct().count() <= len(got) + 1500 < 205 * 204 / 2 / 10
+
+
 def test_overlap_at_the_threshold_itself(spark):
     """7 of 25 words is 0.28 exactly, which 25 * 0.28 in floating point overshoots; also where the shared words are the commonest."""
     sets = {0: {f"w{i:02}" for i in range(25)}, 1: {f"w{i:02}" for i in range(18, 25)}, 2: {"w24"}, 3: set()}
