@@ -154,6 +154,16 @@ def test_few_pairs_that_only_share_common_words_are_verified(spark, monkeypatch)
     assert len(got) <= seen[0].distinct().count() <= len(got) + 1500 < 205 * 204 / 2 / 10
 
 
+def test_phrases_split_each_text_once(spark):
+    from trendloom.functions import text
+    from trendloom.operators import tables
+
+    d = spark.createDataFrame([("g", 1, "giant dragon seen again"), ("g", 2, "giant dragon"), ("h", 3, "word")], "k string, id long, t string")
+    out = tables.dominant_phrases(d, ["k"], text.tokens(F.col("t")), "id")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [tuple(r) for r in out.collect()] == [("g", "giant dragon", 2)]
+
+
 def test_overlap_at_the_threshold_itself(spark):
     """7 of 25 words is 0.28 exactly, which 25 * 0.28 in floating point overshoots; also where the shared words are the commonest."""
     sets = {0: {f"w{i:02}" for i in range(25)}, 1: {f"w{i:02}" for i in range(18, 25)}, 2: {"w24"}, 3: set()}

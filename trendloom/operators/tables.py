@@ -159,10 +159,11 @@ def dominant_phrases(docs: DataFrame, by: list[str], words: Column, key: str) ->
     """(by, phrase, n): each group's most frequent word pair; ties go to the pair seen first by document and position.
 
     key is a whole number. It and the position are one decimal, whose minimum a hash aggregate can hold; a struct's would sort all pairs.
+    Words are a column of their own, as bigrams names them several times and a generator would work them out as often.
     """
     from ..functions.text import bigrams
 
-    pairs = docs.select(*by, key, F.posexplode(bigrams(words)).alias("pos", "phrase"))
+    pairs = docs.select(*by, key, words.alias("_words")).select(*by, key, F.posexplode(bigrams(F.col("_words"))).alias("pos", "phrase"))
     place = F.col(key).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")
     n = pairs.groupBy(*by, "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     return top_k(n, by, [F.col("n").desc(), F.col("first").asc()], 1).select(*by, "phrase", "n")
