@@ -185,6 +185,33 @@ def test_matching_and_greedy(spark):
     assert {r["post_id"]: (r["narrative_id"], r["reason"]) for r in g.collect()} == {1: (1, "new"), 2: (1, "keyword"), 3: (3, "new"), 4: (4, "new")}
 
 
+def test_matching_by_filters_and_without(spark):
+    """Words met in tiles without a filter, and by the filters: the same matches."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"word{min(int(rng.expovariate(0.1)), 60)}" for _ in range(n))
+    posts = spark.createDataFrame([(i, f"@p{i % 9}", say(rng.randint(0, 14))) for i in range(200)], "post_id long, handle string, text string")
+    members = spark.createDataFrame([(i % 5, i, f"@p{i}", say(rng.randint(1, 14))) for i in range(30)], "narrative_id long, post_id long, handle string, text string")
+    got = [{(r["post_id"], r["narrative_id"], r["reason"], round(r["score"], 9)) for r in similarity.match_narratives(posts, members, 0.3, 0.4, few=few).collect()} for few in (0, 10**6)]
+    assert got[0] == got[1] and {r[2] for r in got[0]} == {"keyword", "embedding"}
+
+
+def test_pairs_of_one_centroid_are_many_tasks(spark):
+    """Pairs are verified in tiles, however few vectors one side has."""
+    a = spark.range(300).selectExpr("id AS a", "explode(array('x', 'y' || id)) AS token", "sqrt(0.5D) AS weight")
+    b = spark.sql("SELECT 1L AS b, 'x' AS token, 1.0D AS weight")
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        got = similarity.cosine_pairs(a, "a", b, "b", 0.5, tile=30).select("a", "cosine", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(r["a"] for r in got) == list(range(300)) and {round(r["cosine"], 9) for r in got} == {round(0.5**0.5, 9)}
+    assert len({r["p"] for r in got}) > 1
+
+
 def test_groups_form(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (5, 6), (3, 9)], "a long, b long")
     got = {r[0]: r[1] for r in similarity.form_narratives(spark.range(1, 10).toDF("post_id"), pairs).collect()}

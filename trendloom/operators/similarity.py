@@ -11,6 +11,8 @@ from ..session import kept
 KEYWORD, COSINE = 0.28, 0.42
 #: Longs of a token set's signature.
 SIGNATURE = 16
+#: Up to so many pairs of rows that share a token, for each row of the posts, posts and members are compared without a filter.
+FEW = 8
 
 
 def token_rows(docs: DataFrame, key: str, words) -> DataFrame:
@@ -133,19 +135,36 @@ def cosine_candidates(a: DataFrame, a_key: str, b: DataFrame, b_key: str, thresh
     return near.where(F.col("most") >= least).select(a_key, b_key)
 
 
-def cosine_pairs(a: DataFrame, a_key: str, b: DataFrame, b_key: str, threshold: float = COSINE, only=None) -> DataFrame:
+def cosine_pairs(a: DataFrame, a_key: str, b: DataFrame, b_key: str, threshold: float = COSINE, only=None, tile: int = 4096) -> DataFrame:
     """(a_key, b_key, cosine) of at least the threshold, for vectors of length one in long form.
 
-    Candidates are verified on their whole vectors. only: a condition on the two keys that pairs have to meet.
+    Candidates are verified on their whole vectors. only: a condition on the two keys that pairs have to meet. A vector of b
+    with many candidates is copied to tiles of about `tile` of them, so that few vectors on that side don't make few tasks.
     """
     found = cosine_candidates(a, a_key, b, b_key, threshold)
-    found = found if only is None else found.where(only)
+    found = kept(found if only is None else found.where(only), "near")
+    tiles = found.groupBy(b_key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
     whole = lambda v, key, name: v.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias(name))
-    both = found.join(whole(a, a_key, "va"), a_key).join(whole(b, b_key, "vb"), b_key)
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda acc, x: acc + x["value"] * F.coalesce(F.try_element_at("vb", x["key"]), F.lit(0.0)))
+    copies = whole(b, b_key, "vb").join(tiles, b_key).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    dealt = found.join(tiles, b_key).withColumn("tile", F.pmod(F.xxhash64(a_key), "tiles").cast("int")).drop("tiles")
+    both = dealt.join(whole(a, a_key, "va"), a_key).join(copies, [b_key, "tile"])
+    shared = F.array_intersect(F.map_keys("va"), F.map_keys("vb"))  # a map's values are found by going through it
+    dot = F.aggregate(shared, F.lit(0.0), lambda acc, x: acc + F.element_at("va", x) * F.element_at("vb", x))
     return both.select(a_key, b_key, dot.alias("cosine")).where(F.col("cosine") >= threshold)
 
 
+def products(left: DataFrame, right: DataFrame) -> int:
+    """How many pairs of rows share a token."""
+    count = lambda rows, n: rows.groupBy("token").agg(F.count(F.lit(1)).alias(n))
+    return count(left, "na").join(count(right, "nb"), "token").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0))).first()[0]
+
+
+def met(left: DataFrame, a: str, right: DataFrame, b: str, tile: int = 4096):
+    """All pairs of rows that share a token, by (a, b): what overlap and cosine are added up from without a filter."""
+    la, rb = in_tiles(left, a, right, b, tile)
+    return la.join(rb, ["token", "ta", "tb"]).groupBy(a, b)
+
+
 def centroids(vectors: DataFrame, members: DataFrame, key: str, group: str) -> DataFrame:
     """(group, token, weight): mean of the members' vectors, scaled to length one (F32)."""
     sums = vectors.join(members.select(key, group), key).groupBy(group, "token").agg(F.sum("weight").alias("w"))
@@ -153,13 +172,16 @@ def centroids(vectors: DataFrame, members: DataFrame, key: str, group: str) -> D
     return sums.select(group, "token", (F.col("w") / norm).alias("weight"))
 
 
-def match_narratives(posts: DataFrame, members: DataFrame, keyword: float = KEYWORD, cosine: float = COSINE) -> DataFrame:
+def match_narratives(posts: DataFrame, members: DataFrame, keyword: float = KEYWORD, cosine: float = COSINE, few: float = FEW) -> DataFrame:
     """(post_id, narrative_id, reason, score): best narrative of each new post (C1, batch mode).
 
     posts(post_id, handle, text), members(narrative_id, post_id, handle, text). A shared cashtag comes first, then keyword
     overlap with one member, then cosine with the centroid; the latter two never match a narrative that has the post's
     author. Within a kind the highest score wins, then the smallest narrative_id. Independent of order: posts of one batch
     don't see each other's assignments.
+
+    Words are cut once. Where they lead to few members, at most `few` of them for each word of a post, all that share one are compared, in tiles of a word; filters, which
+    have to sort each post's words first, pay only beyond that. Both ways give the same.
     """
     p = posts.select("post_id", "text", "handle", text.normalize_handle(F.col("handle")).alias("h"))
     tags = p.select("post_id", F.explode(text.cashtags(F.col("text"))).alias("tag"))
@@ -167,10 +189,18 @@ def match_narratives(posts: DataFrame, members: DataFrame, keyword: float = KEYW
     by_tag = tags.join(member_tags, "tag").select("post_id", "narrative_id").distinct().select("*", F.lit("cashtag").alias("reason"), F.lit(0).alias("kind"), F.lit(1.0).alias("score"))
 
     words = text.matching_tokens(F.col("text"), F.col("handle"))
-    pt, mt = token_rows(p, "post_id", words), token_rows(members.select(F.col("post_id").alias("member_id"), "text", "handle"), "member_id", words)
-    over = overlap_join(pt.select("post_id", "token", "size"), "post_id", mt.select("member_id", "token", "size"), "member_id", keyword).withColumnRenamed("overlap", "score")
-    over = over.join(members.select(F.col("post_id").alias("member_id"), "narrative_id"), "member_id").groupBy("post_id", "narrative_id").agg(F.max("score").alias("score"))
-    near = cosine_pairs(tf_vectors(pt, "post_id"), "post_id", centroids(tf_vectors(mt, "member_id"), members.select(F.col("post_id").alias("member_id"), "narrative_id"), "member_id", "narrative_id"), "narrative_id", cosine)
+    pt, mt = kept(token_rows(p, "post_id", words), "post_tokens"), kept(token_rows(members.select(F.col("post_id").alias("member_id"), "text", "handle"), "member_id", words), "member_tokens")
+    of = members.select(F.col("post_id").alias("member_id"), "narrative_id")
+    pv, centers = tf_vectors(pt, "post_id"), centroids(tf_vectors(mt, "member_id"), of, "member_id", "narrative_id")
+    if products(pt, mt) <= few * pt.count():
+        shared = met(pt.select("post_id", "token", F.col("size").alias("n")), "post_id", mt.select("member_id", "token", F.col("size").alias("m")), "member_id").agg(F.count(F.lit(1)).alias("k"), (F.max("n") + F.max("m")).alias("both"))
+        over = shared.select("post_id", "member_id", (F.col("k") / (F.col("both") - F.col("k"))).alias("score")).where(F.col("score") >= keyword)
+        dots = met(pv.withColumnRenamed("weight", "w"), "post_id", centers, "narrative_id").agg(F.sum(F.col("w") * F.col("weight")).alias("cosine"))
+        near = dots.where(F.col("cosine") >= cosine)
+    else:
+        over = overlap_join(pt.select("post_id", "token", "size"), "post_id", mt.select("member_id", "token", "size"), "member_id", keyword).withColumnRenamed("overlap", "score")
+        near = cosine_pairs(pv, "post_id", centers, "narrative_id", cosine)
+    over = over.join(of, "member_id").groupBy("post_id", "narrative_id").agg(F.max("score").alias("score"))
     soft = over.select("post_id", "narrative_id", F.lit("keyword").alias("reason"), F.lit(1).alias("kind"), "score").unionByName(
         near.select("post_id", "narrative_id", F.lit("embedding").alias("reason"), F.lit(2).alias("kind"), F.col("cosine").alias("score")))
     authors = members.select("narrative_id", text.normalize_handle(F.col("handle")).alias("h")).where("h <> ''").distinct()
