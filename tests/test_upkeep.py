@@ -44,6 +44,17 @@ def test_landed_batch_and_stream_agree(spark, tmp_path):
     assert len(left) == 1 and {p.lane for p in reader.partitions()} == {"media"}
 
 
+def test_variant_candles_read_each_field_once(spark):
+    """Neither does a filter read a bar's fields again, nor does a key's name matter."""
+    bars = spark.createDataFrame([(1, '[[1, 2, 3, 1, 2, 9], 5, null, {"unix_time": 6, "c": "2"}, [2, 1, 1, 1, 0, 1]]'), (2, '{"unixTime": 5, "c": 1}'), (3, None)], "k int, p string")
+    for key in ("k", "v", "r", "key"):
+        got = variants.candles(bars.withColumnRenamed("k", key), key, "p")
+        assert got.columns == [key, "unixTime", *"ohlcv"]
+        assert sorted(map(tuple, got.collect())) == [(1, 1, 2.0, 3.0, 1.0, 2.0, 9.0), (1, 6, None, None, None, 2.0, None)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"$[{i}]") for i in range(6)] == [1] * 6
+
+
 def test_variants_equal_declared_structs(spark):
     posts = [
         {"id": "1", "text": "t", "authorMeta": {"name": "n", "fans": 5}, "playCount": 7, "createTime": 1_700_000_000, "musicMeta": {"musicId": "m"}, "videoMeta": {"coverUrl": "u"}},

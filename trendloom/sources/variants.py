@@ -34,9 +34,13 @@ def tt_posts(raw: DataFrame, column: str = "value", zero_as_null: bool = False)
 
 def candles(raw: DataFrame, key: str, payload: str) -> DataFrame:
     """What files.parse_candles gives, from variants: rows as arrays and as objects may even mix within a payload."""
-    rows = parsed(raw.select(key, payload), payload).select(key, F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("r"))
-    bars = rows.select(key, first_of("r", "bigint", "$[0]", "$.unixTime", "$.unix_time").alias("unixTime"), *[first_of("r", "double", f"$[{i}]", f"$.{n}").alias(n) for i, n in enumerate("ohlcv", 1)])
-    return bars.where("unixTime is not null and c > 0")
+    read = raw.select(F.col(key).alias("_key"), F.try_parse_json(payload).alias("_v"))
+    rows = read.lateralJoin(raw.sparkSession.tvf.variant_explode(F.col("_v").outer())).where("key is null").select("_key", F.col("value").alias("r"))
+    get = lambda kind, i, *names: first_of("r", kind, f"$[{i}]", *[f"$.{n}" for n in names])
+    # From a generator, as a filter below a plain projection reads its fields from the variant once more.
+    asked = F.inline(F.array(F.struct(get("bigint", 0, "unixTime", "unix_time").alias("unixTime"), get("double", 4, "c").alias("c"))))
+    bars = rows.select("_key", "r", asked).where("unixTime is not null and c > 0")
+    return bars.select(F.col("_key").alias(key), "unixTime", *["c" if n == "c" else get("double", i, n).alias(n) for i, n in enumerate("ohlcv", 1)])
 
 
 def reply_fields(raw: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
