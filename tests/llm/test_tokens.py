@@ -68,6 +68,51 @@ def test_bpe_of_a_very_long_piece(docs, tiktoken_library):
         assert list(got[i]["ids"]) == tiktoken_library._encode_single_piece(t.encode())
 
 
+def random_ranks(seed):
+    """Bytes and tokens over abc whose ranks are in no order: some tokens are never merged, some make way for one of lower rank."""
+    rng = random.Random(seed)
+    tokens = list({"".join(rng.choice("abc") for _ in range(rng.randrange(2, 6))).encode() for _ in range(30)})
+    rng.shuffle(tokens)
+    return {t: i for i, t in enumerate([bytes([b]) for b in range(256)] + tokens)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_bpe_of_ranks_out_of_order(docs, tmp_path, seed):
+    import tiktoken
+
+    ranks, rng = random_ranks(seed), random.Random(seed)
+    path = tmp_path / "ranks"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % i for t, i in ranks.items()))
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(i, "".join(rng.choice("abcabcabcx ") for _ in range(rng.randrange(40)))) for i in range(300)]
+    rows += [(1000 + i, t.decode("latin-1")) for t, i in ranks.items() if len(t) > 1]
+    got = {r["doc_id"]: r for r in bpe.decode(bpe.encode(docs(rows), str(path)), str(path)).collect()}
+    for i, t in rows:
+        assert list(got[i]["ids"]) == library.encode_ordinary(t), t
+        assert bytes(got[i]["bytes"]) == t.encode()
+    in_order = bpe.Vocabulary(ranks).in_order
+    assert 0 < in_order[256:].sum() < len(ranks) - 256
+
+
+def test_bpe_lists_the_tokens_within_pieces(tiktoken_library):
+    """As many steps of a piece's fold as tokens within it, in order of rank; every one of the tokenizer's is in order."""
+    rng = random.Random(3)
+    for ranks in [random_ranks(seed) for seed in range(30)] + [bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))]:
+        vocabulary = bpe.Vocabulary(ranks)
+        letters = "abc" if len(ranks) < 1000 else "theing onér"
+        pieces = ["".join(rng.choice(letters) for _ in range(rng.randrange(25))).encode() for _ in range(200)] + [b"", b"a" * 300]
+        piece, token = vocabulary.held(pieces)
+        want = [sorted({ranks[p[i:j]] for i in range(len(p)) for j in range(i + 2, len(p) + 1) if p[i:j] in ranks}) for p in pieces]
+        assert [token[piece == i].tolist() for i in range(len(pieces))] == want
+        for p, merges in zip(pieces, want):
+            if vocabulary.in_order[merges].all():
+                text = p.decode("latin-1")
+                for m in merges:
+                    text = text.replace(vocabulary.pairs[m], vocabulary.marks[m])
+                assert vocabulary.ids(text).tolist() == bpe.merged(p, ranks, vocabulary.longest)
+    assert vocabulary.in_order.all() and len(ranks) == 50_256
+
+
 @given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=4), st.integers(-9, -1)), min_size=1, max_size=12, unique_by=lambda x: x[0]), st.text("abcd", max_size=12), st.booleans())
 @settings(max_examples=300, deadline=None)
 def test_viterbi_is_optimal(pieces, word, byte_fallback):

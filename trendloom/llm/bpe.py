@@ -1,8 +1,8 @@
-"""Byte-level BPE: Spark higher-order functions fold ranked merges over the bytes of distinct words.
+"""Byte-level BPE: a Spark higher-order function folds the ranked merges of distinct words.
 
-Between the two, plain Python only numbers the distinct pieces of a task's documents and puts the folded pieces back in
-their places; nothing is shuffled. Pieces of thousands of bytes, which no prose has, are merged there by a heap, as a fold
-copies its state at every step.
+Around the fold, Python only numbers the distinct pieces of a task's documents, lists the tokens whose bytes a piece holds
+(its merges, by rank) and puts the folded pieces back in their places; nothing is shuffled. Pieces of thousands of bytes,
+which no prose has, are merged there by a heap, as a fold goes over the whole piece at every step.
 """
 
 from __future__ import annotations
@@ -10,18 +10,18 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, let, text_column
+from .common import by_bytes, text_column
 
-#: Cells of the literal rank map; each holds a few pairs of tokens. A prime, so that remainders of pairs spread.
-CELLS = 262_147
-#: A pair of ids as one number: (left + 1) * PAIR + right, which is larger than any rank.
-PAIR = 1_000_003
+#: Bytes of pieces whose merges are listed at once.
+PART = 1 << 16
 #: Letters and numbers of the tokenizer's Unicode tables (16.0) that a JVM may not know yet (17 has 13.0).
 NEW_LETTERS = (
     "870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3 A7D5-A7DC A7F2-A7F4 "
@@ -45,29 +45,23 @@ LETTER, NUMBER = rf"\p{{L}}{_class(NEW_LETTERS)}", rf"\p{{N}}{_class(NEW_NUMBERS
 PATTERN = rf"(?U)('s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+)"
 
 
-def _pair(left: Column, right: Column) -> Column:
-    return (left + 1) * PAIR + right
-
-
-def _settled(acc: Column) -> Column:
-    return F.struct(acc["p"].alias("p"), F.array().cast("array<bigint>").alias("r"))
-
-
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def merged(raw: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
-    """Token ids of one long piece, by the same rule as the fold: linked tokens and a heap of neighbours by rank, then place. No token is longer than longest."""
+def merged(raw: bytes, ranks: dict[bytes, int], longest: int, below: float = math.inf) -> list[int]:
+    """Token ids of one piece by the tokenizer's rule: linked tokens and a heap of neighbours by rank, then place. No token is longer than longest; ranks from `below` on don't merge."""
+    if ranks.get(raw, below) < below:
+        return [ranks[raw]]
     n = len(raw)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the token at a place; 0 for a place that has none any more
-    waiting = [(ranks[raw[i : i + 2]], i, i + 2) for i in range(n - 1) if raw[i : i + 2] in ranks]
+    waiting = [(ranks[raw[i : i + 2]], i, i + 2) for i in range(n - 1) if ranks.get(raw[i : i + 2], below) < below]
     heapq.heapify(waiting)
 
     def offer(start: int, stop: int) -> None:
         rank = ranks.get(raw[start:stop]) if stop - start <= longest else None
-        if rank is not None:
+        if rank is not None and rank < below:
             heapq.heappush(waiting, (rank, start, stop))
 
     while waiting:
@@ -88,78 +82,98 @@ def merged(raw: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
     return ids
 
 
+def mark(token: int) -> str:
+    """A token of several bytes as one character, so that Spark's string functions merge; a byte's token is the character of its value."""
+    return chr(token + 256 if token + 256 < 0xD800 else token + 256 + 0x800)
+
+
 class Vocabulary:
-    """A rank file as literals of a plan: ids of bytes, ranks of pairs of tokens whose bytes join to a token, and tokens."""
+    """A rank file: tokens as characters, the pair that each is merged of, and which tokens a piece's bytes hold.
+
+    A token is in order if the merges of lower rank alone make just two tokens of its bytes. Where every token that a piece
+    holds is in order, no merge can make way for one of lower rank, and a token comes of that one pair only: between any two
+    places that stay token bounds, a piece merges as these bytes alone would. So to merge the lowest-ranked neighbours until
+    none has a rank is to go through the held tokens by rank and to replace each one's pair from left to right.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"bytes without a token: {missing}")
-        cells = [None] * CELLS  # a cell: null, then each pair before its rank
+        self.ranks, self.longest, top = ranks, max(map(len, ranks)), max(ranks.values())
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        shown = {rank: chr(token[0]) if len(token) == 1 else mark(rank) for token, rank in ranks.items()}
+        self.pairs, self.in_order = [None] * (top + 1), np.ones(top + 1, bool)
         for token, rank in ranks.items():
-            for i in range(1, len(token)):
-                left, right = ranks.get(token[:i]), ranks.get(token[i:])
-                if left is not None and right is not None:
-                    pair = (left + 1) * PAIR + right
-                    cells[pair % CELLS] = [*(cells[pair % CELLS] or [None]), pair, rank]
-        tokens = [""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token.hex().upper()
-        self.pairs = F.from_json(F.lit(json.dumps(cells)), "array<array<bigint>>")
-        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
-        self.tokens = F.split(F.lit(",".join(tokens)), ",")
-
-    @staticmethod
-    def rank(pairs: Column, pair: Column) -> Column:
-        """Rank of two tokens' joined bytes, which is the id of the token they become; null if there is none."""
-        cell = F.get(pairs, F.pmod(pair, F.lit(CELLS)).cast("int"))
-        return F.get(cell, F.array_position(cell, pair).cast("int"))  # what follows the pair; a pair that isn't there has place 0
-
-    def fold(self, raw: Column) -> Column:
-        """Token ids of one piece's bytes: merge the leftmost neighbours of lowest rank until none has a rank.
-
-        p holds the tokens, r the ranks of each with the one before, and a null at both ends; r is emptied once no merge is
-        left, so that the steps that remain cost nothing.
-        """
-
-        def folded(pairs, p):
-            end = F.array(F.lit(None).cast("bigint"))
-            ranks = F.transform(F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p)), _pair), lambda x: self.rank(pairs, x))
-            start = F.struct(p.alias("p"), F.concat(end, ranks, end).alias("r"))
-            steps = F.sequence(F.lit(2), F.greatest(F.size(p), F.lit(2)))
-            return F.aggregate(steps, start, self._one_merge(pairs), lambda acc: F.transform(acc["p"], lambda i: i.cast("int")))
-
-        letters = F.split(F.decode(raw, "ISO-8859-1"), "")
-        tokens = F.transform(letters, lambda c: F.get(self.bytes, F.ascii(c)))
-        return let(self.pairs, lambda pairs: let(tokens, lambda p: folded(pairs, p)))
-
-    def _one_merge(self, pairs: Column):
-        """A step: the rank, being the new token's id, takes the place of two tokens; only its two neighbours are ranked anew.
-
-        (flatten, as concat is slow within a fold.)
-        """
-
-        def step(acc, _):
-            p, r = acc["p"], acc["r"]
-
-            def joined(best, i):
-                near = F.transform(F.array(_pair(F.get(p, i - 3), best), _pair(best, F.get(p, i))), lambda x: self.rank(pairs, x))
-                around = lambda x, new, after: F.flatten(F.array(F.slice(x, F.lit(1), i - 2), new, F.slice(x, after, F.size(x))))
-                return F.struct(around(p, F.array(best), i + 1).alias("p"), around(r, near, i + 2).alias("r"))
-
-            return let(F.array_min(r), lambda best: F.when(best.isNull(), _settled(acc)).otherwise(let(F.array_position(r, best).cast("int"), lambda i: joined(best, i))))
-
-        return step
-
-    def decode(self, ids: Column) -> Column:
-        """Bytes of a sequence of ids: the tokens' binary pieces, joined."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self.tokens, i)), ""))
-
-
-PIECES = "gen int, n int, word string, id long, seq array<int>"
-
-
-def _number_pieces(most_words: int, part: int):
+            if len(token) > 1:
+                parts = merged(token, ranks, self.longest, rank)
+                self.in_order[rank] = len(parts) == 2
+                self.pairs[rank] = "".join(shown[i] for i in parts)
+        self.marks = [shown.get(i) for i in range(top + 1)]
+        self.levels = self._levels()
+
+    def _levels(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Beginnings of tokens by length: sorted (place of the beginning one byte shorter) * 256 + last byte, and the token that each is, or -1."""
+        levels, at, rest = [], {b"": 0}, list(self.ranks)
+        for k in range(1, self.longest + 1):
+            rest = [t for t in rest if len(t) >= k]
+            found = sorted((at[t[:-1]] * 256 + t[-1], t) for t in {t[:k] for t in rest})
+            at = {t: i for i, (_, t) in enumerate(found)}
+            levels.append((np.array([key for key, _ in found]), np.array([self.ranks.get(t, -1) for _, t in found])))
+        return levels
+
+    def held(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, token) for the tokens of two bytes and more within each piece, by piece and rank, each once."""
+        text, sizes = np.frombuffer(b"".join(pieces), np.uint8), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        piece, stop = np.repeat(np.arange(len(pieces)), sizes), np.repeat(np.cumsum(sizes), sizes)
+        place, node, found = np.arange(len(text)), np.zeros(len(text), np.int64), []
+        for k, (keys, tokens) in enumerate(self.levels):
+            inside = place + k < stop[place]
+            place, node = place[inside], node[inside]
+            if not len(place):
+                break
+            key = node * 256 + text[place + k]
+            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            begun = keys[node] == key
+            place, node = place[begun], node[begun]
+            if k:
+                whole = tokens[node] >= 0
+                found.append(piece[place[whole]] << 32 | tokens[node[whole]])
+        all_ = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return all_ >> 32, all_ & 0xFFFFFFFF
+
+    def fold(self, raw: Column, merges: Column) -> Column:
+        """One piece's bytes as marks of its tokens: each merge by rank puts a token's mark in place of its pair; null for null merges."""
+        pairs, marks = (F.from_json(F.lit(json.dumps(x)), "array<string>") for x in (self.pairs, self.marks))
+        return F.aggregate(merges, F.decode(raw, "ISO-8859-1"), lambda text, m: F.replace(text, F.get(pairs, m), F.get(marks, m)))
+
+    def ids(self, folded: str) -> np.ndarray:
+        """Token ids of marks."""
+        codes = np.frombuffer(folded.encode("utf-32-le"), np.uint32).astype(np.int32)
+        return np.where(codes < 256, self.bytes[np.minimum(codes, 255)], codes - np.where(codes < 0xD800, 256, 256 + 0x800)).astype(np.int32)
+
+
+PIECES = "gen int, doc boolean, word string, merges array<int>, id long, seq array<int>"
+
+
+def _rows(gen: int, doc: bool, n: int, word=None, merges=None, id=None, seq=None) -> pa.RecordBatch:
+    """n rows of PIECES. Lists and words that a row doesn't have are empty: with each row, Spark's Arrow writer goes over the nulls at a batch's end again."""
+    none = pa.ListArray.from_arrays(np.zeros(n + 1, np.int32), np.zeros(0, np.int32))
+    given = {"word": word, "merges": merges, "id": id, "seq": seq}
+    empty = {"word": pa.array([""] * n, pa.string()), "merges": none, "id": pa.nulls(n, pa.int64()), "seq": none}
+    return pa.record_batch({"gen": np.full(n, gen, np.int32), "doc": np.full(n, doc)} | {k: empty[k] if x is None else x for k, x in given.items()})
+
+
+def _merges(vocabulary: Vocabulary, pieces: list[bytes], longest: int) -> pa.Array:
+    """The tokens within each piece by rank; null for pieces of over `longest` bytes or with a token that isn't in order."""
+    long_ = np.fromiter((len(p) > longest for p in pieces), bool, len(pieces))
+    piece, token = vocabulary.held([b"" if x else p for p, x in zip(pieces, long_)])
+    long_[piece[~vocabulary.in_order[token]]] = True
+    counts = np.bincount(piece, minlength=len(pieces))
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), pa.array(token, pa.int32()), mask=pa.array(long_))
+
+
+def _number_pieces(vocabulary: Vocabulary, most_words: int, longest: int, part: int):
     """Batches of (id, pieces) -> rows of new distinct pieces, each before the documents that are rows of piece numbers."""
 
     def run(batches):
@@ -178,21 +192,18 @@ def _number_pieces(most_words: int, part: int):
                         known[w] = len(known)
                         fresh.append(w)
                 at = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-                n = np.arange(len(known) - len(fresh), len(known), dtype=np.int32)
-                for i in range(0, len(fresh), 10_000):
-                    m = len(fresh[i : i + 10_000])
-                    yield pa.record_batch([pa.array(np.full(m, gen, np.int32)), pa.array(n[i : i + m]), pa.array(fresh[i : i + m], pa.string()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32()))], names=["gen", "n", "word", "id", "seq"])
+                raw = [w.encode() for w in fresh]
+                for i, j in by_bytes([len(w) for w in raw], PART):
+                    yield _rows(gen, False, j - i, word=pa.array(fresh[i:j], pa.string()), merges=_merges(vocabulary, raw[i:j], longest))
                 numbers = at[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)
                 offsets = np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int32)
-                yield pa.record_batch([pa.array(np.full(b - a, gen, np.int32)), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.string()), batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(offsets, numbers)], names=["gen", "n", "word", "id", "seq"])
+                yield _rows(gen, True, b - a, id=batch.column("id").slice(a, b - a), seq=pa.ListArray.from_arrays(offsets, numbers))
 
     return run
 
 
-def _place_ids(ranks: dict[bytes, int]):
-    """Rows of numbered pieces with their ids, and of documents -> (id, ids). Pieces without ids are the long ones."""
-
-    longest = max(map(len, ranks))
+def _place_ids(vocabulary: Vocabulary):
+    """Rows of numbered pieces with their marks, and of documents -> (id, ids). Pieces without marks are merged here."""
 
     def run(batches):
         gen, flat, size, waiting = None, np.zeros(0, np.int32), np.zeros(0, np.int64), []
@@ -202,14 +213,20 @@ def _place_ids(ranks: dict[bytes, int]):
                 part = batch.filter(pa.array(gens == g))
                 if g != gen:
                     gen, flat, size, waiting = g, np.zeros(0, np.int32), np.zeros(0, np.int64), []
-                is_word = part.column("word").is_valid()
-                words, docs = part.filter(is_word), part.filter(part.column("word").is_null())
+                is_doc = part.column("doc")
+                words, docs = part.filter(pc.invert(is_doc)), part.filter(is_doc)
                 if len(words):
-                    ids, long_ = words.column("ids"), words.column("ids").is_null()
-                    if long_.true_count:
-                        texts = words.column("word")
-                        ids = pa.array([merged(texts[i].as_py().encode(), ranks, longest) if x else ids[i].as_py() for i, x in enumerate(long_.to_pylist())], pa.list_(pa.int32()))
-                    waiting.append((ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy())))
+                    marks, other = words.column("marks").to_pylist(), words.column("word")
+                    own = {i: np.array(merged(other[i].as_py().encode(), vocabulary.ranks, vocabulary.longest), np.int32) for i, m in enumerate(marks) if m is None}
+                    sizes = np.fromiter((len(own[i]) if m is None else len(m) for i, m in enumerate(marks)), np.int64, len(marks))
+                    ids, ends = vocabulary.ids("".join(m or "" for m in marks)), np.cumsum(sizes)
+                    if own:
+                        all_, folded = np.empty(ends[-1], np.int32), np.ones(ends[-1], bool)
+                        for i, x in own.items():
+                            all_[ends[i] - len(x) : ends[i]], folded[ends[i] - len(x) : ends[i]] = x, False
+                        all_[folded] = ids
+                        ids = all_
+                    waiting.append((ids, sizes))
                 if not len(docs):
                     continue
                 if waiting:
@@ -235,19 +252,24 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     """(id_col, ids): token ids of every whole text, as the tokenizer that has these ranks would give; no special tokens.
 
     Null and empty texts have no ids. Distinct pieces of a task's documents are folded once by Spark; after most_words of them
-    the numbering begins anew, which bounds a worker's memory. Pieces of over `longest` bytes are merged by a heap, to the same
-    ids, in a time that grows about as their length. Rows stay as often as they come; other columns are not read.
+    the numbering begins anew, which bounds a worker's memory. Pieces of over `longest` bytes, and those with a token whose
+    merges aren't in order of rank, are merged by a heap, to the same ids, in a time that grows about as their length. Rows
+    stay as often as they come; other columns are not read.
     """
-    ranks = read_ranks(ranks_path)
-    vocabulary = Vocabulary(ranks)
+    vocabulary = Vocabulary(read_ranks(ranks_path))
     pieces = F.regexp_extract_all(text_column(docs, text_col), F.lit(PATTERN), F.lit(1))
     rows = docs.select(docs[id_col].cast("long").alias("id"), pieces.alias("pieces"))
-    numbered = rows.mapInArrow(_number_pieces(most_words, 1 << 20), PIECES)
-    folded = numbered.withColumn("ids", F.when(F.octet_length("word") <= longest, vocabulary.fold(F.encode("word", "UTF-8"))))
-    return folded.mapInArrow(_place_ids(ranks), "id long, ids array<int>").toDF(id_col, "ids")
+    numbered = rows.mapInArrow(_number_pieces(vocabulary, most_words, longest, 1 << 20), PIECES)
+    marks = vocabulary.fold(F.encode("word", "UTF-8"), F.col("merges"))
+    folded = numbered.select("gen", "doc", F.when(F.col("merges").isNull(), F.col("word")).otherwise("").alias("word"), marks.alias("marks"), "id", "seq")
+    return folded.mapInArrow(_place_ids(vocabulary), "id long, ids array<int>").toDF(id_col, "ids")
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """encoded with `bytes` added: the tokens' bytes joined; null for null ids or for an id that no token has."""
-    vocabulary = Vocabulary(read_ranks(ranks_path))
-    return encoded.withColumn("bytes", vocabulary.decode(F.col(ids_col)))
+    ranks = read_ranks(ranks_path)
+    names = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        names[rank] = token.hex().upper()
+    tokens = F.split(F.lit(",".join(names)), ",")
+    return encoded.withColumn("bytes", F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(tokens, i)), "")))
