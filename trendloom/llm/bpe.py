@@ -112,6 +112,10 @@ class Vocabulary:
         self.marks = [shown.get(i) for i in range(top + 1)]
         self.levels = self._levels()
 
+    def __getstate__(self):
+        """Without the fold's literals, which Python workers don't need."""
+        return {k: v for k, v in vars(self).items() if k not in ("pairs", "marks")}
+
     def _levels(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """Beginnings of tokens by length: sorted (place of the beginning one byte shorter) * 256 + last byte, and the token that each is, or -1."""
         levels, at, rest = [], {b"": 0}, list(self.ranks)
@@ -192,9 +196,10 @@ def _number_pieces(vocabulary: Vocabulary, most_words: int, longest: int, part:
                         known[w] = len(known)
                         fresh.append(w)
                 at = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
-                raw = [w.encode() for w in fresh]
-                for i, j in by_bytes([len(w) for w in raw], PART):
-                    yield _rows(gen, False, j - i, word=pa.array(fresh[i:j], pa.string()), merges=_merges(vocabulary, raw[i:j], longest))
+                for k in range(0, len(fresh), 10_000):
+                    raw = [w.encode() for w in fresh[k : k + 10_000]]
+                    for i, j in by_bytes([len(w) for w in raw], PART):
+                        yield _rows(gen, False, j - i, word=pa.array(fresh[k + i : k + j], pa.string()), merges=_merges(vocabulary, raw[i:j], longest))
                 numbers = at[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int32)
                 offsets = np.concatenate(([0], np.cumsum(sizes[a:b]))).astype(np.int32)
                 yield _rows(gen, True, b - a, id=batch.column("id").slice(a, b - a), seq=pa.ListArray.from_arrays(offsets, numbers))
@@ -259,7 +264,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     vocabulary = Vocabulary(read_ranks(ranks_path))
     pieces = F.regexp_extract_all(text_column(docs, text_col), F.lit(PATTERN), F.lit(1))
     rows = docs.select(docs[id_col].cast("long").alias("id"), pieces.alias("pieces"))
-    numbered = rows.mapInArrow(_number_pieces(vocabulary, most_words, longest, 1 << 20), PIECES)
+    numbered = rows.mapInArrow(_number_pieces(vocabulary, most_words, longest, 1 << 18), PIECES)
     marks = vocabulary.fold(F.encode("word", "UTF-8"), F.col("merges"))
     folded = numbered.select("gen", "doc", F.when(F.col("merges").isNull(), F.col("word")).otherwise("").alias("word"), marks.alias("marks"), "id", "seq")
     return folded.mapInArrow(_place_ids(vocabulary), "id long, ids array<int>").toDF(id_col, "ids")
